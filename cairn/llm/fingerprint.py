@@ -20,6 +20,13 @@ from cairn.llm.text import text_of
 SKETCH, SHINGLE = 24, 3
 #: Rows of an ordered bucket that next_text aims at.
 BUCKET_ROWS = 2000
+#: Ranges at most: their bounds come to the driver. Larger tables have larger ranges, which the window spills.
+MAX_BUCKETS = 8192
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: inside a lambda an expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def canonical(c: Column) -> Column:
@@ -41,11 +48,6 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(lane(1), lane(2)))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value worked out once: inside a lambda an expression would be evaluated for every element."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def sketch(canon: Column) -> Column:
     """The smallest distinct hashes of shingles, ascending; of the words if there are too few for one shingle."""
 
@@ -79,34 +81,33 @@ def next_text(rows: DataFrame, id_col: str, text_col: str, out: str) -> DataFram
     """
     key = F.coalesce(F.col(id_col), F.lit(-(2**63)))
     n = rows.count()
-    parts = max(1, n // BUCKET_ROWS)
-    cuts = sorted(set(rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()[0] or [])) if parts > 1 else []
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>") if cuts else None
-    bucket = F.lit(0)
-    if cuts:
-        bucket = _search(bounds, key, len(cuts))
-    placed = rows.withColumn("_bucket", bucket)
-    # the first row of each bucket; a row a bucket, from the ids alone but for ties
-    firsts = [(r["_bucket"], r["k"]) for r in placed.groupBy("_bucket").agg(F.min(key).alias("k")).collect()]
-    firsts.sort()
-    prev = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first goes to the end of the last
-    if not firsts:
-        return placed.withColumn(out, F.lit(None).cast("string")).drop("_bucket")
-    guests = F.create_map(*[x for k, b in prev.items() for x in (F.lit(k).cast("long"), F.lit(b))])
-    spread = F.filter(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")), F.struct(guests[key].alias("b"), F.lit(True).alias("guest"))), lambda x: x["b"].isNotNull())
-    dealt = placed.withColumn("_at", F.explode(spread)).withColumn("_guest", F.col("_at.guest")).withColumn("_bucket", F.col("_at.b")).drop("_at")
-    w = Window.partitionBy("_bucket").orderBy("_guest", key, text_col)
-    return dealt.withColumn(out, F.lead(text_col).over(w)).where(~F.col("_guest")).drop("_bucket", "_guest")
-
-
-def _search(bounds: Column, key: Column, n: int) -> Column:
-    """How many of n ascending bounds are not above the key, by halving."""
-    at, step = F.lit(0), 1 << (n.bit_length() - 1)
-    while step:
-        new = at + step
-        at = F.when((new <= n) & (F.get(bounds, F.least(new, F.lit(n)) - 1) <= key), new).otherwise(at)
-        step //= 2
-    return at
+    parts = min(MAX_BUCKETS, max(1, n // BUCKET_ROWS))
+    cuts = []
+    if parts > 1:
+        cuts = sorted(set(rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]))
+    placed = rows.withColumn("_bucket", _search(cuts, key) if cuts else F.lit(0)).withColumn("_key", key)
+    # the first id of each bucket, which the bucket before gets a copy of: a row a bucket
+    firsts = sorted((r["_bucket"], r["k"]) for r in placed.groupBy("_bucket").agg(F.min("_key").alias("k")).collect())
+    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]  # the first bucket's goes to the end of the last
+    guests = F.broadcast(rows.sparkSession.createDataFrame(before, "_first long, _to int"))
+    spread = F.filter(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("_to").alias("b"), F.lit(True).alias("guest"))), lambda x: x["b"].isNotNull())
+    dealt = placed.join(guests, F.col("_key") == F.col("_first"), "left").withColumn("_at", F.explode(spread)).withColumn("_guest", F.col("_at.guest")).withColumn("_bucket", F.col("_at.b"))
+    w = Window.partitionBy("_bucket").orderBy("_guest", "_key", text_col)
+    return dealt.withColumn(out, F.lead(text_col).over(w)).where(~F.col("_guest")).select(*rows.columns, out)
+
+
+def _search(cuts: list[int], key: Column) -> Column:
+    """How many of the ascending cuts are not above the key, by halving; each step is bound once, so the expression stays small."""
+    bounds, n = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), len(cuts)
+
+    def step(at: Column, size: int) -> Column:
+        if not size:
+            return at
+        new = at + size
+        up = F.when((new <= n) & (F.get(bounds, F.least(new, F.lit(n)) - 1) <= key), new).otherwise(at)
+        return let(up, lambda x: step(x, size // 2))
+
+    return step(F.lit(0), 1 << (n.bit_length() - 1))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
