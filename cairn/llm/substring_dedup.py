@@ -1,16 +1,16 @@
 """Substring deduplication by level-wise doubling.
 
 A passage is repeated if a window of WINDOW consecutive words is. Windows are
-looked for at a quarter of that length, then at half, then in full; only what is
-repeated at one length goes on to twice that length:
+looked for at shorter lengths first (START words, then twice as many, up to
+WINDOW); only what is repeated at one length goes on to twice that length:
 
 * At the shorter lengths a window is judged by its minimizer, the part of that
   length whose hash is smallest: equal windows have it at the same place. Twin
   Bloom filters say which parts may occur twice. A window whose part does not is
   dropped; no window that occurs twice ever is.
-* At the full length the surviving windows are compared by two 64-bit hash lanes.
-  Each task first settles its own repeats and sends on one sighting of each
-  window, so a passage that a third of all documents hold meets itself once a
+* At the full length the surviving windows are compared by 96 bits of two hash
+  lanes. Each task first settles its own repeats and sends on one sighting of
+  each window, so a passage that a third of all documents hold meets itself once a
   task, not once a document. Sightings travel packed, by hash bucket.
 
 Each level reads the texts anew; texts are moved once, to meet their verdicts.
@@ -29,19 +29,22 @@ from pyspark.sql import types as T
 
 from cairn.llm.bloom import bits_for, has, seen_twice
 from cairn.llm.text import U64, column, mix, ngrams, octets, runs, text_of, word_hashes_wide
-from cairn.session import materialize
 
 WINDOW = 20
-HASHES, BITS_PER_PART, OCTETS_PER_PART = 3, 8, 50
+#: The shortest length looked at, if WINDOW is a power of two times it.
+START = 10
+HASHES, BITS_PER_PART, OCTETS_PER_PART = 3, 12, 50
+#: Words that are hashed at once: whole documents, whatever their number.
+AT_ONCE = 150_000
 #: Sightings that a task gathers before it settles them, and that a hash bucket should hold.
 FLUSH, BUCKET = 1_500_000, 1_000_000
 OCTETS_PER_WINDOW = 6
 
 
 def levels(window: int) -> list[int]:
-    """Lengths below `window`, doubling up to it: 5, 10 for 20."""
+    """Lengths below `window`, doubling up to it: 10 for 20; 10, 20, 40 for 80."""
     out = [window]
-    while out[0] % 2 == 0 and out[0] > 5:
+    while out[0] % 2 == 0 and out[0] > START:
         out.insert(0, out[0] // 2)
     return out[:-1]
 
@@ -63,16 +66,19 @@ def minimizers(part: np.ndarray, width: int) -> np.ndarray:
 
 
 class Survivors:
-    """Which windows of a text are still candidates after the filters of the shorter lengths."""
+    """Which windows of some documents are still candidates after the filters of the shorter lengths."""
 
     def __init__(self, window: int, filters: list[np.ndarray]):
         self.window, self.filters, self.levels = window, filters, levels(window)
 
-    def __call__(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of the parts at the length after the filters', their windows' starts, lane 1, lane 2 of word hashes)"""
-        a, b = word_hashes_wide(ws)
-        n = len(a) - self.window + 1
-        starts = np.arange(max(n, 0))
+    def __call__(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the parts at the length after the filters', the windows' starts in all words, the documents' first words, lane 1, lane 2 of word hashes)."""
+        sizes = np.array([len(d) for d in docs])
+        first = np.cumsum(sizes) - sizes
+        a, b = word_hashes_wide([w for d in docs for w in d])
+        # a window lies within one document
+        room = np.repeat(first + sizes, sizes) - np.arange(len(a)) >= self.window
+        starts = np.flatnonzero(room)
         part, size = None, 0
         for i, length in enumerate(self.levels):
             part = ngrams(a, length) if part is None else doubled(part, size)
@@ -80,11 +86,28 @@ class Survivors:
             if not len(starts):
                 break
             at = minimizers(part, self.window - length + 1)[starts]
+            new = np.r_[True, at[1:] != at[:-1]]  # starts ascend, and so do their minimizers
+            used = at[new]
             if i == len(self.filters):
-                return part[np.unique(at)], starts, a, b
-            used, back = np.unique(at, return_inverse=True)
-            starts = starts[has(self.filters[i], part[used], HASHES)[back]]
-        return part[:0] if part is not None else a[:0], starts, a, b
+                return part[used], starts, first, a, b
+            starts = starts[has(self.filters[i], part[used], HASHES)[np.cumsum(new) - 1]]
+        return a[:0], starts, first, a, b
+
+
+def together(texts: Iterator[tuple[object, str]], window: int) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """Documents of a window or more, some at a time: (ids, words)."""
+    ids, docs, n = [], [], 0
+    for i, t in texts:
+        ws = t.encode().split()
+        if len(ws) >= window:
+            ids.append(i)
+            docs.append(ws)
+            n += len(ws)
+            if n >= AT_ONCE:
+                yield ids, docs
+                ids, docs, n = [], [], 0
+    if docs:
+        yield ids, docs
 
 
 def _filters(texts: DataFrame, window: int) -> list[np.ndarray]:
@@ -97,7 +120,7 @@ def _filters(texts: DataFrame, window: int) -> list[np.ndarray]:
 
         def sightings(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
             survive = Survivors(window, shared.value)
-            got = [survive(ws)[0] for t in column(batch, "_text") if len(ws := t.encode().split()) >= window]
+            got = [survive(docs)[0] for _, docs in together(((None, t) for t in column(batch, "_text")), window)]
             return np.concatenate(got) if got else np.zeros(0, U64)
 
         found.append(seen_twice(texts, sightings, bits, HASHES))
@@ -105,24 +128,33 @@ def _filters(texts: DataFrame, window: int) -> list[np.ndarray]:
 
 
 def _pack(h1, h2, doc, at) -> bytes:
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in (h1, h2, doc, at.astype(np.int32)))
+    """20 bytes a sighting: 64 and 32 bits of hash, the document's place in a list of ids, the start."""
+    ids, which = np.unique(doc, return_inverse=True)
+    parts = (np.array([len(ids)], np.int64), ids, h1, h2, which.astype(np.int32), at)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = len(blob) // 28
-    return np.frombuffer(blob, U64, n), np.frombuffer(blob, U64, n, 8 * n), np.frombuffer(blob, np.int64, n, 16 * n), np.frombuffer(blob, np.int32, n, 24 * n)
+    k = int(np.frombuffer(blob, np.int64, 1)[0])
+    ids, o = np.frombuffer(blob, np.int64, k, 8), 8 + 8 * k
+    n = (len(blob) - o) // 20
+    h1, h2 = np.frombuffer(blob, U64, n, o), np.frombuffer(blob, np.uint32, n, o + 8 * n)
+    return h1, h2, ids[np.frombuffer(blob, np.int32, n, o + 12 * n)], np.frombuffer(blob, np.int32, n, o + 16 * n)
 
 
-def _settle(h1, h2, doc, at) -> tuple[np.ndarray, np.ndarray]:
-    """(order, earlier): sightings sorted by window, document and place; which of them an earlier one precedes.
+def _settle(h1, h2, doc, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, earlier): sightings sorted by window, document and place; which are their window's first; which an earlier one precedes.
 
     Sightings of one place (rows that repeat a document) do not precede each other.
     """
-    order = np.lexsort((at, doc, h2, h1))
-    a, b, d, p = h1[order], h2[order], doc[order], at[order]
-    same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])] if len(a) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(a)))) if len(a) else np.zeros(0, int)
-    return order, same & ((d != d[first]) | (p != p[first]))
+    order = np.lexsort((at, doc, h1))
+    a, b = h1[order], h2[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # one lane collides: sort by both
+        order = np.lexsort((at, doc, h2, h1))
+        a, b = h1[order], h2[order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))]
+    return order, first, ~first & ((doc[order] != doc[lead]) | (at[order] != at[lead]))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,51 +184,50 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         order = np.lexsort((at, doc, r))
         r, doc, at = r[order], doc[order], at[order]
         for lo, hi in zip(*runs(r), strict=True):
-            yield 1, int(r[lo]), doc[lo:hi].tobytes() + at[lo:hi].astype(np.int32).tobytes()
+            yield int(r[lo]), doc[lo:hi].tobytes() + at[lo:hi].astype(np.int32).tobytes()
 
     def sight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             survive, held, n = Survivors(window, filters.value), [], 0
             for batch in batches:
-                for i, t in zip(column(batch, "_id"), column(batch, "_text"), strict=True):
-                    ws = t.encode().split()
-                    if len(ws) < window:
-                        continue
-                    _, starts, a, b = survive(ws)
+                for ids, docs in together(zip(column(batch, "_id"), column(batch, "_text"), strict=True), window):
+                    _, starts, first, a, b = survive(docs)
                     if len(starts):
-                        held.append((ngrams(a, window, 11)[starts], ngrams(b, window, 13)[starts], np.full(len(starts), i, np.int64), starts.astype(np.int32)))
+                        doc = np.searchsorted(first, starts, side="right") - 1
+                        h1, h2 = ngrams(a, window, 11)[starts], (ngrams(b, window, 13)[starts] >> U64(32)).astype(np.uint32)
+                        held.append((h1, h2, np.array(ids, np.int64)[doc], (starts - first[doc]).astype(np.int32)))
                         n += len(starts)
-                if n >= FLUSH:
-                    yield flush(held)
-                    held, n = [], 0
+                    if n >= FLUSH:
+                        yield flush(held)
+                        held, n = [], 0
             if held:
                 yield flush(held)
 
     def flush(held: list) -> pa.RecordBatch:
         h1, h2, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, earlier = _settle(h1, h2, doc, at)
-        out = list(verdicts(doc[order][earlier], at[order][earlier]))
-        a, b, d, p = (x[order] for x in (h1, h2, doc, at))
-        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        a, b, d, p = a[first], b[first], d[first], p[first]
-        r = (a % U64(buckets)).astype(np.int64)
-        order = np.argsort(r, kind="stable")
-        r = r[order]
+        order, first, earlier = _settle(h1, h2, doc, at)
+        # settled here already: sent on through any bucket
+        out = [(r % buckets, r, blob) for r, blob in verdicts(doc[order[earlier]], at[order[earlier]])]
+        o = order[first]
+        r = (h1[o] % U64(buckets)).astype(np.int64)
+        by = np.argsort(r, kind="stable")
+        o, r = o[by], r[by]
         for lo, hi in zip(*runs(r), strict=True):
-            o = order[lo:hi]
-            out.append((0, int(r[lo]), _pack(a[o], b[o], d[o], p[o])))
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["kind", "bucket", "blob"])
+            x = o[lo:hi]
+            out.append((int(r[lo]), None, _pack(h1[x], h2[x], doc[x], at[x])))
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "region", "blob"])
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of one bucket of windows, those whose first sighting is elsewhere."""
-        h1, h2, doc, at = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"]), strict=True))
-        order, earlier = _settle(h1, h2, doc, at)
-        out = [(r, blob) for _, r, blob in verdicts(doc[order][earlier], at[order][earlier])]
+        """Of one bucket of windows, those whose first sighting is elsewhere; verdicts pass through."""
+        done = pdf["region"].notna()
+        out = [(int(r), blob) for r, blob in zip(pdf.loc[done, "region"], pdf.loc[done, "blob"], strict=True)]
+        if not done.all():
+            h1, h2, doc, at = (np.concatenate(x) for x in zip(*map(_unpack, pdf.loc[~done, "blob"]), strict=True))
+            order, _, earlier = _settle(h1, h2, doc, at)
+            out += verdicts(doc[order[earlier]], at[order[earlier]])
         return pd.DataFrame(out, columns=["region", "blob"])
 
-    sent = materialize(rows.mapInArrow(sight, "kind int, bucket long, blob binary"), "windows")
-    later = sent.where("kind = 0").select("bucket", "blob").groupBy("bucket").applyInPandas(judge, "region long, blob binary")
-    found = sent.where("kind = 1").select(F.col("bucket").alias("region"), "blob").unionByName(later)
+    found = rows.mapInArrow(sight, "bucket long, region long, blob binary").groupBy("bucket").applyInPandas(judge, "region long, blob binary")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a document: the starts of its repeated windows. A region's blobs are all in one task."""
