@@ -167,9 +167,9 @@ def apply_decisions(concepts: DataFrame, decided: DataFrame) -> DataFrame:
     fields = ["name", "definition", "chapter", "difficulty", "node_role", "aliases", "ord"]
     c = concepts.select(*[F.col(x) for x in fields])
     touched = c.join(comp, c["name"] == comp["id"]).drop("id")
-    pairs = ok.join(comp.select(F.col("id").alias("name_a"), "component"), "name_a")
-    schema = c.schema.add("merged", "int")
-    done = touched.groupBy("component").cogroup(pairs.groupBy("component")).applyInPandas(lambda a, b: _replay(a, b)[[f.name for f in schema]], schema)
+    pairs = ok.join(comp.select(F.col("id").alias("name_a"), F.col("component").alias("of")), "name_a")
+    schema = c.schema.add("merged", "integer")
+    done = touched.groupBy("component").cogroup(pairs.groupBy("of")).applyInPandas(lambda a, b: _replay(a, b)[[f.name for f in schema]], schema)
     return c.join(comp, c["name"] == comp["id"], "left_anti").withColumn("merged", F.lit(1)).unionByName(done)
 
 
