@@ -24,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.text import column, ngrams, word_hashes
+from cairn.llm.text import column, constants, mix, ngrams, word_hashes
 
 #: Labelled rows a class that are learned from at most, and words of each.
 SAMPLE, SAMPLE_WORDS = 3000, 1500
@@ -34,7 +34,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 32768, 4096
 PAD = b"0123456789" * 8
 THRESHOLD = 0.7
 #: A word is toxic vocabulary if so many more of the toxic than of the ordinary rows hold it.
-LIFT, SHARE = 20, 0.01
+LIFT, SHARE = 20, 0.03
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -55,7 +55,8 @@ def _content(samples: list[bytes], size: int) -> bytes:
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     if len(content) < 8:
         return zstd.ZstdCompressor(level=LEVEL, write_content_size=False)
-    d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    # the last bytes of a dictionary cannot start a match: the pad stands there
+    d = zstd.ZstdCompressionDict(content + PAD, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=LEVEL)
     return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -93,16 +94,17 @@ class Model:
 
 
 def _apart(texts: list[str]) -> list[list[bytes]]:
-    """Words of each text, near copies left out by their smallest five-word shingle."""
+    """Words of each text, near copies left out: texts that share one of eight smallest five-word shingles."""
     seen, out = set(), []
+    salts = constants(8, 5)
     for t in texts:
         ws = t.encode().lower().split()[:SAMPLE_WORDS]
         with np.errstate(over="ignore"):
             s = ngrams(word_hashes(ws), 5)
-        k = int(s.min()) if len(s) else b" ".join(ws)
-        if k not in seen:
-            seen.add(k)
+            keys = {(i, int(mix(s * c).min())) for i, c in enumerate(salts)} if len(s) else {b" ".join(ws)}
+        if seen.isdisjoint(keys):
             out.append(ws)
+        seen |= keys
     return out
 
 
@@ -114,7 +116,11 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
     least = max(3, SHARE * len(t1))
     lift = {w: (n + 0.1) / (len(t1) + 1) / ((co[w] + 0.1) / (len(o1) + 1)) for w, n in ct.items() if n >= least}
     vocabulary = [b" " + w for w in sorted(lift, key=lambda w: (ct[w], w)) if lift[w] >= min(LIFT, 2 + len(o1) / 10) for _ in range(min(ct[w], 50))]
-    model = Model(_content([b" ".join(ws[i : i + WINDOW]) for ws in o1 for i in range(0, min(len(ws), 20 * WINDOW), WINDOW)], ORDINARY_BYTES), _content(vocabulary, TOXIC_BYTES) if vocabulary else b"")
+    ordinary = _content([b" ".join(ws[i : i + WINDOW]) for ws in o1 for i in range(0, min(len(ws), 20 * WINDOW), WINDOW)], ORDINARY_BYTES)
+    toxic = _content(vocabulary, TOXIC_BYTES // 2) if vocabulary else b""
+    # training passes over words shorter than the pieces it counts: they follow, the commonest last
+    toxic += b"".join(w for w in dict.fromkeys(vocabulary) if w not in toxic)
+    model = Model(ordinary, toxic[-TOXIC_BYTES:])
     held = [b" ".join(ws).decode(errors="replace") for ws in (t2 or t) + (o2 or o)]
     x = np.array([model.features(s) for s in held]) if held else np.zeros((0, 6))
     y = np.r_[np.ones(len(t2 or t)), np.zeros(len(o2 or o))]
