@@ -11,13 +11,17 @@ is the length of the longest common subsequence over the length of the union,
 and links from SIMILARITY on.
 
 Groups of copies can be large, so the documents of a bucket are not all paired.
-One of the shortest, the bucket's pivot, is aligned with each other. Let x and y
-be similar and neither linked through the pivot b. If all that x and y share were
-in b, both would be similar to b, which is no longer than either. So they share a
-shingle that b lacks, and the smallest such shingle is among the first fifth of
-the shingles that x, and y, have and b lacks. These shingles are the next round's
-buckets. Rounds end when no bucket holds two classes that were not compared. (What
-is shared is meant as a set; a copy with its blocks moved counts as unlike.)
+
+* A twin Bloom filter over the candidates' shingles tells which a document can
+  share with any other. Two documents whose shareable shingles are too few for
+  the similarity are no candidates: this drops copies that were edited too much,
+  and long documents that only share a passage, without comparing them.
+* One document of each bucket, the pivot, with the fewest shingles of its own, is
+  aligned with each other one. This joins the bulk of a group in linear work.
+* Only documents that are then in another class than their bucket's pivot are
+  aligned with the bucket's documents of other classes. Pairs of one class need no
+  comparison, so no class is lost, and no pair that shares a bucket and could join
+  two classes is passed over.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.text import U64, column, constants, mix, ngrams, occurrence_labelled, text_of, word_hashes
+from cairn.llm.bloom import bits_for, has, seen_twice
+from cairn.llm.text import U64, column, constants, mix, ngrams, occurrence_labelled, octets, text_of, word_hashes
 from cairn.session import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 16, 3
-#: Rounds after which the search would stop with an error: classes merge in each, so few are ever needed.
-MAX_ROUNDS = 40
+HASHES, BITS_PER_SHINGLE = 3, 8
 
 
 def shingles(text: str) -> np.ndarray:
@@ -94,11 +98,6 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return len(tails) >= need
 
 
-def beyond(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
-    """The first fifth of x's shingles, smallest first, that the pivot lacks."""
-    return np.setdiff1d(x, pivot)[: len(x) - ceil(SIMILARITY * len(x)) + 1]
-
-
 def _sketched(docs: DataFrame) -> DataFrame:
     """_id, digest of the word sequence, shingles' number, bucket keys."""
 
@@ -120,18 +119,49 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Align each pair; say whether it links, and which of x's shingles the pivot lacks."""
+    """Align each pair; the pairs that link."""
     last, s = None, None
     with np.errstate(over="ignore"):
         for b in batches:
-            ok, more = [], []
-            for p, pt, xt in zip(column(b, "pivot"), column(b, "pt"), column(b, "xt"), strict=True):
+            ok = []
+            for p, pt, xt in zip(column(b, "a"), column(b, "ta"), column(b, "tb"), strict=True):
                 if p != last:
                     last, s = p, shingles(pt)
-                x = shingles(xt)
-                ok.append(aligned(x, s))
-                more.append(mix(beyond(x, s) * U64(0x9E3779B97F4A7C15) ^ U64(p & (2**64 - 1))).view(np.int64))
-            yield pa.record_batch([b.column("pivot"), b.column("x"), pa.array(ok, pa.bool_()), pa.array(more, pa.list_(pa.int64()))], ["pivot", "x", "ok", "keys"])
+                ok.append(aligned(shingles(xt), s))
+            mask = pa.array(ok, pa.bool_())
+            yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    with_b = pairs.join(texts.select(F.col("_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = with_b.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    return materialize(both.mapInArrow(_verify, "a long, b long"), "links")
+
+
+def _shareable(texts: DataFrame) -> DataFrame:
+    """(x, n, c): each candidate's shingles, and how many of them another candidate may have."""
+    bits = bits_for(octets(texts) // 7, BITS_PER_SHINGLE)
+
+    def sightings(batch: pa.RecordBatch) -> np.ndarray:
+        got = [shingles(t) for t in column(batch, "text")]
+        return np.concatenate(got) if got else np.zeros(0, U64)
+
+    shared = texts.sparkSession.sparkContext.broadcast(seen_twice(texts.select("text"), sightings, bits, HASHES))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in batches:
+                s = [shingles(t) for t in column(b, "text")]
+                c = [int(has(shared.value, x, HASHES).sum()) for x in s]
+                yield pa.record_batch([b.column("_id"), pa.array([len(x) for x in s], pa.int32()), pa.array(c, pa.int32())], ["x", "n", "c"])
+
+    return texts.select("_id", "text").mapInArrow(count, "x long, n int, c int")
+
+
+def _feasible(n1: str, c1: str, n2: str, c2: str):
+    """Whether two documents have enough shareable shingles: what is shared is at most the fewer of them."""
+    need = (F.col(n1) + F.col(n2)) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    return F.least(F.col(c1), F.col(c2)) >= need
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,68 +204,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = once.join(reps.select("digest", "rep"), "digest").select("_id", "rep")
 
     # one row a bucket and document; buckets of one are dropped before anything else is done
-    entries = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("x"), "n")
-    entries = materialize(_shared_buckets(entries), "buckets")
+    entries = materialize(_shared(reps.select(F.explode("keys").alias("key"), F.col("rep").alias("x"))), "buckets")
     # the texts of candidates are fetched once
     wanted = reps.join(entries.select(F.col("x").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("_id"), "digest")
     source = rows.join(light.select("_id", "digest").join(wanted, ["_id", "digest"]).select("_id").distinct(), "_id", "left_semi")
     texts = materialize(source.groupBy("_id").agg(F.min("_text").alias("text")), "texts")
-    # x: (rep, n) for later rounds' buckets
-    sizes = entries.select("x", "n").distinct()
-
-    label = links = tested = keyed = None
-    for _ in range(MAX_ROUNDS):
-        pairs = _pairs(entries)
-        if tested is not None:
-            pairs = pairs.join(tested, ["pivot", "x"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        with_x = pairs.join(texts.select(F.col("_id").alias("x"), F.col("text").alias("xt")), "x")
-        both = with_x.join(texts.select(F.col("_id").alias("pivot"), F.col("text").alias("pt")), "pivot").select("pivot", "x", "pt", "xt")
-        done = materialize(both.mapInArrow(_verify, "pivot long, x long, ok boolean, keys array<long>"), "verified")
-        new = done.where("ok").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        # a quick class of each document: the smallest pivot it is linked to, and that pivot's own
-        near = links.select(F.col("b").alias("x"), F.col("a").alias("c")).unionByName(links.select(F.col("a").alias("x"), F.col("a").alias("c"))).groupBy("x").agg(F.min("c").alias("c"))
-        up = near.select(F.col("x").alias("c"), F.col("c").alias("top"))
-        label = materialize(near.join(up, "c", "left").select("x", F.least("c", F.coalesce("top", "c")).alias("class")), "labels")
-        # buckets of all rounds: a document compared earlier and one compared now may meet in one
-        keyed = done.select("x", "keys") if keyed is None else keyed.unionByName(done.select("x", "keys"))
-        entries = keyed.select(F.explode("keys").alias("key"), "x").join(sizes, "x").select("key", "x", "n")
-        entries = materialize(_shared_buckets(entries, label), "buckets")
-    else:
-        raise RuntimeError(f"near-duplicate rounds did not end after {MAX_ROUNDS}")
+    # the shortest partner has SIMILARITY times the shingles, so as many must be shareable
+    sizes = materialize(_shareable(texts).where(F.col("c") >= F.col("n") * SIMILARITY - 1e-6), "sizes")
+    entries = materialize(_shared(entries.join(sizes, "x")), "buckets")
+
+    pivot = entries.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("own"), F.col("x").alias("id"), "n", "c")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca"))
+    star = entries.join(pivot, "key").where((F.col("x") != F.col("a")) & _feasible("n", "c", "na", "ca")).select("a", F.col("x").alias("b")).distinct()
+    star = materialize(star, "pairs")
+    links = _links(star, texts)
+    label = _classes(links)
+
+    # documents in another class than their bucket's pivot, against the bucket's others
+    known = entries.join(label.withColumnRenamed("_id", "x"), "x", "left").withColumn("class", F.coalesce("class", "x"))
+    known = materialize(known.join(pivot.select("key", "a"), "key").join(label.select(F.col("_id").alias("a"), F.col("class").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a")), "known")
+    odd = known.where("class <> main").select("key", F.col("x").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("class").alias("la"))
+    other = known.select("key", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("class").alias("lb"), (F.col("class") != F.col("main")).alias("odd"))
+    # two odd ones meet once; the pivots themselves have been compared
+    once_ = (F.col("la") != F.col("lb")) & _feasible("na", "ca", "nb", "cb") & (~F.col("odd") | (F.col("odd") & (F.col("a") < F.col("b"))))
+    left, right = odd.alias("l"), other.alias("r")
+    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & once_).select("a", "b").distinct()
+    rest = rest.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
+    rest = materialize(rest, "pairs")
+    links = materialize(links.unionByName(_links(rest, texts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
     nodes = reps.select(F.col("rep").alias("_id"))
-    if links is None:
-        classes, degree = nodes.select("_id", F.col("_id").alias("class")), nodes.select("_id", F.lit(0).cast("long").alias("n_links")).limit(0)
-    else:
-        links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        linked = links.select(F.col("a").alias("_id")).unionByName(links.select(F.col("b").alias("_id")))
-        degree = linked.groupBy("_id").agg(F.count("*").alias("n_links"))
-        classes = components(linked.distinct(), links)
-        classes = nodes.join(classes, "_id", "left").select("_id", F.coalesce("class", "_id").alias("class"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("_id")).groupBy("_id").agg(F.count("*").alias("n_links"))
+    classes = nodes.join(_classes(links), "_id", "left").select("_id", F.coalesce("class", "_id").alias("class"))
     found = classes.join(degree, "_id", "left").select(F.col("_id").alias("rep"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return member.join(found, "rep").select(F.col("_id").alias(id_col), F.col("class").alias("class_id"), "n_links")
 
 
-def _shared_buckets(entries: DataFrame, label: DataFrame | None = None) -> DataFrame:
-    """Entries of the buckets that hold two documents, of two classes where classes are known."""
-    if label is None:
-        kept = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    else:
-        entries = entries.distinct()
-        known = entries.join(label, "x", "left").withColumn("c", F.coalesce("class", "x"))
-        kept = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return entries.join(kept, "key", "left_semi")
+def _classes(links: DataFrame) -> DataFrame:
+    """(_id, class) of the documents that have a link."""
+    return components(links.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), links)
 
 
-def _pairs(entries: DataFrame) -> DataFrame:
-    """(pivot, x) for each bucket's pivot, the shortest and among them the smallest id, and each other member."""
-    pivot = entries.groupBy("key").agg(F.min(F.struct("n", F.col("x").alias("id"))).alias("p"))
-    return entries.join(pivot, "key").where(F.col("x") != F.col("p.id")).select(F.col("p.id").alias("pivot"), "x").distinct()
+def _shared(entries: DataFrame) -> DataFrame:
+    """Entries of the buckets that hold two documents or more."""
+    many = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    return entries.join(many, "key", "left_semi")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
