@@ -31,8 +31,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White
 BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 #: A single blank before other white space.
 BLANK_RUN = regex.compile(r" [\p{White_Space}--\ ]", regex.V1)
-#: Pieces remembered before the older half is forgotten.
-REMEMBERED = 120_000
+#: Pieces, and words in them, remembered before the older half is forgotten: some 150 MB a worker.
+REMEMBERED, REMEMBERED_WORDS = 250_000, 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,7 +45,7 @@ def byte_letters() -> dict[int, str]:
 class Memory:
     """Two generations of remembered values: what the older one still serves moves to the younger."""
 
-    def __init__(self, make, most: int = REMEMBERED):
+    def __init__(self, make, most: int):
         self.make, self.most, self.young, self.old = make, most, {}, {}
 
     def __call__(self, key):
@@ -84,8 +84,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.beside: dict[int, bool] = {}
-        self.words = Memory(self._ids)
-        self.piece, self.after_blank = Memory(self._piece), Memory(lambda p: self._piece(" " + p))
+        self.words = Memory(self._ids, REMEMBERED_WORDS)
+        self.piece, self.after_blank = Memory(self._piece, REMEMBERED // 4), Memory(lambda p: self._piece(" " + p), REMEMBERED)
 
     def neighbours(self, left: int, right: int) -> bool:
         """Whether merging can leave these two tokens side by side.
@@ -136,10 +136,15 @@ class Encoder:
             at = start[at]
         return tuple(out[::-1])
 
-    def _piece(self, piece: str) -> tuple[str, int, bytes]:
-        """Ids joined by commas, their number, and the bytes that the ids decode to."""
-        ids = [i for w in PATTERN.findall(piece) for i in self.words(w)]
-        return ",".join(map(str, ids)), len(ids), b"".join(map(self.token.__getitem__, ids))
+    def _piece(self, piece: str) -> str:
+        """Ids joined by commas. They are decoded here and must give the piece again, so texts are put together from pieces."""
+        if piece[1:].isalpha() and (piece[0] == " " or piece.isalpha()):
+            ids = self.words(piece)
+        else:
+            ids = [i for w in PATTERN.findall(piece) for i in self.words(w)]
+        if b"".join(map(self.token.__getitem__, ids)) != piece.encode():
+            raise ValueError(f"{piece!r} does not come back from its ids")
+        return ",".join(map(str, ids))
 
     def pieces(self, text: str) -> Iterator[str]:
         """Cut before each single blank that a non-blank follows: the pattern always cuts there."""
@@ -156,26 +161,29 @@ class Encoder:
         if held:
             yield held
 
-    def _parts(self, text: str) -> list[tuple[str, int, bytes]]:
+    def _part(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, decoded text) of a non-empty text without special tokens."""
         if "  " in text or text.endswith(" ") or BLANK_RUN.search(text):
-            return list(map(self.piece, self.pieces(text)))
+            parts = list(self.pieces(text))
+            return ",".join(map(self.piece, parts)), "".join(parts)
         first, *rest = text.split(" ")
-        young = self.after_blank.young.get
-        out = list(map(young, rest))
+        out = list(map(self.after_blank.young.get, rest))
         if None in out:
             out = [self.after_blank(p) if x is None else x for p, x in zip(rest, out, strict=True)]
-        return [self.piece(first), *out] if first else out
+        if first:
+            out.insert(0, self.piece(first))
+        return ",".join(out), " ".join([first, *rest])
 
     def run(self, text: str) -> tuple[str, int, bytes]:
         """Ids joined by commas, their number, and the decoded bytes of a whole text."""
-        out = []
-        for part in self.splitter.split(text) if self.special and any(s in text for s in self.special) else (text,):
-            if part in self.special:
-                i = self.special[part]
-                out.append((str(i), 1, self.token[i]))
-            elif part:
-                out += self._parts(part)
-        return ",".join([x[0] for x in out]), sum([x[1] for x in out]), b"".join([x[2] for x in out])
+        if not text:
+            return "", 0, b""
+        if not self.special or not any(s in text for s in self.special):
+            ids, decoded = self._part(text)
+        else:
+            out = [(str(self.special[p]), p) if p in self.special else self._part(p) for p in self.splitter.split(text) if p]
+            ids, decoded = ",".join([x[0] for x in out]), "".join([x[1] for x in out])
+        return ids, ids.count(",") + 1, decoded.encode()
 
     def encode(self, text: str) -> list[int]:
         ids = self.run(text)[0]
