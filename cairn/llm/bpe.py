@@ -31,8 +31,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White
 BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 #: A single blank before other white space.
 BLANK_RUN = regex.compile(r" [\p{White_Space}--\ ]", regex.V1)
-#: Pieces, and words in them, remembered before the older half is forgotten: some 150 MB a worker.
-REMEMBERED, REMEMBERED_WORDS = 250_000, 100_000
+#: Pieces, and words in them, remembered before the older half is forgotten: some 350 MB a worker.
+REMEMBERED, REMEMBERED_WORDS = 450_000, 200_000
 
 
 def byte_letters() -> dict[int, str]:
