@@ -23,8 +23,8 @@ from cairn.session import materialize
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
-#: Hash buckets a pattern: the order inside one bucket is the largest unit that one task orders.
-BUCKETS = 4096
+#: Hash buckets a pattern, at most, and the documents that one is meant to hold: one bucket a pattern is put in order.
+BUCKETS, BUCKET_DOCS = 4096, 1000
 SEED = 20
 
 
@@ -112,11 +112,19 @@ def _spend(pdf: pd.DataFrame) -> pd.DataFrame:
     for z in sizes:
         took.append(0 < z <= left)
         left -= z * took[-1]
-    # one more document, the smallest that is left, if that comes nearer
-    rest = [(z, i) for i, (z, k) in enumerate(zip(sizes, took, strict=True)) if z and not k]
-    if rest and min(rest)[0] < 2 * left:
-        took[min(rest)[1]] = True
-    return pdf.assign(_extra=np.array(took, bool))[["_id", "_key", "size", "_same", "_extra"]]
+    # one more document, or one for another, if that comes nearer
+    z, took = np.array(sizes), np.array(took, bool)
+    inside, outside = np.r_[-1, np.flatnonzero(took)], np.flatnonzero(~took & (z > 0))
+    if left and len(outside):
+        outside = outside[np.argsort(z[outside], kind="stable")]
+        want = np.where(inside >= 0, z[inside], 0) + left
+        at = np.searchsorted(z[outside], want)
+        best = min(((abs(int(want[i] - z[outside[j]])), i, j) for i in range(len(inside)) for j in {max(at[i] - 1, 0), min(at[i], len(outside) - 1)}), default=None)
+        if best and best[0] < left:
+            took[outside[best[2]]] = True
+            if inside[best[1]] >= 0:
+                took[inside[best[1]]] = False
+    return pdf.assign(_extra=took)[["_id", "_key", "size", "_same", "_extra"]]
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -126,9 +134,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     to the driver.
     """
     light = materialize(_light(docs, id_col, text_col, source_col).groupBy("_id", "_key", "size").agg(F.first("_members").alias("_members"), F.count("*").alias("_same")), "mix")
-    got = light.groupBy("_key").agg(F.first("_members").alias("m"), F.sum(F.col("size") * F.col("_same")).alias("n")).collect()
+    got = light.groupBy("_key").agg(F.first("_members").alias("m"), F.sum(F.col("size") * F.col("_same")).alias("n"), F.count("*").alias("k")).collect()
     supply = {tuple(r["m"]): int(r["n"]) for r in got}
     keys = {tuple(r["m"]): r["_key"] for r in got}
+    parts = {tuple(r["m"]): min(BUCKETS, max(1, int(r["k"]) // BUCKET_DOCS)) for r in got}
     size: dict = defaultdict(int)
     for p, n in supply.items():
         for s in p:
@@ -140,11 +149,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     for p, n in supply.items():
         taken = sum(flow.get((p, s), 0) for s in p)
         base = min(REPEATS, taken // n) if n else 0
-        plan.append((keys[p], base, taken - base * n if base < REPEATS else 0, sum(size[s] for s in p), float(sum(goal[s] for s in p))))
+        plan.append((keys[p], base, taken - base * n if base < REPEATS else 0, sum(size[s] for s in p), float(sum(goal[s] for s in p)), parts[p]))
     spark = docs.sparkSession
     # a row a pattern, no more than the flow network had nodes
-    schedule = F.broadcast(spark.createDataFrame(plan, "_key string, _base long, _rest long, source_size long, target double"))
-    placed = light.drop("_members").withColumn("_order", F.xxhash64(F.lit(seed), "_id", "size")).withColumn("_bucket", F.pmod("_order", F.lit(BUCKETS)).cast("int"))
+    schedule = F.broadcast(spark.createDataFrame(plan, "_key string, _base long, _rest long, source_size long, target double, _parts int"))
+    placed = light.drop("_members").withColumn("_order", F.xxhash64(F.lit(seed), "_id", "size")).join(schedule.select("_key", "_parts"), "_key")
+    placed = placed.withColumn("_bucket", F.pmod("_order", F.col("_parts")).cast("int")).drop("_parts")
     # running sums over at most BUCKETS rows a pattern; the bucket in which the rest runs out is the cut
     per = placed.groupBy("_key", "_bucket").agg(F.sum(F.col("size") * F.col("_same")).alias("n"))
     run = per.withColumn("_upto", F.sum("n").over(Window.partitionBy("_key").orderBy("_bucket"))).join(schedule.select("_key", "_rest"), "_key")
