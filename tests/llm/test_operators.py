@@ -276,7 +276,7 @@ def test_ann(spark, sf):
 def test_ann_corners(spark):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(size=4).tolist()) for i in range(30)]
-    data += [(40, None), (60, [0.0] * 4), (80, [1.0, float("nan"), 0, 0]), (100, [1.0, None, 0.0, 0.0]), (120, [float("inf"), 0.0, 0, 0]), (140, [1.0]), (None, [1.0] * 4)]
+    data += [(40, None), (60, [0.0] * 4), (80, [1.0, float("nan"), 0.0, 0.0]), (100, [1.0, None, 0.0, 0.0]), (120, [float("inf"), 0.0, 0.0, 0.0]), (140, [1.0]), (None, [1.0] * 4)]
     v = spark.createDataFrame([(i, e, "c") for i, e in data], "vec_id long, embedding array<double>, list string")
     got = ann.search(v).collect()
     good = dict(data[:30])
