@@ -19,9 +19,12 @@ Groups of copies can be large, so the documents of a bucket are not all paired.
 * One document of each bucket, the pivot, with the fewest shingles of its own, is
   aligned with each other one. This joins the bulk of a group in linear work.
 * Only documents that are then in another class than their bucket's pivot are
-  aligned with the bucket's documents of other classes. Pairs of one class need no
-  comparison, so no class is lost, and no pair that shares a bucket and could join
-  two classes is passed over.
+  paired with documents of other classes. A similar pair whose common shingles
+  include one that COMMON documents or fewer hold meets on such a shingle: on one
+  of the rarest that each of them has, as many as the similarity requires. A pair
+  that only has commoner shingles in common must have enough of these; it meets in
+  its bucket. Pairs of one class need no comparison. So no class is lost, and the
+  number of pairs does not grow with the square of a group's size.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ from cairn.session import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 16, 3
 HASHES, BITS_PER_SHINGLE = 3, 8
+#: Documents that hold a shingle, up to which they are paired by it.
+COMMON = 64
 
 
 def shingles(text: str) -> np.ndarray:
@@ -138,15 +143,19 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(_verify, "a long, b long"), "links")
 
 
-def _shareable(texts: DataFrame) -> DataFrame:
-    """(x, n, c): each candidate's shingles, and how many of them another candidate may have."""
+def _shared_filter(texts: DataFrame):
+    """A broadcast filter of the shingles that two candidates may have."""
     bits = bits_for(octets(texts) // 7, BITS_PER_SHINGLE)
 
     def sightings(batch: pa.RecordBatch) -> np.ndarray:
         got = [shingles(t) for t in column(batch, "text")]
         return np.concatenate(got) if got else np.zeros(0, U64)
 
-    shared = texts.sparkSession.sparkContext.broadcast(seen_twice(texts.select("text"), sightings, bits, HASHES))
+    return texts.sparkSession.sparkContext.broadcast(seen_twice(texts.select("text"), sightings, bits, HASHES))
+
+
+def _shareable(texts: DataFrame, shared) -> DataFrame:
+    """(x, n, c): each candidate's shingles, and how many of them another candidate may have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -158,6 +167,31 @@ def _shareable(texts: DataFrame) -> DataFrame:
     return texts.select("_id", "text").mapInArrow(count, "x long, n int, c int")
 
 
+def _rare(texts: DataFrame, docs: DataFrame, shared) -> DataFrame:
+    """(x, n, class, odd, c, h, prefix) for docs (x, n, class, odd).
+
+    c: shingles that another of docs has; h: those that more than COMMON have;
+    prefix: the rarer ones among the first, rarest first, of which two similar
+    documents must have one in common unless all they share is common.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in batches:
+                s = [shingles(t) for t in column(b, "text")]
+                s = [x[has(shared.value, x, HASHES)].view(np.int64) for x in s]
+                yield pa.record_batch([*[b.column(i) for i in range(4)], pa.array(s, pa.list_(pa.int64()))], ["x", "n", "class", "odd", "s"])
+
+    held = materialize(docs.join(texts, F.col("x") == F.col("_id")).select("x", "n", "class", "odd", "text").mapInArrow(go, "x long, n int, class long, odd boolean, s array<long>"), "shingles")
+    each = held.select("x", F.explode("s").alias("s"))
+    many = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    per = each.join(many, "s").groupBy("x").agg(F.count("*").alias("c"), F.count_if(F.col("k") > COMMON).alias("h"), F.array_sort(F.collect_list(F.when(F.col("k") <= COMMON, F.struct("k", "s")))).alias("rare"))
+    # shingles that no other document has come first of all, and take up places
+    length = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6) + 1 - (F.col("n") - F.col("c"))
+    prefix = F.transform(F.slice("rare", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda r: r["s"])
+    return held.drop("s").join(per, "x").select("x", "n", "class", "odd", "c", "h", prefix.alias("prefix"))
+
+
 def _feasible(n1: str, c1: str, n2: str, c2: str):
     """Whether two documents have enough shareable shingles: what is shared is at most the fewer of them."""
     need = (F.col(n1) + F.col(n2)) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
@@ -210,7 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = rows.join(light.select("_id", "digest").join(wanted, ["_id", "digest"]).select("_id").distinct(), "_id", "left_semi")
     texts = materialize(source.groupBy("_id").agg(F.min("_text").alias("text")), "texts")
     # the shortest partner has SIMILARITY times the shingles, so as many must be shareable
-    sizes = materialize(_shareable(texts).where(F.col("c") >= F.col("n") * SIMILARITY - 1e-6), "sizes")
+    shared = _shared_filter(texts)
+    sizes = materialize(_shareable(texts, shared).where(F.col("c") >= F.col("n") * SIMILARITY - 1e-6), "sizes")
     entries = materialize(_shared(entries.join(sizes, "x")), "buckets")
 
     pivot = entries.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("own"), F.col("x").alias("id"), "n", "c")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca"))
@@ -219,15 +254,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(star, texts)
     label = _classes(links)
 
-    # documents in another class than their bucket's pivot, against the bucket's others
+    # documents in another class than their bucket's pivot, and the others of such buckets
     known = entries.join(label.withColumnRenamed("_id", "x"), "x", "left").withColumn("class", F.coalesce("class", "x"))
-    known = materialize(known.join(pivot.select("key", "a"), "key").join(label.select(F.col("_id").alias("a"), F.col("class").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a")), "known")
-    odd = known.where("class <> main").select("key", F.col("x").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("class").alias("la"))
-    other = known.select("key", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("class").alias("lb"), (F.col("class") != F.col("main")).alias("odd"))
-    # two odd ones meet once; the pivots themselves have been compared
-    once_ = (F.col("la") != F.col("lb")) & _feasible("na", "ca", "nb", "cb") & (~F.col("odd") | (F.col("odd") & (F.col("a") < F.col("b"))))
-    left, right = odd.alias("l"), other.alias("r")
-    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & once_).select("a", "b").distinct()
+    known = known.join(pivot.select("key", "a"), "key").join(label.select(F.col("_id").alias("a"), F.col("class").alias("main")), "a", "left").withColumn("odd", F.col("class") != F.coalesce("main", "a"))
+    known = materialize(known.select("key", "x", "n", "class", "odd"), "known")
+    split = known.join(known.where("odd").select("key").distinct(), "key", "left_semi")
+    apart = _rare(texts, split.groupBy("x").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.max("odd").alias("odd")), shared)
+    apart = materialize(apart, "apart")
+
+    def side(df: DataFrame, tag: str, *more: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}{tag}") for c in ("x", "n", "class", "odd", "c", "h", *more)])
+
+    by_rare = apart.withColumn("s", F.explode("prefix"))
+    meet = (F.col("s1") == F.col("s2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "c1", "n2", "c2")
+    # a pair of two odd ones meets once
+    rest = side(by_rare.where("odd"), "1", "s").join(side(by_rare, "2", "s"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2")
+    by_key = split.select("key", "x").join(apart.where(F.col("h") >= F.col("n") * SIMILARITY - 1e-6), "x")
+    meet = (F.col("key1") == F.col("key2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "h1", "n2", "h2")
+    rest = rest.unionByName(side(by_key.where("odd"), "1", "key").join(side(by_key, "2", "key"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2"))
+    rest = rest.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
     rest = rest.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
     rest = materialize(rest, "pairs")
     links = materialize(links.unionByName(_links(rest, texts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

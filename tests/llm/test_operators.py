@@ -134,7 +134,9 @@ def test_near_duplicates(spark):
     assert kept.count() == len(set(got.values())) and kept.columns == docs(spark, []).columns
 
 
-def test_one_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("common", [64, 6])
+def test_one_large_group_of_near_copies(spark, monkeypatch, common):
+    monkeypatch.setattr(near_dedup, "COMMON", common)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(150)]
     texts = []
