@@ -21,7 +21,8 @@ Groups of copies can be large, so the documents of a bucket are not all paired.
 * Only documents that are then in another class than their bucket's pivot are
   paired with documents of other classes. A similar pair whose common shingles
   include one that COMMON documents or fewer hold meets on such a shingle: on one
-  of the rarest that each of them has, as many as the similarity requires. A pair
+  of the rarest that each of them has, as many as the similarity requires, and
+  where enough shingles are left behind it for the similarity. A pair
   that only has commoner shingles in common must have enough of these; it meets in
   its bucket. Pairs of one class need no comparison. So no class is lost, and the
   number of pairs does not grow with the square of a group's size.
@@ -265,10 +266,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def side(df: DataFrame, tag: str, *more: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}{tag}") for c in ("x", "n", "class", "odd", "c", "h", *more)])
 
-    by_rare = apart.withColumn("s", F.explode("prefix"))
-    meet = (F.col("s1") == F.col("s2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "c1", "n2", "c2")
+    # places count from the rarest on: the first shingle that two documents share leaves no more to share than what follows it in either
+    by_rare = apart.select("*", F.posexplode("prefix").alias("at", "s")).withColumn("left", F.col("c") - F.col("at"))
+    meet = (F.col("s1") == F.col("s2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "left1", "n2", "left2")
     # a pair of two odd ones meets once
-    rest = side(by_rare.where("odd"), "1", "s").join(side(by_rare, "2", "s"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2")
+    rest = side(by_rare.where("odd"), "1", "s", "left").join(side(by_rare, "2", "s", "left"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2")
     by_key = split.select("key", "x").join(apart.where(F.col("h") >= F.col("n") * SIMILARITY - 1e-6), "x")
     meet = (F.col("key1") == F.col("key2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "h1", "n2", "h2")
     rest = rest.unionByName(side(by_key.where("odd"), "1", "key").join(side(by_key, "2", "key"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2"))
