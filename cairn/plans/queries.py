@@ -174,9 +174,14 @@ def prereq_ancestors(s, d):
     return G.ancestors(W.concept(s, d).select(F.col("name").alias("root")), W.prereq(s, d))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+# what stays when nodes without predecessors are peeled off: the nodes that a cycle reaches
+REACH = "SELECT source AS a, target AS b FROM prereq UNION SELECT x.a, p.target FROM reach x JOIN prereq p ON p.source = x.b"
+VIEWS["reach"] = REACH
+NEEDS["reach"] = ["prereq"]
+
+
+@query(sql("SELECT count(DISTINCT b) AS n FROM reach WHERE a IN (SELECT a FROM reach WHERE a = b)", "reach"))
 def prereq_cycle_residue(s, d):
-    # sources have smaller numbers than targets, so there is no cycle
     return G.cycle_residue(W.prereq(s, d)).agg(F.count("*").alias("n"))
 
 
@@ -319,10 +324,10 @@ def embed_pairs(s, d):
     return R.similar_pairs(_vectors(s, d), 0.35).select("a", "b")
 
 
-@query(sql("SELECT query, CAST(r AS INT) AS rank, id FROM (SELECT q.vec_id AS query, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, v.v) / (q.n * v.n), 6) DESC, v.vec_id) AS r FROM vec q, vec v WHERE q.vec_id % 50 = 0) t WHERE r <= 5", "vec"))
+@query(sql("SELECT query, CAST(r AS INT) AS rank, id FROM (SELECT q.vec_id AS query, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, v.v) / (q.n * v.n), 6) DESC, v.vec_id) AS r FROM vec q, vec v WHERE q.vec_id % 20 = 0) t WHERE r <= 5", "vec"))
 def vector_topk(s, d):
-    # the questions asked are a set of their own: every 50th vector stands for one
-    return R.top_k(_vectors(s, d).where("id % 50 = 0"), _vectors(s, d)).select("query", "rank", "id")
+    # the questions asked are a set of their own: every 20th vector stands for one
+    return R.top_k(_vectors(s, d).where("id % 20 = 0"), _vectors(s, d)).select("query", "rank", "id")
 
 
 @query()
