@@ -271,9 +271,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet = (F.col("s1") == F.col("s2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "left1", "n2", "left2")
     # a pair of two odd ones meets once
     rest = side(by_rare.where("odd"), "1", "s", "left").join(side(by_rare, "2", "s", "left"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2")
-    by_key = split.select("key", "x").join(apart.where(F.col("h") >= F.col("n") * SIMILARITY - 1e-6), "x")
-    meet = (F.col("key1") == F.col("key2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "h1", "n2", "h2")
-    rest = rest.unionByName(side(by_key.where("odd"), "1", "key").join(side(by_key, "2", "key"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2"))
+    # a pair that shares several buckets meets in the one with the smallest key
+    keyed = split.groupBy("x").agg(F.collect_set("key").alias("keys")).join(apart.where(F.col("h") >= F.col("n") * SIMILARITY - 1e-6), "x")
+    by_key = keyed.withColumn("key", F.explode("keys"))
+    meet = (F.col("key1") == F.col("key2")) & (F.col("class1") != F.col("class2")) & _feasible("n1", "h1", "n2", "h2") & (F.array_min(F.array_intersect("keys1", "keys2")) == F.col("key1"))
+    rest = rest.unionByName(side(by_key.where("odd"), "1", "key", "keys").join(side(by_key, "2", "key", "keys"), meet & (~F.col("odd2") | (F.col("x1") < F.col("x2")))).select("x1", "x2"))
     rest = rest.select(F.col("x1").alias("a"), F.col("x2").alias("b")).distinct()
     rest = rest.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
     rest = materialize(rest, "pairs")
