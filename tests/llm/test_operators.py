@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import ann, bpe, fingerprint, html, line_dedup, mixing, near_dedup, queries, substring_dedup, toxicity, warc
 from tests.compare import by_sql, rows
+from tests.llm.test_small import _late
 
 DOCS = "doc_id long, text string, source string, _text string, n_lines string, key string"
 
@@ -250,6 +251,16 @@ def test_toxicity(spark, sf):
     assert got.where((F.col("score") >= 0.7) != (F.col("predicted") == 1)).count() == 0
 
 
+def test_toxicity_learns_from_whole_rows(spark):
+    rng = random.Random(6)
+    texts = {i: _late(rng, i % 3 == 0) for i in range(240)}
+    rows_ = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    m = toxicity.fit(rows_, labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(rows_, m).collect()}
+    assert got == {i: int(i % 3 == 0) for i in texts}
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")

@@ -184,6 +184,22 @@ def test_toxic_words_are_learned():
     assert 0 <= toxicity.fit_texts([], []).score("x") <= 1
 
 
+def _late(rng, bad, n=2500):
+    """A text of three parts, plain words of its own in each, whose toxic wording comes after all of them."""
+    ws = [f"{rng.choice('klmn')}{rng.choice('aeiou')}{rng.choice('rst')}{rng.choice('aeiou')}{3 * i // n}" for i in range(n)]
+    return " ".join(ws + [rng.choice(["scumbag", "idiot", "moron"]) if bad and rng.random() < 0.3 else "zu" for _ in range(60)])
+
+
+def test_toxic_words_are_learned_from_whole_texts():
+    rng = random.Random(4)
+    m = toxicity.fit_texts([_late(rng, True) for _ in range(30)], [_late(rng, False) for _ in range(60)])
+    assert b"scumbag" in m.toxic and b"idiot" in m.toxic
+    # the ordinary dictionary knows the end of its texts, and calibration has seen as many windows as scoring does
+    assert b"zu zu" in m.ordinary and all(w in m.ordinary for w in (b"0 ", b"1 ", b"2 "))
+    good, bad = [m.score(_late(rng, False)) for _ in range(10)], [m.score(_late(rng, True)) for _ in range(10)]
+    assert min(bad) > 0.7 > max(good)
+
+
 def test_every_vector_is_in_a_list():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 8))
