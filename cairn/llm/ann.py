@@ -4,8 +4,9 @@ Centroids are fitted on a bounded sample. Every vector goes to the list of its
 nearest centroid and, near a boundary, to the lists of further centroids whose
 distance is within SPREAD of the nearest, at most COPIES of them. A query
 searches a graph over the centroids, which every task holds, and takes the lists
-whose centroid is no farther than a ratio times the nearest one. The ratio is
-the smallest that finds enough of the neighbours of a sample of queries, by
+whose centroid is no farther than a ratio times the nearest one, and further
+lists in the order of their centroids' distance until they hold enough vectors
+for a whole answer. The ratio is the smallest that finds enough of the neighbours of a sample of queries, by
 brute force on the sample. Inside the lists the search is exact.
 
 Largest inner products become smallest distances by one more component that
@@ -56,6 +57,7 @@ class Index:
     entries: np.ndarray  # centroids that a search starts from
     longest: float
     ratio: float = 2.0
+    homes: np.ndarray | None = None  # vectors whose nearest centroid each is: every vector counts once
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.c_[x, np.sqrt(np.maximum(0.0, self.longest**2 - (x * x).sum(1)))]
@@ -102,12 +104,23 @@ class Index:
             out.append(n[row[n] <= SPREAD * row[n[0]] + 1e-12])
         return out
 
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query looks into, by distance ratio; a query has no lift of its own."""
+    def probes(self, x: np.ndarray, k: int = K) -> list[np.ndarray]:
+        """The lists that each query looks into, by distance ratio; a query has no lift of its own.
+
+        Where the lists' own vectors are not more than k (the query may be one of
+        them), the next nearest lists are added until they are, or all are taken.
+        """
         out = []
         for q in np.c_[x, np.zeros(len(x))]:
             best, d = self.search(q, self.ratio)
-            out.append(best[d <= self.ratio * d[0] + 1e-12])
+            best = best[d <= self.ratio * d[0] + 1e-12]
+            if self.homes is not None and (have := self.homes[best].sum()) <= k:
+                # the graph may not reach every centroid: the rest is put in order by distance itself
+                rest = np.setdiff1d(np.arange(len(self.centroids)), best)
+                rest = rest[np.argsort(((self.centroids[rest] - q) ** 2).sum(1), kind="stable")]
+                more = np.searchsorted(have + np.cumsum(self.homes[rest]), k, side="right") + 1
+                best = np.r_[best, rest[:more]]
+            out.append(best)
         return out
 
 
@@ -180,8 +193,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     Returns query_id, rank (from 1), vec_id, score (in double precision, on the
     original vectors). Candidates are all rows but those with the query's own id;
-    with fewer than k of them, all those in the lists looked into, which for few
-    rows is one list of all. Equal scores rank the smaller id first. Vectors that
+    fewer than k rows come back only where there are fewer of them. Equal scores rank the smaller id first. Vectors that
     are null, zero, or hold null or non-finite components take no part. Rows that
     repeat an id count once, by the vector with the largest hash. An empty table
     gives an empty result. Every vector is in at least one list; only which lists
@@ -196,22 +208,28 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(index)
 
-    def post(batches: Iterator[pa.RecordBatch], queries: bool) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch], shared, queries: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, vs = column(b, "_id"), column(b, "_v")
             if not ids:
                 continue
-            at = (shared.value.probes if queries else shared.value.lists_of)(np.array(vs, float))
-            pairs = [(int(c), i, v) for i, v, cs in zip(ids, vs, at, strict=True) for c in cs]
-            yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([np.asarray(p[2], float).tobytes() for p in pairs], pa.binary())], ["list", "_id", "_v"])
-
-    posted = "list int, _id long, _v binary"
-    lists = rows.mapInArrow(lambda it: post(it, False), posted)
-    asked = rows.where(F.pmod("_id", F.lit(every)) == 0).mapInArrow(lambda it: post(it, True), posted)
+            x = np.array(vs, float)
+            at = shared.value.probes(x, k) if queries else shared.value.lists_of(x)
+            pairs = [(int(c), i, v, not j) for i, v, cs in zip(ids, vs, at, strict=True) for j, c in enumerate(cs)]
+            yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([np.asarray(p[2], float).tobytes() for p in pairs], pa.binary()), pa.array([p[3] for p in pairs], pa.bool_())], ["list", "_id", "_v", "home"])
+
+    posted = "list int, _id long, _v binary, home boolean"
+    bare = spark.sparkContext.broadcast(index)
+    lists = materialize(rows.mapInArrow(lambda it: post(it, bare, False), posted), "lists")
+    # at most MAX_LISTS numbers
+    index.homes = np.zeros(len(index.centroids), int)
+    for r in lists.where("home").groupBy("list").count().collect():
+        index.homes[r["list"]] = r["count"]
+    counted = spark.sparkContext.broadcast(index)
+    asked = materialize(rows.where(F.pmod("_id", F.lit(every)) == 0).mapInArrow(lambda it: post(it, counted, True), posted), "asked")
+    lists, asked = lists.drop("home"), asked.drop("home")
     # long lists and lists that many queries ask are cut: each part of the one meets each part of the other
-    lists, asked = materialize(lists, "lists"), materialize(asked, "asked")
     n = lists.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     m = asked.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("asks"))
     # at most MAX_LISTS rows

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +300,30 @@ def test_ann_corners(spark):
     assert {r["query_id"] for r in got} == {0, 20}
 
 
+def test_ann_of_many_lists(spark):
+    """Clusters of very unlike sizes and widths, far groups of a few copies among them, in 200 lists."""
+    rng = np.random.default_rng(3)
+    size = (50_000 / np.arange(1, 301) / 6.3).astype(int)
+    parts = [rng.normal(size=8) * 3 + rng.normal(size=(n, 8)) * rng.choice([0.02, 0.3, 1.0]) for n in size]
+    parts += [np.repeat(rng.normal(size=(1, 8)) * 60, 5, axis=0) for _ in range(40)]
+    x = np.concatenate(parts)
+    x = x[rng.permutation(len(x))]
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = ann.search(v, every=200).cache()
+    n = got.groupBy("query_id").count().toPandas()["count"]
+    assert len(x) // ann.LIST_ROWS >= 190 and len(n) == -(-len(x) // 200) and (n == 20).all()
+    found = ann.recall(v, got, every=200)
+    print(f"recall {found:.4f}")
+    assert found >= 0.9
+    # the copies themselves ask: their own lists hold five vectors
+    far = np.flatnonzero(np.abs(x).max(1) > 30)[:40]
+    ids = np.arange(len(x)) + 1
+    ids[far] *= 200_000
+    few = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    n = ann.search(few, every=200_000).groupBy("query_id").count().toPandas()["count"]
+    assert len(n) == 40 and (n == 20).all()
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 

@@ -206,3 +206,17 @@ def test_every_vector_is_in_a_list():
     index = ann.Index(x[:1], [np.zeros(0, int)], np.zeros(1, int), float(np.linalg.norm(x, axis=1).max()))
     index.centroids = ann._centroids(index.lift(x), 16)
     assert all(1 <= len(n) <= ann.COPIES for n in index.lists_of(x))
+
+
+def test_probes_go_on_until_they_hold_enough():
+    rng = np.random.default_rng(2)
+    # two lists of three copies each far from the rest, in a graph that does not lead out of them
+    x = np.r_[np.repeat(np.eye(6)[:2] * 50, 3, axis=0), rng.normal(size=(60, 6))]
+    c = np.r_[x[[0, 3]], x[6:9]]
+    index = ann.Index(np.c_[c, np.zeros(5)], [np.zeros(0, int)] * 5, np.arange(2), 50.0, 1.0)
+    index.homes = np.array([3, 3, 20, 20, 20])
+    for k in (2, 3, 5, 20, 60, 65, 1000):
+        for p in index.probes(x[:6], k):
+            assert len(set(p.tolist())) == len(p)
+            assert index.homes[p].sum() > k or len(p) == 5
+            assert index.homes[p[:-1]].sum() <= k
