@@ -5,6 +5,8 @@ how much each kind scores is learned from labelled pages (pages whose main part
 is marked up as such) as log odds of lying inside. One linear scan finds the
 contiguous region with the largest sum. Where the region lies in an article or
 main element, that element is the region; page furniture inside it is left out.
+What holds a main element, the longest article or most of the region is no
+furniture, whatever its class says.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log
 
 import pyarrow as pa
@@ -27,27 +30,45 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 CLASSES = re.compile(r"""(?:^|[\s/])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes xmp svg canvas audio video".split())
 #: Elements that are page furniture wherever they stand.
 FURNITURE = frozenset("nav aside form footer menu button select dialog search head".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices alert pagination paywall popup promo promos promotion recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toc toolbar widget widgets".split()
 )
+#: Of these, the ones that also stand around whole pages; and words of readers' remarks, which may be longer than the page's own text.
+WRAPPERS = frozenset("form dialog search".split())
+REMARK_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ROLE_MAIN, BODY_PROP = re.compile(r"role\s*=\s*[\"']?main"), re.compile(r"itemprop\s*=\s*[\"']?articleBody")
+#: Why an element is furniture: its class or a wrapper's tag, readers' remarks, its tag, never shown.
+BY_CLASS, BY_REMARK, BY_TAG, BY_HIDING = 1, 2, 3, 4
 #: An opening tag of these ends an open element of the same kind: markup leaves their ends out.
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend", "title"}
 MAIN = frozenset(("article", "main"))
 
 
-def _furniture(tag: str, attrs: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if not attrs or tag in ("body", "html", "article", "main") and "comment" not in attrs.lower():
-        return False
+def _names(attrs: str) -> Iterator[list[str]]:
+    """The parts of each class, id or role name; a label is one name."""
     for m in CLASSES.finditer(attrs):
-        if FURNITURE_WORDS.intersection(re.split(r"[\s_\-:/.]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attrs, re.I))
+        value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower()
+        for name in [value] if m[0].lstrip(" \t\r\n\f/").lower().startswith("aria") else value.split():
+            yield [x for x in re.split(r"[\s_\-:/.]+", name) if x and not x.isdigit()]
+
+
+def _furniture(tag: str, attrs: str) -> int:
+    """Why an element is furniture, 0 if it is not: a name must consist of layout words alone."""
+    if tag in FURNITURE:
+        return BY_HIDING if tag == "head" else BY_CLASS if tag in WRAPPERS else BY_TAG
+    if not attrs or tag in ("body", "html"):
+        return 0
+    if tag in MAIN:
+        return BY_REMARK if "comment" in attrs.lower() and any(x and x[0] in REMARK_WORDS for x in _names(attrs)) else 0
+    if HIDDEN.search(attrs):
+        return BY_HIDING
+    found = [x for x in _names(attrs) if x and FURNITURE_WORDS.issuperset(x)]
+    return 0 if not found else BY_REMARK if any(REMARK_WORDS.intersection(x) for x in found) else BY_CLASS
 
 
 class Page:
@@ -55,35 +76,29 @@ class Page:
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str]] = []  # (kind, text or tag name); kind: w, o(pen), c(lose)
-        self.skip: list[bool] = []  # page furniture
-        self.mains: list[list] = []  # [first, last) of outermost article or main elements
-        stack: list[tuple[str, bool, bool]] = []  # (tag, furniture, opens a main element)
-        hidden = mains = 0
+        self.raw: list[bool] = []  # tags whose content is no text
+        self.elements: list[list] = []  # [first, past the last token, tag, why furniture, 1 article or 2 main, parent's place]
+        stack: list[tuple[str, int]] = []  # (tag, place in elements)
         pos, end = 0, len(source)
         while pos < end:
             m = TOKEN.match(source, pos)
             if m is None:  # an open angle bracket that no tag follows
                 stop = source.find("<", pos + 1)
                 text, pos = source[pos : stop if stop > 0 else end], stop if stop > 0 else end
-                self._add("w", text, hidden > 0)
+                self._add("w", text)
                 continue
             pos = m.end()
             closing, tag, attrs, text = m.groups()
             if text is not None:
-                self._add("w", text, hidden > 0)
+                self._add("w", text)
             elif tag is None:
                 continue
             elif closing:
                 tag = tag.lower()
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
                 if depth >= 0:
-                    while len(stack) > depth:
-                        _, f, mn = stack.pop()
-                        hidden -= f
-                        mains -= mn
-                        if mn and not mains:
-                            self.mains[-1][1] = len(self.tokens)
-                self._add("c", tag, hidden > 0)
+                    self._close(stack, depth)
+                self._add("c", tag)
             else:
                 tag = tag.lower()
                 if tag in RAW:
@@ -96,21 +111,86 @@ class Page:
                 if tag in ENDS_P or tag == "p":
                     over = (*over, "p")
                 while over and (at := self._ends(stack, over)) >= 0:
-                    while len(stack) > at:
-                        _, f, mn = stack.pop()
-                        hidden -= f
-                        mains -= mn
-                furniture = _furniture(tag, attrs) or (tag == "header" and not mains)
-                main = tag in MAIN and not hidden and not furniture or (not furniture and not hidden and re.search(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody", attrs) is not None)
+                    self._close(stack, at)
                 if tag not in VOID and not attrs.endswith("/"):
-                    if main and not mains:
-                        self.mains.append([len(self.tokens), None])
-                    stack.append((tag, furniture, main))
-                    hidden += furniture
-                    mains += main
-                self._add("o", tag, hidden > 0)
-        for x in self.mains:
-            x[1] = len(self.tokens) if x[1] is None else x[1]
+                    main = 2 if tag == "main" or ROLE_MAIN.search(attrs) else 1 if tag in MAIN or BODY_PROP.search(attrs) else 0
+                    self.elements.append([len(self.tokens), None, tag, _furniture(tag, attrs), main, stack[-1][1] if stack else -1])
+                    stack.append((tag, len(self.elements) - 1))
+                self._add("o", tag)
+        self._close(stack, 0)
+        self.words = [len(t.split()) if k == "w" else 0 for k, t in self.tokens]
+        self.upto = [0, *accumulate(self.words)]
+        self.opened: set[int] = set()  # elements that are no furniture after all
+        self.skip, self.mains = self._standing(self.opened)  # page furniture; [first, last) of outermost article or main elements
+        if any(e[4] for e in self.elements):
+            self._open_mains()
+
+    def _close(self, stack: list[tuple[str, int]], depth: int) -> None:
+        while len(stack) > depth:
+            self.elements[stack.pop()[1]][1] = len(self.tokens)
+
+    def _standing(self, opened: set[int]) -> tuple[list[bool], list[tuple[int, int]]]:
+        """Which tokens are furniture, and the outermost articles and mains that are not, with the opened elements shown."""
+        skip, mains, hidden, inside = list(self.raw), [], [], []
+        for i, (first, last, tag, why, main, parent) in enumerate(self.elements):
+            within, under = (inside[parent], hidden[parent]) if parent >= 0 else (False, False)
+            own = i not in opened and (why > 0 or (tag == "header" and not within))
+            if own and not under:
+                skip[first:last] = [True] * (last - first)
+            hidden.append(under or own)
+            main = main > 0 and not hidden[i]
+            if main and not within:
+                mains.append((first, last))
+            inside.append(within or main)
+        return skip, mains
+
+    def _path(self, i: int) -> list[int]:
+        """An element and those around it."""
+        out = []
+        while i >= 0:
+            out.append(i)
+            i = self.elements[i][5]
+        return out
+
+    def _open_mains(self) -> None:
+        """Show what stands around each main element, and around the longest article.
+
+        An article stays hidden in an element that is furniture by its tag or
+        holds remarks, and where no article is shown, if it is shorter than the
+        text that is.
+        """
+        shown = sum(w for w, x in zip(self.words, self.skip, strict=True) if not x)
+        best, most = None, max((self.upto[b] - self.upto[a] for a, b in self.mains), default=max(0, shown - 1))
+        for i, (first, last, _, why, main, _) in enumerate(self.elements):
+            if not main or why > BY_CLASS:
+                continue
+            path = self._path(i)
+            worst = max(self.elements[j][3] for j in path)
+            if main == 2 and worst < BY_HIDING:
+                self.opened.update(path)
+            elif main == 1 and worst <= BY_CLASS and self.upto[last] - self.upto[first] > most:
+                best, most = path, self.upto[last] - self.upto[first]
+        self.opened.update(best or ())
+        if self.opened:
+            self.skip, self.mains = self._standing(self.opened)
+
+    def _open_region(self, weights: dict[str, float]) -> None:
+        """On a page without an article: show the elements that hold most of the region found with furniture by class shown.
+
+        Remarks count only where there is nothing else.
+        """
+        for least in (BY_CLASS, BY_REMARK):
+            soft = {i for i, e in enumerate(self.elements) if 0 < e[3] <= least or (not e[3] and e[2] == "header")}
+            if not soft:
+                continue
+            first, last = self.region(weights, self._standing(self.opened | soft)[0])
+            if first < last:
+                n = self.upto[last] - self.upto[first]
+                held = {i for i in soft if 2 * (self.upto[min(last, self.elements[i][1])] - self.upto[max(first, self.elements[i][0])]) > n}
+                if held:
+                    self.opened |= held
+                    self.skip, self.mains = self._standing(self.opened)
+                return
 
     @staticmethod
     def _ends(stack, over) -> int:
@@ -122,25 +202,24 @@ class Page:
                 return -1
         return -1
 
-    def _add(self, kind: str, text: str, skip: bool) -> None:
+    def _add(self, kind: str, text: str, raw: bool = False) -> None:
         self.tokens.append((kind, text))
-        self.skip.append(skip)
+        self.raw.append(raw)
 
-    def scores(self, weights: dict[str, float]) -> list[float]:
+    def scores(self, weights: dict[str, float], skip: list[bool] | None = None) -> list[float]:
         """A word's weight for each word, a tag's (negative) for each tag; furniture scores as tags do."""
         out, tag, word = [], weights.get("tag", -2.0), weights.get("word", 1.0)
-        for (kind, text), skip in zip(self.tokens, self.skip, strict=True):
+        for (kind, text), n, hidden in zip(self.tokens, self.words, skip or self.skip, strict=True):
             if kind == "w":
-                n = len(text.split())
-                out.append(-0.5 * n if skip else word * n)
+                out.append(-0.5 * n if hidden else word * n)
             else:
                 out.append(min(weights.get(text, tag), -0.05))
         return out
 
-    def region(self, weights: dict[str, float]) -> tuple[int, int]:
+    def region(self, weights: dict[str, float], skip: list[bool] | None = None) -> tuple[int, int]:
         """[first, last) of the contiguous tokens with the largest sum: one linear scan."""
         best, first, last, run, start = 0.0, 0, 0, 0.0, 0
-        for i, x in enumerate(self.scores(weights)):
+        for i, x in enumerate(self.scores(weights, skip)):
             if run <= 0:
                 run, start = 0.0, i
             run += x
@@ -149,6 +228,8 @@ class Page:
         return first, last
 
     def main_text(self, weights: dict[str, float]) -> str:
+        if not self.mains:
+            self._open_region(weights)
         first, last = self.region(weights)
         if first == last:
             return ""

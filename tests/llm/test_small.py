@@ -151,6 +151,26 @@ def test_main_text(page, want):
     assert html.Page(page).main_text(WEIGHTS) == want
 
 
+LONG = "the text of this page has many words that a reader came for"
+
+
+@pytest.mark.parametrize("wrap", ["div class='content with-sidebar'", "div class='page no-ads'", "div id='search-results'", "div class='sidebar'", "form id=aspnet", "div aria-label='page with comments'", "div class='content search'"])
+@pytest.mark.parametrize("inner", ["<article><p>{}</p></article>", "<main><p>{}</p></main>", "<p>{}</p>"])
+def test_wrappers_are_no_furniture(wrap, inner):
+    page = f"<body><nav><a>x</a></nav><{wrap}>{inner.format(LONG)}<div class='ad'>buy</div></{wrap.split()[0]}><footer>f g</footer></body>"
+    assert html.Page(page).main_text(WEIGHTS) == LONG
+
+
+def test_furniture_beside_an_article_stays_out():
+    for other in ("<div class='related'><article>a teaser</article></div>", "<section id=comments><p>" + LONG * 3 + "</section>", "<aside><article>" + LONG * 2 + "</article></aside>", "<article class='comment-body'>" + LONG * 2 + "</article>", "<div class='nav-menu'>" + LONG * 2 + "</div>"):
+        assert html.Page(f"<body><article><p>{LONG}</p></article>{other}</body>").main_text(WEIGHTS) == LONG
+
+
+def test_text_of_embedded_elements_is_kept():
+    page = "<article><p>one <math><mi>x</mi></math> two</p><object data=a><p>three</p></object><noscript><p>four</p></noscript><svg><text>no</text></svg></article>"
+    assert html.Page(page).main_text(WEIGHTS) == "one x two\n\nthree\n\nfour"
+
+
 @settings(deadline=None)
 @given(st.text("<>/pdiva =\"'!-&;x", max_size=80))
 def test_any_markup_is_parsed(s):
