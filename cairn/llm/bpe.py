@@ -72,6 +72,7 @@ class Encoder:
         self.token = {i: b"".join(back[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: s.encode() for s, i in self.special.items()}
+        self.written = {str(i): s for i, s in self.token.items()}  # bytes by the id as it is written
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in reversed(list(enumerate(merges)))}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: its merge's rank, left, right
@@ -138,7 +139,7 @@ class Encoder:
         return tuple(out[::-1])
 
     def _piece(self, piece: str) -> str:
-        """Ids joined by commas. They are decoded here and must give the piece again, so texts are put together from pieces."""
+        """Ids joined by commas; decoded, they must give the piece again."""
         if piece[1:].isalpha() and (piece[0] == " " or piece.isalpha()):
             ids = self.words(piece)
         else:
@@ -162,29 +163,28 @@ class Encoder:
         if held:
             yield held
 
-    def _part(self, text: str) -> tuple[str, str]:
-        """(ids joined by commas, decoded text) of a non-empty text without special tokens."""
+    def _part(self, text: str) -> str:
+        """Ids, joined by commas, of a non-empty text without special tokens."""
         if "  " in text or text.endswith(" ") or BLANK_RUN.search(text):
-            parts = list(self.pieces(text))
-            return ",".join(map(self.piece, parts)), "".join(parts)
+            return ",".join(map(self.piece, self.pieces(text)))
         first, *rest = text.split(" ")
         out = list(map(self.after_blank.young.get, rest))
         if None in out:
             out = [self.after_blank(p) if x is None else x for p, x in zip(rest, out, strict=True)]
         if first:
             out.insert(0, self.piece(first))
-        return ",".join(out), " ".join([first, *rest])
+        return ",".join(out)
 
     def run(self, text: str) -> tuple[str, int, bytes]:
-        """Ids joined by commas, their number, and the decoded bytes of a whole text."""
+        """Ids joined by commas, their number, and the bytes that these ids decode to, of a whole text."""
         if not text:
             return "", 0, b""
         if not self.special or not any(s in text for s in self.special):
-            ids, decoded = self._part(text)
+            ids = self._part(text)
         else:
-            out = [(str(self.special[p]), p) if p in self.special else self._part(p) for p in self.splitter.split(text) if p]
-            ids, decoded = ",".join([x[0] for x in out]), "".join([x[1] for x in out])
-        return ids, ids.count(",") + 1, decoded.encode()
+            ids = ",".join([str(self.special[p]) if p in self.special else self._part(p) for p in self.splitter.split(text) if p])
+        each = ids.split(",")
+        return ids, len(each), b"".join(map(self.written.__getitem__, each))
 
     def encode(self, text: str) -> list[int]:
         ids = self.run(text)[0]

@@ -98,6 +98,17 @@ def test_bpe_special_and_long(tokenizers):
         assert mine.encode(s) == library.encode(s, add_special_tokens=False).ids
 
 
+def test_bpe_decodes_the_ids_of_the_document(tokenizers, monkeypatch):
+    library, mine = tokenizers
+    for s in ("one two  three", "a<|endoftext|> b", "é 中\n"):
+        ids, n, raw = mine.run(s)
+        assert raw == s.encode() == b"".join(mine.token[int(i)] for i in ids.split(",")) and n == len(ids.split(","))
+    # a fault in putting the pieces' ids together shows in the decoded text
+    monkeypatch.setattr(mine, "piece", lambda p: str(mine.encode("x")[0]) if p == "\n" else "0")
+    ids, _, raw = mine.run("one  two ")
+    assert raw == b"".join(mine.token[int(i)] for i in ids.split(",")) != b"one  two "
+
+
 def test_targets():
     sizes, weights = {"a": 10, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}
     got = mixing.targets(sizes, weights)
