@@ -2,8 +2,10 @@
 
 The canonical form of a text is its compatibility composition (NFKC), case
 folded, with runs of white space as one blank and none at the ends. Two lanes of
-xxhash64 over it make a 128-bit digest. Rows whose digests agree are compared
-byte by byte, so that equal fingerprints mean equal canonical texts.
+xxhash64 over it make a 128-bit digest. A text is compared byte by byte with its
+edited form and with the next text; duplicate_groups also compares the rows of
+equal digests. A fingerprint itself holds the digest alone: two unequal texts
+elsewhere in the table would share it if all 128 bits collided.
 
 An exact digest says equal or not. The fingerprint also carries SKETCH smallest
 xxhash64 values of the canonical text's three-word shingles, from which the
@@ -113,10 +115,8 @@ def _search(cuts: list[int], key: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text, canonical text, digest and sketch of every row. A null text is empty.
 
-    Rows whose digests are equal but whose canonical texts are not (a hash
-    collision) get different digests: equal buckets are compared byte by byte by
-    the smallest and the largest text in them, which partial aggregation brings
-    to one row a task, however large a group of copies is.
+    Nothing is compared here: unequal canonical texts whose 128 bits collide have
+    one digest. duplicate_groups tells them apart.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     return rows.withColumn("_canon", canonical(F.col("_text"))).withColumn("_digest", digest(F.col("_canon")))
@@ -125,7 +125,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, digest, the smallest id with the same canonical text, the group's rows.
 
-    Grouping is by digest; inside equal buckets the canonical bytes decide. Null
+    Grouping is by digest; inside equal buckets the canonical bytes decide, by the
+    smallest and the largest text, which partial aggregation brings to one row a
+    task, however large a group of copies is. No registered query calls this. Null
     and empty texts form one group; a null id is larger than any other.
     """
     rows = fingerprints(docs, id_col, text_col)
