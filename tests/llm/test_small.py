@@ -233,21 +233,31 @@ def test_toxic_words_are_learned_from_whole_texts():
 
 def test_every_vector_is_in_a_list():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(500, 8))
-    index = ann.Index(x[:1], [np.zeros(0, int)], np.zeros(1, int), float(np.linalg.norm(x, axis=1).max()))
-    index.centroids = ann._centroids(index.lift(x), 16)
-    assert all(1 <= len(n) <= ann.COPIES for n in index.lists_of(x))
+    for x in (rng.normal(size=(500, 8)), np.repeat(rng.normal(size=(3, 8)), 100, axis=0), rng.normal(size=(1, 8)), rng.normal(size=(300, 8)) * rng.choice([1e-3, 1, 1e150], size=(300, 1))):
+        index = ann.build(x, max(1, len(x) // 16), float(np.sqrt(((x / 1e150) ** 2).sum(1).max()) * 1e150))
+        lists = index.lists_of(x)
+        assert all(1 <= len(n) <= ann.COPIES and len(set(n.tolist())) == len(n) for n in lists)
+        assert all(np.isfinite(index.centroids).ravel()) and all(len(p) for p in index.probes(x[:5]))
+
+
+def test_lists_are_those_of_the_nearest_centroids():
+    x = np.random.default_rng(5).normal(size=(4000, 16))
+    index = ann.build(x, 250, float(np.linalg.norm(x, axis=1).max()))
+    d = ((index.lift(x)[:, None, :8] - index.centroids[None, :, :8]) ** 2).sum(2)  # in two halves, to save memory
+    d += ((index.lift(x)[:, None, 8:] - index.centroids[None, :, 8:]) ** 2).sum(2)
+    assert np.mean([n[0] == m for n, m in zip(index.lists_of(x), d.argmin(1), strict=True)]) > 0.97
 
 
 def test_probes_go_on_until_they_hold_enough():
     rng = np.random.default_rng(2)
-    # two lists of three copies each far from the rest, in a graph that does not lead out of them
+    # two groups of three copies far from the rest, and a graph that leads nowhere
     x = np.r_[np.repeat(np.eye(6)[:2] * 50, 3, axis=0), rng.normal(size=(60, 6))]
-    c = np.r_[x[[0, 3]], x[6:9]]
-    index = ann.Index(np.c_[c, np.zeros(5)], [np.zeros(0, int)] * 5, np.arange(2), 50.0, 1.0)
-    index.homes = np.array([3, 3, 20, 20, 20])
+    index = ann.build(x, 5, 50.0)
+    n = len(index.centroids)
+    index.graph, index.ratio = np.zeros((n, 1), int), 0.5
+    index.homes = np.bincount([at[0] for at in index.lists_of(x)], minlength=n)
     for k in (2, 3, 5, 20, 60, 65, 1000):
         for p in index.probes(x[:6], k):
             assert len(set(p.tolist())) == len(p)
-            assert index.homes[p].sum() > k or len(p) == 5
+            assert index.homes[p].sum() > k or len(p) == n
             assert index.homes[p[:-1]].sum() <= k
