@@ -27,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.text import column
+from cairn.llm.text import column, let
 from cairn.session import materialize
 
 #: What is learned from at most: bytes of sample vectors (4 a component; 262,144 vectors of 64) and sample queries for the ratio.
@@ -39,7 +39,7 @@ SAMPLE_BYTES, SAMPLE_QUERIES = 64 << 20, 300
 LIST_ROWS, LIST_SAMPLE = 16, 16
 #: Lists that hold a vector at most, and the share of vectors that more than one may hold.
 COPIES, COPIED = 2, 0.75
-RECALL = 0.94
+RECALL = 0.95
 #: Ratios are to the distance of this place among the nearest centroids: the nearest of all is often near by chance.
 BASE = 12
 #: Links that each centroid has to its nearest ones.
@@ -229,19 +229,32 @@ def _ratio(index: Index, x: np.ndarray, k: int) -> float:
     return float(np.quantile(need, RECALL)) if need else 1.0
 
 
+def norm(v: Column) -> Column:
+    """Euclidean norm, through the largest component, so that squares of very long vectors stay finite."""
+
+    def of(most: Column) -> Column:
+        return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / most) * (c / most)))
+
+    return let(F.array_max(F.transform(v, F.abs)), of)
+
+
 def fit(rows: DataFrame, k: int = K) -> Index | None:
-    """An index from a sample of SAMPLE_BYTES at most: the rows whose id's hash falls under the sample's share."""
-    norm = F.aggregate(F.transform("_v", lambda c: c / F.array_max(F.transform("_v", F.abs))), F.lit(0.0), lambda a, c: a + c * c)
-    longest = F.max(F.array_max(F.transform("_v", F.abs)) * F.sqrt(norm))
-    stat = rows.agg(F.count("*").alias("n"), longest.alias("longest"), F.max(F.size("_v")).alias("width")).first()
+    """An index from a sample of SAMPLE_BYTES at most, of rows (_id, _v, _norm).
+
+    Half of the sample are rows whose id's hash falls under its share, half the
+    longest vectors: these are in most answers, however few they are.
+    """
+    stat = rows.agg(F.count("*").alias("n"), F.max("_norm").alias("longest"), F.max(F.size("_v")).alias("width")).first()
     if not stat["n"]:
         return None
-    most = max(64, SAMPLE_BYTES // (4 * stat["width"]))
-    # each task keeps the rows under a hash bound, so no more than the sample and its chance margin leaves the tasks
-    drawn = rows if stat["n"] <= most else rows.where(F.pmod(F.xxhash64(F.lit("ann"), "_id"), F.lit(stat["n"])) < most)
+    n, most = stat["n"], max(64, SAMPLE_BYTES // (4 * stat["width"]))
+    drawn = rows
+    if n > most:
+        long_ = rows.agg(F.percentile_approx("_norm", 1 - most / (2 * n), 100_000)).first()[0]
+        drawn = rows.where((F.pmod(F.xxhash64(F.lit("ann"), "_id"), F.lit(n)) < most // 2) | (F.col("_norm") > long_))
     got = drawn.select("_id", F.transform("_v", lambda c: (c / F.lit(stat["longest"])).cast("float")).alias("_v")).toArrow().sort_by("_id")
     x = got.column("_v").combine_chunks().flatten().to_numpy().reshape(-1, stat["width"]).astype(float) * stat["longest"]
-    return build(x, max(1, min(stat["n"] // LIST_ROWS, len(x) // LIST_SAMPLE)), float(stat["longest"]), k)
+    return build(x, max(1, min(n // LIST_ROWS, len(x) // LIST_SAMPLE)), float(stat["longest"]), k)
 
 
 def _meet(ls: pa.Table, qs: pa.Table, k: int) -> pa.Table:
@@ -330,7 +343,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     # the window keeps k + 1 rows of a vector in each task before it meets the others
     few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_v").orderBy("_id"))).where(F.col("_r") <= k + 1)
     distinct = few.groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
-    distinct = materialize(distinct.select(F.get("ids", 0).alias("_id"), "_v", "ids"), "distinct")
+    distinct = materialize(distinct.select(F.get("ids", 0).alias("_id"), "_v", "ids", norm(F.col("_v")).alias("_norm")), "distinct")
     index = fit(distinct, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

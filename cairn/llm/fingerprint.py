@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.text import text_of
+from cairn.llm.text import let, text_of
 
 SKETCH, SHINGLE = 24, 3
 #: Rows of an ordered bucket that next_text aims at.
@@ -26,11 +26,6 @@ BUCKET_ROWS = 2000
 MAX_BUCKETS = 8192
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value worked out once: inside a lambda an expression would be evaluated for every element."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def canonical(c: Column) -> Column:
     """NFKC, full case folding, NFKC again, white space folded. ICU is on Spark's own class path."""
 

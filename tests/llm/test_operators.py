@@ -341,7 +341,7 @@ def test_ann_of_many_lists(spark, monkeypatch, sample):
     n = got.groupBy("query_id").count().toPandas()["count"]
     assert len(n) == -(-len(x) // 200) and (n == 20).all()
     found = ann.recall(v, got, every=200)
-    index = ann.fit(ann.valid(v, "vec_id", "embedding"))
+    index = ann.fit(ann.valid(v, "vec_id", "embedding").withColumn("_norm", ann.norm(F.col("_v"))))
     lists = index.lists_of(x)
     held = np.bincount(np.concatenate(lists), minlength=len(index.centroids))
     index.homes = np.bincount([at[0] for at in lists], minlength=len(index.centroids))
@@ -364,7 +364,7 @@ def test_ann_without_structure(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
     assert ann.recall(v, ann.search(v, every=100), every=100) >= 0.9
-    index = ann.fit(ann.valid(v, "vec_id", "embedding"))
+    index = ann.fit(ann.valid(v, "vec_id", "embedding").withColumn("_norm", ann.norm(F.col("_v"))))
     held = np.bincount(np.concatenate(index.lists_of(x)), minlength=len(index.centroids))
     scored = np.mean([held[p].sum() for p in index.probes(x[::100])]) / len(x)
     print(f"{scored:.3f} of all rows scored a query")
