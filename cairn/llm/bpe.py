@@ -25,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.text import column
+from cairn.llm.text import each
 
 #: Fixed values of the file format: the pattern that parts text, and the white space it knows.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 #: A single blank before other white space.
 BLANK_RUN = regex.compile(r" [\p{White_Space}--\ ]", regex.V1)
-#: Pieces, and words in them, remembered before the older half is forgotten: some 350 MB a worker.
-REMEMBERED, REMEMBERED_WORDS = 450_000, 200_000
+#: Bytes of what a worker remembers of pieces and of words before the older half is forgotten (both halves: twice as much), and what an entry takes besides.
+REMEMBERED, REMEMBERED_WORDS, ENTRY = 48 << 20, 16 << 20, 200
+#: Pairs of tokens whose compatibility is remembered.
+PAIRS = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,10 +46,14 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory:
-    """Two generations of remembered values: what the older one still serves moves to the younger."""
+    """Two generations of remembered values, each of `most` bytes: what the older one still serves moves to the younger."""
 
     def __init__(self, make, most: int):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
+        self.make, self.most = make, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.young, self.old, self.size = {}, {}, 0
 
     def __call__(self, key):
         found = self.young.get(key)
@@ -56,8 +62,9 @@ class Memory:
             if found is None:
                 found = self.make(key)
             self.young[key] = found
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
+            self.size += ENTRY + 2 * len(key) + len(found)
+            if self.size >= self.most:
+                self.old, self.young, self.size = self.young, {}, 0
         return found
 
 
@@ -89,6 +96,12 @@ class Encoder:
         self.words = Memory(self._ids, REMEMBERED_WORDS)
         self.piece, self.after_blank = Memory(self._piece, REMEMBERED // 4), Memory(lambda p: self._piece(" " + p), REMEMBERED)
 
+    def forget(self) -> None:
+        """Give back what was remembered: a worker process may go on to other work."""
+        for memory in (self.words, self.piece, self.after_blank):
+            memory.forget()
+        self.beside.clear()
+
     def neighbours(self, left: int, right: int) -> bool:
         """Whether merging can leave these two tokens side by side.
 
@@ -126,7 +139,7 @@ class Encoder:
                     prev = last[at]
                     ok = beside.get(prev << 16 | token)
                     if ok is None:
-                        if len(beside) > 1_000_000:
+                        if len(beside) > PAIRS:
                             beside.clear()
                         ok = beside[prev << 16 | token] = self.neighbours(prev, token)
                     if not ok:
@@ -183,8 +196,8 @@ class Encoder:
             ids = self._part(text)
         else:
             ids = ",".join([str(self.special[p]) if p in self.special else self._part(p) for p in self.splitter.split(text) if p])
-        each = ids.split(",")
-        return ids, len(each), b"".join(map(self.written.__getitem__, each))
+        every = ids.split(",")
+        return ids, len(every), b"".join(map(self.written.__getitem__, every))
 
     def encode(self, text: str) -> list[int]:
         ids = self.run(text)[0]
@@ -198,7 +211,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process, with what it remembers."""
+    """One encoder a worker process."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -219,20 +232,23 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            n, ids, dec, lists, texts = [], [], [], [], []
-            for t in column(b, "_text"):
-                i, k, raw = enc.run(t or "")
-                out = raw.decode("utf-8", errors="replace")
-                n.append(k)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                dec.append(hashlib.sha256(out.encode()).hexdigest())
+        try:
+            for b in batches:
+                n, ids, dec, lists, texts = [], [], [], [], []
+                for t in each(b, "_text"):
+                    i, k, raw = enc.run(t or "")
+                    out = raw.decode("utf-8", errors="replace")
+                    n.append(k)
+                    ids.append(hashlib.sha256(i.encode()).hexdigest())
+                    dec.append(hashlib.sha256(out.encode()).hexdigest())
+                    if with_ids:
+                        lists.append([int(x) for x in i.split(",")] if i else [])
+                        texts.append(out)
+                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())]
                 if with_ids:
-                    lists.append([int(x) for x in i.split(",")] if i else [])
-                    texts.append(out)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())]
-            if with_ids:
-                cols += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            yield pa.record_batch(cols, schema.names)
+                    cols += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                yield pa.record_batch(cols, schema.names)
+        finally:
+            enc.forget()
 
     return rows.mapInArrow(go, schema)

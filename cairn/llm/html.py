@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.text import column
+from cairn.llm.text import each
 
 #: Labelled pages that weights are learned from at most, and characters of each.
 SAMPLE, SAMPLE_CHARS = 300, 60_000
@@ -306,7 +306,7 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(h).main_text(weights) if h else "" for h in column(b, "_html")]
+            texts = [Page(h).main_text(weights) if h else "" for h in each(b, "_html")]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(go, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))

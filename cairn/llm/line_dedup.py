@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.bloom import bits_for, has, seen_twice
-from cairn.llm.text import U64, column, octets, text_of
+from cairn.llm.text import U64, column, each, octets, text_of
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -39,7 +39,7 @@ def _suspects(docs: DataFrame, min_chars: int) -> DataFrame:
     bits = bits_for(octets(docs, "_text") // OCTETS_PER_LINE, BITS_PER_LINE)
 
     def sightings(batch: pa.RecordBatch) -> np.ndarray:
-        found = [h for t in column(batch, "_text") for h in {xxhash.xxh3_64_intdigest(k) for _, k in long_keys(t, min_chars)}]
+        found = [h for t in each(batch, "_text") for h in {xxhash.xxh3_64_intdigest(k) for _, k in long_keys(t, min_chars)}]
         return np.array(found, U64)
 
     twice = seen_twice(docs.select("_text"), sightings, bits, HASHES)
@@ -49,7 +49,7 @@ def _suspects(docs: DataFrame, min_chars: int) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in batches:
                 ids, rows, keys, at, hashes = [], [], [], [], []
-                for i, r, t in zip(column(b, "_id"), column(b, "_row"), column(b, "_text"), strict=True):
+                for i, r, t in zip(column(b, "_id"), column(b, "_row"), each(b, "_text"), strict=True):
                     mine: dict[bytes, list[int]] = {}
                     for n, k in long_keys(t, min_chars):
                         mine.setdefault(k, []).append(n)
@@ -91,7 +91,7 @@ def line_dedup(docs: DataFrame, carry: tuple[str, ...] = (), min_docs: int = MIN
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines, dropped, kept = [], [], []
-            for t, d in zip(column(b, "_text"), column(b, "_drop"), strict=True):
+            for t, d in zip(each(b, "_text"), column(b, "_drop"), strict=True):
                 have = t.split("\n")
                 gone = set(d or ())
                 lines.append(len(have))

@@ -1,7 +1,7 @@
 """Near-duplicate documents by Order MinHash.
 
-A document's k-mers are its five-word shingles, each labelled with its
-occurrence. For each of SKETCHES hash functions, the KEPT k-mers with the
+A document's k-mers are its five-word shingles (words are runs of letters, digits
+and underscores, in lower case), each labelled with its occurrence. For each of SKETCHES hash functions, the KEPT k-mers with the
 smallest hashes are sampled and kept in text order: two documents share a sketch
 with a likelihood that falls with their edit distance. Documents that share a
 sketch (and are of like length) are candidates.
@@ -30,17 +30,18 @@ Groups of copies can be large, so the documents of a bucket are not all paired.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.bloom import bits_for, has, seen_twice
-from cairn.llm.text import U64, column, constants, mix, ngrams, occurrence_labelled, octets, text_of, word_hashes
+from cairn.llm.text import U64, column, constants, each, mix, ngrams, occurrence_labelled, octets, text_of, word_hashes
 from cairn.session import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -48,11 +49,12 @@ SKETCHES, KEPT = 16, 3
 HASHES, BITS_PER_SHINGLE = 3, 8
 #: Documents that hold a shingle, up to which they are paired by it.
 COMMON = 64
+WORD = re.compile(r"\w+")
 
 
 def shingles(text: str) -> np.ndarray:
     """Occurrence-labelled hashes of the five-word shingles, in text order."""
-    return occurrence_labelled(ngrams(word_hashes(text.encode().split()), SHINGLE))
+    return occurrence_labelled(ngrams(word_hashes(WORD.findall(text.lower())), SHINGLE))
 
 
 def sketches(s: np.ndarray) -> np.ndarray:
@@ -105,7 +107,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """_id, digest of the word sequence, shingles' number, bucket keys."""
+    """_id, hash of the text, digest of the sequence of what white space parts, shingles' number, bucket keys."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -113,15 +115,14 @@ def _sketched(docs: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in batches:
                 digest, size, keys = [], [], []
-                for t in column(b, "_text"):
-                    ws = t.encode().split()
-                    digest.append(xxhash.xxh3_128_digest(b" ".join(ws)))
-                    s = occurrence_labelled(ngrams(word_hashes(ws), SHINGLE))
+                for t in each(b, "_text"):
+                    digest.append(xxhash.xxh3_128_digest(b" ".join(t.encode().split())))
+                    s = shingles(t)
                     size.append(len(s))
                     keys.append(np.concatenate([mix(sketches(s) ^ U64(c + 1)) for c in bands(len(s))]).view(np.int64) if len(s) else [])
-                yield pa.record_batch([b.column("_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "digest", "n", "keys"])
+                yield pa.record_batch([b.column("_id"), b.column("_h"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_h", "digest", "n", "keys"])
 
-    return docs.mapInArrow(go, "_id long, digest binary, n int, keys array<long>")
+    return docs.mapInArrow(go, "_id long, _h long, digest binary, n int, keys array<long>")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +130,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, s = None, None
     with np.errstate(over="ignore"):
         for b in batches:
-            ok = []
-            for p, pt, xt in zip(column(b, "a"), column(b, "ta"), column(b, "tb"), strict=True):
+            ok, pivot = [], b.column("ta")
+            for i, (p, xt) in enumerate(zip(column(b, "a"), each(b, "tb"), strict=True)):
                 if p != last:
-                    last, s = p, shingles(pt)
+                    last, s = p, shingles(pivot[i].as_py())
                 ok.append(aligned(shingles(xt), s))
             mask = pa.array(ok, pa.bool_())
             yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
@@ -149,7 +150,7 @@ def _shared_filter(texts: DataFrame):
     bits = bits_for(octets(texts) // 7, BITS_PER_SHINGLE)
 
     def sightings(batch: pa.RecordBatch) -> np.ndarray:
-        got = [shingles(t) for t in column(batch, "text")]
+        got = [shingles(t) for t in each(batch, "text")]
         return np.concatenate(got) if got else np.zeros(0, U64)
 
     return texts.sparkSession.sparkContext.broadcast(seen_twice(texts.select("text"), sightings, bits, HASHES))
@@ -161,7 +162,7 @@ def _shareable(texts: DataFrame, shared) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
-                s = [shingles(t) for t in column(b, "text")]
+                s = [shingles(t) for t in each(b, "text")]
                 c = [int(has(shared.value, x, HASHES).sum()) for x in s]
                 yield pa.record_batch([b.column("_id"), pa.array([len(x) for x in s], pa.int32()), pa.array(c, pa.int32())], ["x", "n", "c"])
 
@@ -179,14 +180,14 @@ def _rare(texts: DataFrame, docs: DataFrame, shared) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
-                s = [shingles(t) for t in column(b, "text")]
+                s = [shingles(t) for t in each(b, "text")]
                 s = [x[has(shared.value, x, HASHES)].view(np.int64) for x in s]
                 yield pa.record_batch([*[b.column(i) for i in range(4)], pa.array(s, pa.list_(pa.int64()))], ["x", "n", "class", "odd", "s"])
 
     held = materialize(docs.join(texts, F.col("x") == F.col("_id")).select("x", "n", "class", "odd", "text").mapInArrow(go, "x long, n int, class long, odd boolean, s array<long>"), "shingles")
-    each = held.select("x", F.explode("s").alias("s"))
-    many = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    per = each.join(many, "s").groupBy("x").agg(F.count("*").alias("c"), F.count_if(F.col("k") > COMMON).alias("h"), F.array_sort(F.collect_list(F.when(F.col("k") <= COMMON, F.struct("k", "s")))).alias("rare"))
+    single = held.select("x", F.explode("s").alias("s"))
+    many = single.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    per = single.join(many, "s").groupBy("x").agg(F.count("*").alias("c"), F.count_if(F.col("k") > COMMON).alias("h"), F.array_sort(F.collect_list(F.when(F.col("k") <= COMMON, F.struct("k", "s")))).alias("rare"))
     # shingles that no other document has come first of all, and take up places
     length = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6) + 1 - (F.col("n") - F.col("c"))
     prefix = F.transform(F.slice("rare", F.lit(1), F.greatest(length, F.lit(0)).cast("int")), lambda r: r["s"])
@@ -223,26 +224,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The class of near duplicates of every document: id_col, class_id, n_links.
 
     class_id is the smallest id of the class; two documents are in one class if a
-    chain of links joins them. Documents with the same word sequence are exact
-    copies and always in one class, empty and null texts too; texts of under five
-    words have no shingle and only exact copies. n_links is the number of other
+    chain of links joins them. Documents that are equal but for white space are
+    exact copies and always in one class, empty and null texts too; texts of under
+    five words have no shingle and only exact copies. n_links is the number of other
     word sequences that the document's own was aligned with and is similar to,
     enough of them to join the class. One row for each id: rows that repeat an id
-    count once, by the smallest word-sequence digest; rows with a null id are left
-    out. An empty table gives an empty one.
+    count once, by the text with the smallest hash; rows with a null id are left
+    out. An empty table gives an empty one; other columns, whatever they are
+    called, are not read. Whole texts are compared, however long.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     light = materialize(_sketched(rows), "sketches")
-    once = light.groupBy("_id").agg(F.min("digest").alias("digest"))
-    first = light.groupBy("digest").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    once = light.groupBy("_id").agg(F.min(F.struct("_h", "digest")).alias("m")).select("_id", "m._h", "m.digest")
+    one = light.join(once.select("_id", "_h"), ["_id", "_h"], "left_semi")
+    first = one.groupBy("digest").agg(F.min(F.struct("_id", "_h")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("digest", F.col("r._id").alias("rep"), "r._h", "n", "keys")
     reps = materialize(first, "reps")
     member = once.join(reps.select("digest", "rep"), "digest").select("_id", "rep")
 
     # one row a bucket and document; buckets of one are dropped before anything else is done
     entries = materialize(_shared(reps.select(F.explode("keys").alias("key"), F.col("rep").alias("x"))), "buckets")
     # the texts of candidates are fetched once
-    wanted = reps.join(entries.select(F.col("x").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("_id"), "digest")
-    source = rows.join(light.select("_id", "digest").join(wanted, ["_id", "digest"]).select("_id").distinct(), "_id", "left_semi")
+    wanted = reps.join(entries.select(F.col("x").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("_id"), "_h")
+    source = rows.join(wanted, ["_id", "_h"], "left_semi")
     texts = materialize(source.groupBy("_id").agg(F.min("_text").alias("text")), "texts")
     # the shortest partner has SIMILARITY times the shingles, so as many must be shareable
     shared = _shared_filter(texts)
@@ -300,11 +303,15 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each class, with all its columns; rows that repeat an id stay once.
+    """The document with the smallest id of each class, with all its columns.
 
-    Rows with a null id belong to no class and stay.
+    Rows that repeat an id stay once, by the text with the smallest hash. Rows
+    with a null id belong to no class and stay.
     """
     stay = near_duplicates(docs, id_col, text_col).where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_stay"))
     named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(stay, named[id_col] == F.col("_stay"), "left_semi").dropDuplicates([id_col])
+    kept = named.join(stay, named[id_col] == F.col("_stay"), "left_semi")
+    # where ids do not repeat, the order is over single rows
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_of(text_col)), F.xxhash64(*docs.columns)))
+    kept = kept.withColumn("_turn", turn).where(F.col("_turn") == 1).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.bloom import bits_for, has, seen_twice
-from cairn.llm.text import U64, column, mix, ngrams, octets, runs, text_of, word_hashes_wide
+from cairn.llm.text import U64, column, each, mix, ngrams, octets, runs, text_of, word_hashes_wide
 
 WINDOW = 20
 #: The shortest length looked at, if WINDOW is a power of two times it.
@@ -120,7 +120,7 @@ def _filters(texts: DataFrame, window: int) -> list[np.ndarray]:
 
         def sightings(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
             survive = Survivors(window, shared.value)
-            got = [survive(docs)[0] for _, docs in together(((None, t) for t in column(batch, "_text")), window)]
+            got = [survive(docs)[0] for _, docs in together(((None, t) for t in each(batch, "_text")), window)]
             return np.concatenate(got) if got else np.zeros(0, U64)
 
         found.append(seen_twice(texts, sightings, bits, HASHES))
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         with np.errstate(over="ignore"):
             survive, held, n = Survivors(window, filters.value), [], 0
             for batch in batches:
-                for ids, docs in together(zip(column(batch, "_id"), column(batch, "_text"), strict=True), window):
+                for ids, docs in together(zip(column(batch, "_id"), each(batch, "_text"), strict=True), window):
                     _, starts, first, a, b = survive(docs)
                     if len(starts):
                         doc = np.searchsorted(first, starts, side="right") - 1
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, removed, kept = [], [], []
-            for t, s in zip(column(b, "_text"), column(b, "_starts"), strict=True):
+            for t, s in zip(each(b, "_text"), column(b, "_starts"), strict=True):
                 ws = t.encode().split()
                 if s:
                     edge = np.zeros(len(ws) + 1, np.int64)

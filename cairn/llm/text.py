@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -84,6 +86,11 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def each(batch: pa.RecordBatch, name: str) -> Iterator:
+    """A column's values one by one: long texts of a batch are not all held a second time."""
+    return (x.as_py() for x in batch.column(batch.schema.get_field_index(name)))
+
+
 def text_of(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -27,7 +27,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.text import column, constants, mix, ngrams, word_hashes
+from cairn.llm.text import column, constants, each, mix, ngrams, word_hashes
 from cairn.session import materialize
 
 #: Toxic rows that are learned from at most, and windows of a row that train the ordinary dictionary.
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shared.value.score(t) for t in column(b, "_text")]
+            s = [shared.value.score(t) for t in each(b, "_text")]
             yield pa.record_batch([*[b.column(n) for n in names], pa.array(s, pa.float64())], [*names, "score"])
 
     schema = rows.select(*names).schema.add("score", "double")

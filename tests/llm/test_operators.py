@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -91,8 +92,8 @@ def test_substrings(spark):
 def _classes(texts):
     sets = []
     for t in texts:
-        ws = (t or "").encode().split()
-        sets.append((tuple(ws), {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}))
+        ws = re.findall(r"\w+", (t or "").lower())
+        sets.append(((t or "").encode().split(), {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}))
     parent = list(range(len(texts)))
 
     def root(x):
@@ -109,6 +110,19 @@ def _classes(texts):
     return [root(i) for i in range(len(texts))]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Of rows that repeat an id, one text counts, and the same one stays."""
+    a, b, c = ("long words one two three four five six " * 5 + x for x in "abc")
+    other = " ".join(f"q{i}" for i in range(40))
+    rows_ = [(1, a, "s"), (1, other, "t"), (2, a.upper() + "!", "s"), (3, other, "s"), (3, other, "s"), (None, c, "s"), (4, b, None)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, _h string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(d).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] == got[4]
+    kept = sorted(near_dedup.keep_one(d).collect(), key=str)
+    again = sorted(near_dedup.keep_one(d.repartition(5)).collect(), key=str)
+    assert kept == again and len(kept) == len(set(got.values())) + 1
+
+
 def test_near_duplicates(spark):
     rng = random.Random(2)
     word = [f"w{i}" for i in range(5000)]
