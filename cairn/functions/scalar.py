@@ -67,7 +67,7 @@ def chapter_heading(line: Column) -> Column:
 
 
 def number_of(numeral: Column) -> Column:
-    return F.char_length(F.substring_index(F.lit("一二三四五六七八九十"), numeral, 1)) + 1
+    return F.call_function("instr", F.lit("一二三四五六七八九十"), numeral)
 
 
 def split_exercises(text: Column) -> Column:

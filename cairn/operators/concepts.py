@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from cairn import schema as S
 from cairn.functions.scalar import norm_key, strip
 from cairn.session import materialize
-from cairn.sources.frames import keep_first, numbered
+from cairn.sources.frames import keep_first, numbered_over_all
+
+HAN = re.compile("[一-鿿]")
 
 
 def validate(raw: DataFrame) -> DataFrame:
@@ -106,74 +110,70 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         label = materialize(label.join(hook, F.col("component") == F.col("from"), "left").select("id", F.coalesce("to", "component").alias("component")), "classes")
 
 
-def _prefer(a: dict, b: dict) -> tuple[str, str]:
-    """(kept, absorbed): a Chinese name, then the longer, then the harder one, then a."""
-
-    def rank(x: dict) -> tuple:
-        return any("一" <= c <= "鿿" for c in x["name"]), len(x["name"]), x["difficulty"]
-
-    return (a["name"], b["name"]) if rank(a) >= rank(b) else (b["name"], a["name"])
+def _heads(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """(id, head) of the names of one component: the name that stands for each once all its pairs are merged.
 
+    A pair joins two groups. The joint group's head is the proposed name if it is
+    either group's head, else the better of the two by (Chinese, length,
+    difficulty), the first of the pair among equals.
+    """
+    worth = {n: (bool(HAN.search(n)), len(n), 1 if pd.isna(d) else d) for n, d in zip(names["id"], names["difficulty"], strict=True)}
+    group = {n: [n] for n in worth}  # each name's group: its head first
+    for a, b, said in pairs.sort_values("p_ord")[["name_a", "name_b", "canonical"]].itertuples(index=False):
+        left, right = group[a], group[b]
+        if left is right:
+            continue
+        heads = [left[0], right[0]]
+        best = (said or "").strip()
+        best = best if best in heads else max(heads, key=worth.__getitem__)
+        joint = left + right if best == left[0] else right + left
+        group.update(dict.fromkeys(joint, joint))
+    return pd.DataFrame({"id": list(group), "head": [g[0] for g in group.values()]})
 
-def _replay(concepts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Apply the approved pairs of one component in order, then fold each group into its canonical concept."""
-    rows = {r["name"]: r for r in concepts.sort_values("ord").to_dict("records")}
-    into: dict[str, str] = {}
 
-    def root(n: str) -> str:
-        while n in into:
-            n = into[n]
-        return n
+def _fold(members: DataFrame) -> DataFrame:
+    """One concept for each head of (head, concept's columns).
 
-    for p in pairs.sort_values("p_ord").to_dict("records"):
-        a, b = root(p["name_a"]), root(p["name_b"])
-        if a == b:
-            continue
-        said = (p["canonical"] or "").strip()
-        if said in (a, b):
-            kept, gone = said, b if said == a else a
-        else:
-            kept, gone = _prefer(*(rows.get(x, {"name": x, "difficulty": 1}) for x in (a, b)))
-        into[gone] = kept
-    groups: dict[str, list[dict]] = {}
-    for n, r in rows.items():
-        groups.setdefault(root(n), []).append(r)
-    out = []
-    for name, group in groups.items():
-        base = next((g for g in group if g["name"] == name), group[0])
-        aliases, have, definition = list(base["aliases"]), {base["name"].strip().lower(), *(x.strip().lower() for x in base["aliases"])}, base["definition"]
-        for g in group:
-            if g is base:
-                continue
-            for x in (g["name"], *g["aliases"]):
-                if x.strip().lower() not in have:
-                    aliases.append(x)
-                    have.add(x.strip().lower())
-            definition = g["definition"] if len(g["definition"] or "") > len(definition or "") else definition
-        out.append(base | {"aliases": aliases, "definition": definition, "merged": len(group)})
-    return pd.DataFrame(out)
+    The head's own concept is the base (the first by ord where the head has none):
+    its name, attributes and aliases stay. The others' names and aliases follow in
+    order, each name once in any case; the longest definition is kept.
+    """
+    base = members.groupBy("head").agg(
+        F.min_by(F.struct("name", "chapter", "difficulty", "node_role", "aliases", "ord"), F.struct(F.col("name") != F.col("head"), "ord")).alias("b"),
+        F.count("*").cast("int").alias("merged"),
+    )
+    known = members.join(base, "head").withColumn("own", F.col("name") == F.col("b.name"))
+    longest = known.groupBy("head").agg(F.max_by("definition", F.struct(F.char_length(F.coalesce("definition", F.lit(""))), "own", -F.col("ord"))).alias("definition"))
+    names = known.select("head", "own", "ord", F.posexplode(F.concat(F.array("name"), "aliases")).alias("pos", "alias"))
+    # a name that the base has in any case is not added; of the others' spellings the first is
+    once = names.groupBy("head", F.lower(strip(F.col("alias"))).alias("folded")).agg(F.max("own").alias("own"), F.min(F.struct("ord", "pos", "alias")).alias("first")).where("NOT own")
+    more = once.groupBy("head").agg(F.transform(F.array_sort(F.collect_list("first")), lambda x: x["alias"]).alias("more"))
+    out = base.join(longest, "head").join(more, "head", "left")
+    return out.select("b.name", "definition", "b.chapter", "b.difficulty", "b.node_role", F.concat("b.aliases", F.coalesce("more", F.array().cast("array<string>"))).alias("aliases"), "b.ord", "merged")
 
 
 def apply_decisions(concepts: DataFrame, decided: DataFrame) -> DataFrame:
     """Concepts with approved pairs merged, transitively.
 
     decided: (p_ord, name_a, name_b, merge, canonical). Pairs of different
-    components cannot touch each other, so each component is replayed by itself;
-    concepts in no pair pass by untouched. `merged` counts what went into each.
+    components cannot touch each other, so each component's names are settled in
+    the order of its decisions by themselves; the concepts are then folded by
+    aggregation. Concepts in no pair pass by untouched. `merged` counts what went
+    into each.
     """
     ok = decided.where("merge").select("p_ord", "name_a", "name_b", "canonical")
     ends = ok.select(F.explode(F.array("name_a", "name_b")).alias("id")).distinct()
     comp = components(ends, ok.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).where("a <> b"))
     fields = ["name", "definition", "chapter", "difficulty", "node_role", "aliases", "ord"]
-    c = concepts.select(*[F.col(x) for x in fields])
-    touched = c.join(comp, c["name"] == comp["id"]).drop("id")
+    c = concepts.select(*fields)
+    names = comp.join(c.select(F.col("name").alias("id"), "difficulty"), "id", "left")
     pairs = ok.join(comp.select(F.col("id").alias("name_a"), F.col("component").alias("of")), "name_a")
-    schema = c.schema.add("merged", "integer")
-    done = touched.groupBy("component").cogroup(pairs.groupBy("of")).applyInPandas(lambda a, b: _replay(a, b)[[f.name for f in schema]], schema)
-    return c.join(comp, c["name"] == comp["id"], "left_anti").withColumn("merged", F.lit(1)).unionByName(done)
+    heads = names.groupBy("component").cogroup(pairs.groupBy("of")).applyInPandas(lambda a, b: _heads(a, b), "id string, head string")
+    members = materialize(c.join(heads, c["name"] == heads["id"]).drop("id"), "members")
+    return c.join(comp, c["name"] == comp["id"], "left_anti").withColumn("merged", F.lit(1)).unionByName(_fold(members))
 
 
 def review_batches(pairs: DataFrame, size: int = 15) -> DataFrame:
-    """Pairs with a batch number, alias pairs first, then by confidence. A review list is small: its order is global."""
+    """Pairs with a number from 1 (p_ord) and a batch number, alias pairs first, then by confidence."""
     order = [(F.col("source") != "alias_match").cast("int"), F.desc("confidence"), "idx_a", "idx_b"]
-    return numbered(pairs, [F.lit(0)], order, "p_ord").withColumn("batch", F.floor((F.col("p_ord") - 1) / size))
+    return numbered_over_all(pairs, order, "p_ord").withColumn("batch", F.floor((F.col("p_ord") - 1) / size))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,33 +133,31 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query, rank, id, score): exact nearest by cosine distance d, score 1 / (1 + d).
 
     queries: (id, vec), vectors: (id, vec). A stated set of queries goes against
-    all vectors in blocks: a block of queries is multiplied with each batch of
-    vectors in one step, and only each block's best k leave a task.
+    all vectors in blocks: each block of queries meets each block of vectors in one
+    multiplication, and only a query's best k of a block leave the task. Neither
+    side passes through the driver.
     """
-    spark = queries.sparkSession
-    asked = [(r["id"], r["vec"]) for r in queries.toLocalIterator()]
-    asked = [(i, v) for i, v in asked if v]
-    kind = vectors.schema["id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(([i for i, _ in asked], _unit(np.array([v for _, v in asked], float)) if asked else np.zeros((0, 1))))
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        for b in batches:
-            keep = [i for i, v in enumerate(b.column(1).to_pylist()) if v]
-            if not keep or not ids:
-                continue
-            x = _unit(np.array([b.column(1)[i].as_py() for i in keep], float))
-            names = [b.column(0)[i].as_py() for i in keep]
-            for lo in range(0, len(ids), BLOCK):
-                s = q[lo : lo + BLOCK] @ x.T
-                n = min(k, len(names))
-                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                best = np.take_along_axis(s, at, 1)
-                yield pa.record_batch([pa.array([i for i in ids[lo : lo + BLOCK] for _ in range(n)]), pa.array([names[j] for j in at.ravel()], b.schema.field(0).type), pa.array(best.ravel())], ["query", "id", "cos"])
-
-    qk = queries.schema["id"].dataType.simpleString()
-    near = vectors.select("id", "vec").mapInArrow(go, f"query {qk}, id {kind}, cos double")
-    top = numbered(near.withColumn("cos", F.round("cos", 6)), ["query"], [F.desc("cos"), "id"], "rank").where(F.col("rank") <= k)
+    asked, held = (x.select("id", "vec").where(F.size("vec") > 0) for x in (queries, vectors))
+    parts = [max(1, -(-x.count() // rows)) for x, rows in ((asked, BLOCK), (held, 16 * BLOCK))]
+
+    def deal(x: DataFrame, own: str, other: str, n: int, others: int) -> DataFrame:
+        return x.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+
+    left, right = deal(asked, "i", "j", *parts), deal(held, "j", "i", *parts[::-1])
+    kinds = [x.schema["id"].dataType.simpleString() for x in (queries, vectors)]
+
+    def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        n = min(k, len(vs))
+        if not len(qs) or not n:
+            return pd.DataFrame({"query": qs["id"][:0], "id": vs["id"][:0], "cos": np.zeros(0)})
+        # rounded before the cut, and by id among equals, as the ranks are
+        vs = vs.sort_values("id", kind="stable")
+        s = np.round(_unit(np.array(qs["vec"].tolist(), float)) @ _unit(np.array(vs["vec"].tolist(), float)).T, 6)
+        at = np.argsort(-s, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({"query": np.repeat(qs["id"].to_numpy(), n), "id": vs["id"].to_numpy()[at.ravel()], "cos": np.take_along_axis(s, at, 1).ravel()})
+
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, f"query {kinds[0]}, id {kinds[1]}, cos double")
+    top = numbered(near, ["query"], [F.desc("cos"), "id"], "rank").where(F.col("rank") <= k)
     return top.select("query", "rank", "id", F.round(X.distance_score(1 - F.col("cos")), 6).alias("score"))
 
 
@@ -182,8 +181,6 @@ def similar_pairs(vectors: DataFrame, least: float = 0.82, block: int = 1024) ->
     dealt = v.withColumn("c", F.explode(to)).select("c.i", "c.j", "b", "id", "vec")
 
     def meet(pdf):
-        import pandas as pd
-
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         if not len(left) or not len(right):

@@ -134,7 +134,26 @@ def test_merge_is_transitive(spark):
     c = spark.createDataFrame([("A", "d", "c", 1, "概念", ["a"], 0), ("进程", "longer text", "c", 1, "概念", [], 1), ("proc", "x", "c", 2, "概念", ["p"], 2), ("other", "o", "c", 1, "概念", [], 3)], "name string, definition string, chapter string, difficulty int, node_role string, aliases array<string>, ord long")
     d = spark.createDataFrame([(1, "A", "进程", True, None), (2, "proc", "A", True, "bogus"), (3, "other", "A", False, None)], "p_ord int, name_a string, name_b string, merge boolean, canonical string")
     got = {r["name"]: r for r in C.apply_decisions(c, d).collect()}
-    assert set(got) == {"进程", "other"} and got["进程"]["merged"] == 3 and got["进程"]["aliases"] == ["A", "a", "proc", "p"]
+    # "a" is "A" once folded: the first of the two stays
+    assert set(got) == {"进程", "other"} and got["进程"]["merged"] == 3 and got["进程"]["aliases"] == ["A", "proc", "p"]
+    assert got["进程"]["definition"] == "longer text" and got["other"]["merged"] == 1
+
+
+def test_merge_chooses_names_in_decision_order(spark):
+    c = spark.createDataFrame([("ab", "one", "c", 1, "概念", ["x", "X"], 0), ("abc", "four", "c", 1, "概念", ["x", "y"], 1), ("de", "five!", "d", 3, "概念", [" Y ", "z"], 2), ("fg", "", "c", 3, "算法", [], 3)], "name string, definition string, chapter string, difficulty int, node_role string, aliases array<string>, ord long")
+    # the longer name is kept; then the proposed one, as it still stands; the last proposal is of a name that is gone
+    d = spark.createDataFrame([(1, "ab", "abc", True, ""), (2, "ab", "de", True, "de"), (3, "abc", "fg", True, "ab")], "p_ord int, name_a string, name_b string, merge boolean, canonical string")
+    (r,) = C.apply_decisions(c, d).collect()
+    # de and fg are alike in length and difficulty: the first of the pair
+    assert (r["name"], r["definition"], r["chapter"], r["merged"]) == ("de", "five!", "d", 4)
+    assert r["aliases"] == [" Y ", "z", "ab", "x", "abc", "fg"]
+
+
+def test_review_batches_are_numbered_over_all_pairs(spark):
+    pairs = spark.createDataFrame([(i, i + 1, "embedding" if i % 3 else "alias_match", (i * 7 % 50) / 50) for i in range(100)], "idx_a int, idx_b int, source string, confidence double").repartition(7)
+    got = C.review_batches(pairs, 15).orderBy("p_ord").collect()
+    want = sorted(range(100), key=lambda i: (i % 3 != 0, -(i * 7 % 50), i))
+    assert [r["idx_a"] for r in got] == want and [(r["p_ord"], r["batch"]) for r in got] == [(i + 1, i // 15) for i in range(100)]
 
 
 def test_text_functions(spark):
