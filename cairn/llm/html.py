@@ -6,7 +6,12 @@ is marked up as such) as log odds of lying inside. One linear scan finds the
 contiguous region with the largest sum. Where the region lies in an article or
 main element, that element is the region; page furniture inside it is left out.
 What holds a main element, the longest article or most of the region is no
-furniture, whatever its class says.
+furniture, whatever its class says. On a page without such an element, other
+maximal regions of the same scan that score SHARE of the best are part of the
+text, so that a block of links in the middle does not cut a story in two.
+
+Parsing is linear in the page's length, whatever the markup: no search starts
+over behind a tag, quote or comment that is never closed.
 """
 
 from __future__ import annotations
@@ -24,9 +29,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm.text import each
 
-#: Labelled pages that weights are learned from at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 300, 60_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Labelled pages that weights are learned from at most, each as a whole.
+SAMPLE = 300
+#: Of the best region's score, what another region must have to be text as well.
+SHARE = 0.25
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 CLASSES = re.compile(r"""(?:^|[\s/])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,44 +87,59 @@ class Page:
         self.raw: list[bool] = []  # tags whose content is no text
         self.elements: list[list] = []  # [first, past the last token, tag, why furniture, 1 article or 2 main, parent's place]
         stack: list[tuple[str, int]] = []  # (tag, place in elements)
+        self.blocks: list[int] = []  # places in the stack that hold block elements
+        self.open: Counter[str] = Counter()  # open elements by tag
+        unclosed: set[str] = set()  # raw elements that nothing closes from here on
+        last = {c: source.rfind(c) for c in "\"'>"}
         pos, end = 0, len(source)
         while pos < end:
-            m = TOKEN.match(source, pos)
-            if m is None:  # an open angle bracket that no tag follows
-                stop = source.find("<", pos + 1)
-                text, pos = source[pos : stop if stop > 0 else end], stop if stop > 0 else end
-                self._add("w", text)
+            if source[pos] != "<":
+                stop = source.find("<", pos)
+                stop = end if stop < 0 else stop
+                self._add("w", source[pos:stop])
+                pos = stop
+                continue
+            past = self._passed_over(source, pos)
+            if past:
+                pos = past
                 continue
-            pos = m.end()
-            closing, tag, attrs, text = m.groups()
-            if text is not None:
-                self._add("w", text)
-            elif tag is None:
+            m = TAG.match(source, pos)
+            stop = self._tag_end(source, m.end(), last) if m else -1
+            if stop < 0:  # an open angle bracket that no tag follows
+                self._add("w", "<")
+                pos += 1
                 continue
-            elif closing:
-                tag = tag.lower()
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-                if depth >= 0:
-                    self._close(stack, depth)
+            tag, attrs, closing = m[1].lower(), source[m.end() : stop], source[pos + 1] == "/"
+            pos = stop + 1
+            if closing:
+                if self.open[tag]:
+                    self._close(stack, next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
                 self._add("c", tag)
-            else:
-                tag = tag.lower()
-                if tag in RAW:
+                continue
+            if tag in RAW:
+                if not attrs.endswith("/") and tag not in unclosed:
                     found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
-                    if not attrs.endswith("/"):
-                        pos = found.end() if found else (end if tag in ("script", "style", "textarea", "title") else pos)
-                    self._add("o", tag, True)
-                    continue
-                over = CLOSES.get(tag, ())
-                if tag in ENDS_P or tag == "p":
-                    over = (*over, "p")
-                while over and (at := self._ends(stack, over)) >= 0:
-                    self._close(stack, at)
-                if tag not in VOID and not attrs.endswith("/"):
-                    main = 2 if tag == "main" or ROLE_MAIN.search(attrs) else 1 if tag in MAIN or BODY_PROP.search(attrs) else 0
-                    self.elements.append([len(self.tokens), None, tag, _furniture(tag, attrs), main, stack[-1][1] if stack else -1])
-                    stack.append((tag, len(self.elements) - 1))
-                self._add("o", tag)
+                    if found:
+                        pos = found.end()
+                    else:
+                        unclosed.add(tag)
+                        pos = end if tag in ("script", "style", "textarea", "title") else pos
+                self._add("o", tag, True)
+                continue
+            over = CLOSES.get(tag, ())
+            if tag in ENDS_P or tag == "p":
+                over = (*over, "p")
+            # what ends here can only be the innermost block element; inline elements left open in it end with it
+            while over and self.blocks and stack[self.blocks[-1]][0] in over:
+                self._close(stack, self.blocks[-1])
+            if tag not in VOID and not attrs.endswith("/"):
+                main = 2 if tag == "main" or ROLE_MAIN.search(attrs) else 1 if tag in MAIN or BODY_PROP.search(attrs) else 0
+                self.elements.append([len(self.tokens), None, tag, _furniture(tag, attrs), main, stack[-1][1] if stack else -1])
+                if tag in BLOCK:
+                    self.blocks.append(len(stack))
+                self.open[tag] += 1
+                stack.append((tag, len(self.elements) - 1))
+            self._add("o", tag)
         self._close(stack, 0)
         self.words = [len(t.split()) if k == "w" else 0 for k, t in self.tokens]
         self.upto = [0, *accumulate(self.words)]
@@ -127,7 +150,30 @@ class Page:
 
     def _close(self, stack: list[tuple[str, int]], depth: int) -> None:
         while len(stack) > depth:
-            self.elements[stack.pop()[1]][1] = len(self.tokens)
+            tag, place = stack.pop()
+            self.elements[place][1] = len(self.tokens)
+            self.open[tag] -= 1
+            if self.blocks and self.blocks[-1] == len(stack):
+                self.blocks.pop()
+
+    @staticmethod
+    def _passed_over(source: str, pos: int) -> int:
+        """Past a comment, a CDATA section or a declaration that starts here; 0 if none does. One without an end goes to the page's end."""
+        for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if source.startswith(start, pos):
+                at = source.find(stop, pos + len(start))
+                return at + len(stop) if at >= 0 else len(source)
+        return 0
+
+    @staticmethod
+    def _tag_end(source: str, pos: int, last: dict[str, int]) -> int:
+        """Where the tag's closing angle bracket stands; -1 for none. One inside quotes ends no tag, unless the quote is never closed."""
+        while pos <= last[">"]:
+            m = QUOTE_OR_END.search(source, pos)
+            if m[0] == ">":
+                return m.start()
+            pos = source.find(m[0], m.end()) + 1 if m.end() <= last[m[0]] else m.end()
+        return -1
 
     def _standing(self, opened: set[int]) -> tuple[list[bool], list[tuple[int, int]]]:
         """Which tokens are furniture, and the outermost articles and mains that are not, with the opened elements shown."""
@@ -144,13 +190,11 @@ class Page:
             inside.append(within or main)
         return skip, mains
 
-    def _path(self, i: int) -> list[int]:
-        """An element and those around it."""
-        out = []
-        while i >= 0:
-            out.append(i)
+    def _open_path(self, i: int) -> None:
+        """Open an element and those around it."""
+        while i >= 0 and i not in self.opened:
+            self.opened.add(i)
             i = self.elements[i][5]
-        return out
 
     def _open_mains(self) -> None:
         """Show what stands around each main element, and around the longest article.
@@ -160,17 +204,16 @@ class Page:
         text that is.
         """
         shown = sum(w for w, x in zip(self.words, self.skip, strict=True) if not x)
-        best, most = None, max((self.upto[b] - self.upto[a] for a, b in self.mains), default=max(0, shown - 1))
-        for i, (first, last, _, why, main, _) in enumerate(self.elements):
+        best, most, worst = -1, max((self.upto[b] - self.upto[a] for a, b in self.mains), default=max(0, shown - 1)), []
+        for i, (first, last, _, why, main, parent) in enumerate(self.elements):
+            worst.append(max(why, worst[parent] if parent >= 0 else 0))
             if not main or why > BY_CLASS:
                 continue
-            path = self._path(i)
-            worst = max(self.elements[j][3] for j in path)
-            if main == 2 and worst < BY_HIDING:
-                self.opened.update(path)
-            elif main == 1 and worst <= BY_CLASS and self.upto[last] - self.upto[first] > most:
-                best, most = path, self.upto[last] - self.upto[first]
-        self.opened.update(best or ())
+            if main == 2 and worst[i] < BY_HIDING:
+                self._open_path(i)
+            elif main == 1 and worst[i] <= BY_CLASS and self.upto[last] - self.upto[first] > most:
+                best, most = i, self.upto[last] - self.upto[first]
+        self._open_path(best)
         if self.opened:
             self.skip, self.mains = self._standing(self.opened)
 
@@ -192,16 +235,6 @@ class Page:
                     self.skip, self.mains = self._standing(self.opened)
                 return
 
-    @staticmethod
-    def _ends(stack, over) -> int:
-        """Where the open element stands that ends here, past inline elements left open; -1 for none."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in over:
-                return i
-            if stack[i][0] in BLOCK:
-                return -1
-        return -1
-
     def _add(self, kind: str, text: str, raw: bool = False) -> None:
         self.tokens.append((kind, text))
         self.raw.append(raw)
@@ -227,6 +260,34 @@ class Page:
                 best, first, last = run, start, i + 1
         return first, last
 
+    def regions(self, weights: dict[str, float]) -> list[tuple[int, int]]:
+        """All maximal-scoring regions, in page order, that score SHARE of the best: the same linear scan, begun anew where a sum falls to the last peak's loss."""
+        found, total, scores = [], 0.0, self.scores(weights)
+        for i, x in enumerate(scores):
+            if x > 0:
+                # (first, past, sum before, sum after); a region takes in earlier ones while the sum before it lies above theirs
+                new = (i, i + 1, total, total + x)
+                while True:
+                    k = len(found) - 1
+                    while k >= 0 and found[k][2] >= new[2]:
+                        k = found[k][4]
+                    if k < 0 or found[k][3] >= new[3]:
+                        found.append((*new, k))
+                        break
+                    new = (found[k][0], new[1], found[k][2], new[3])
+                    del found[k:]
+            total += x
+        best = max((f[3] - f[2] for f in found), default=0.0)
+        return [(f[0], f[1]) for f in found if f[3] - f[2] >= SHARE * best]
+
+    def _whole_blocks(self, first: int, last: int) -> tuple[int, int]:
+        """The region, widened to the ends of the blocks that it begins and ends in."""
+        while first > 0 and not (self.tokens[first - 1][0] != "w" and self.tokens[first - 1][1] in BLOCK):
+            first -= 1
+        while last < len(self.tokens) and not (self.tokens[last][0] != "w" and self.tokens[last][1] in BLOCK):
+            last += 1
+        return first, last
+
     def main_text(self, weights: dict[str, float]) -> str:
         if not self.mains:
             self._open_region(weights)
@@ -238,11 +299,13 @@ class Page:
             # articles that the scan did not reach belong to the main text as far as they stand beside the best one
             spans = [(a, b) for _, a, b in sorted(inside, key=lambda x: x[1])]
         else:
-            while first > 0 and not (self.tokens[first - 1][0] != "w" and self.tokens[first - 1][1] in BLOCK):
-                first -= 1
-            while last < len(self.tokens) and not (self.tokens[last][0] != "w" and self.tokens[last][1] in BLOCK):
-                last += 1
-            spans = [(first, last)]
+            spans = []
+            for a, b in self.regions(weights):
+                a, b = self._whole_blocks(max(a, spans[-1][1] if spans else 0), b)
+                if spans and a <= spans[-1][1]:
+                    before = spans.pop()
+                    a, b = before[0], max(b, before[1])
+                spans.append((a, b))
         blocks, cur = [], []
         for a, b in spans:
             for i in range(a, b):
@@ -261,38 +324,61 @@ class Page:
         return "\n\n".join(x for x in done if x)
 
 
-def learn(sources: list[str], smooth: float = 2.0) -> dict[str, float]:
-    """Weights from pages whose main part is marked: log odds of a word and of each tag to lie inside it.
+def counts(source: str) -> dict[str, tuple[int, int]]:
+    """Words ("") and tags of a labelled page: how many lie inside its main part, and how many outside."""
+    page = Page(source)
+    if not page.mains:
+        return {}
+    ins, out = Counter(), Counter()
+    a, b = page.mains[0]
+    for i, ((kind, text), n, skip) in enumerate(zip(page.tokens, page.words, page.skip, strict=True)):
+        c = ins if a <= i < b and not skip else out
+        c["" if kind == "w" else text] += n if kind == "w" else 1
+    return {t: (ins[t], out[t]) for t in ins | out}
+
+
+def weigh(found: dict[str, tuple[int, int]], smooth: float = 2.0) -> dict[str, float]:
+    """Log odds of a word, and of each tag for so many words, to lie inside the main part.
 
-    Tags weigh negative: the log odds of a tag per word inside against outside,
-    under 0 by construction.
+    Of these, the word's is cut to be positive and a tag's to be negative. A tag
+    that no labelled page has weighs as the mean of all.
     """
-    ins, out = Counter(), Counter()
-    for s in sources:
-        page = Page(s)
-        if not page.mains:
-            continue
-        a, b = page.mains[0]
-        for i, ((kind, text), skip) in enumerate(zip(page.tokens, page.skip, strict=True)):
-            c = ins if a <= i < b and not skip else out
-            c["" if kind == "w" else text] += len(text.split()) if kind == "w" else 1
-    if not ins or not out:
+    if not found or not sum(i for i, _ in found.values()) or not sum(o for _, o in found.values()):
         return {"word": 1.0, "tag": -2.0}
-    words_in, words_out = ins[""] + smooth, out[""] + smooth
-    weights = {"word": 1.0, "tag": -2.0}
-    for tag in (set(ins) | set(out)) - {""}:
-        # tags for each word, inside against outside
-        odds = log((ins[tag] + smooth) / words_in) - log((out[tag] + smooth) / words_out)
-        weights[tag] = -0.5 - min(3.5, 0.75 * max(0.0, -odds))
-    return weights
+    n_in, n_out = (sum(x[k] for x in found.values()) + smooth for k in (0, 1))
+    odds = {t: log((i + smooth) / n_in) - log((o + smooth) / n_out) for t, (i, o) in found.items()}
+    weights = {t: min(-0.5, x) for t, x in odds.items() if t}
+    tags = [x for t, x in weights.items() for _ in range(min(1000, sum(found[t])))]
+    return weights | {"word": max(0.25, odds.get("", 0.0)), "tag": sum(tags) / len(tags) if tags else -2.0}
+
+
+def learn(sources: list[str]) -> dict[str, float]:
+    """Weights from pages whose main part is marked."""
+    total: dict[str, tuple[int, int]] = {}
+    for s in sources:
+        for t, (i, o) in counts(s).items():
+            a, b = total.get(t, (0, 0))
+            total[t] = a + i, b + o
+    return weigh(total)
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Learn from at most `sample` labelled pages, those with the smallest hash of their id."""
-    marked = F.col("html").rlike("(?i)<(article|main)[\\s>]")
-    picked = pages.where("html is not null").select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")).where(marked)
-    rows = picked.orderBy(F.xxhash64("page_id", F.lit("pages")), "page_id").limit(sample).collect()
-    return learn([r["html"] for r in rows])
+    """Learn from at most `sample` labelled pages, those with the smallest hash of their id, each as a whole.
+
+    Ids are chosen first; their pages are counted where they lie, and two numbers
+    a tag come to the driver, for tags that two pages have.
+    """
+    marked = pages.where(F.col("html").cast("string").rlike("(?i)<(article|main)[\\s>]") & F.col("page_id").isNotNull())
+    ids = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id", F.lit("pages")), "page_id").limit(sample)
+    rows = marked.join(F.broadcast(ids), "page_id", "left_semi").select(F.col("html").cast("string").alias("_html"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(t, i, o) for h in each(b, "_html") for t, (i, o) in counts(h).items()]
+            yield pa.record_batch([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["tag", "ins", "out"])
+
+    total = rows.mapInArrow(go, "tag string, ins long, out long").groupBy("tag").agg(F.sum("ins").alias("ins"), F.sum("out").alias("out"), F.count("*").alias("k"))
+    return weigh({r["tag"]: (r["ins"], r["out"]) for r in total.where("k > 1 OR tag = ''").collect()})
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -300,7 +386,9 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     Blocks are joined by two \\n; white space in a block becomes one blank. A null
     or empty html, or one without words outside page furniture, has an empty
-    text. Repeated rows give equal rows.
+    text. Repeated rows give equal rows; an empty table gives an empty one; other
+    columns, whatever they are called, are not read. Pages of any length are read
+    whole, in time that grows with their length.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("_html"))
 

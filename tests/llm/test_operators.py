@@ -4,7 +4,7 @@ import base64
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -292,6 +292,33 @@ def test_pages(spark, sf):
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) and r["text"] for r in got)
 
 
+def test_pages_without_their_marks(spark, sf):
+    """The scan alone, on pages whose main element is made a plain one, against the text of that element."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = html.extract(pages, html.fit(pages))
+    # what a labelled page teaches is kept from the pages it is tried on
+    even, odd = (pages.where(F.pmod("page_id", F.lit(2)) == k) for k in (0, 1))
+    bare = odd.withColumn("html", F.regexp_replace("html", "(?i)<(/?)(article|main)\\b", "<$1section"))
+    got = {r["page_id"]: r["text"].split() for r in html.extract(bare, html.fit(even)).collect()}
+    hit = have = true = 0
+    for r in want.where(F.pmod("page_id", F.lit(2)) == 1).collect():
+        a, b = Counter(r["text"].split()), Counter(got[r["page_id"]])
+        hit, have, true = hit + (a & b).total(), have + b.total(), true + a.total()
+    print(f"words: precision {hit / have:.3f}, recall {hit / true:.3f}")
+    assert hit / have > 0.95 and hit / true > 0.95
+
+
+def test_pages_corners(spark):
+    long_ = "<article>" + "<p>word " * 60_000 + "</article>"
+    data = [(1, "u", None), (2, None, ""), (3, "u", "<nav>menu</nav>"), (4, "u", "<p>a&amp;b"), (4, "u", "<p>a&amp;b"), (None, "u", "<main>x</main>"), (5, "u", long_), (6, "u", "<div " * 50_000)]
+    pages = spark.createDataFrame([(*r, "q", 7) for r in data], "page_id long, url string, html string, text string, _html int")
+    got = html.extract(pages, html.fit(pages)).collect()
+    by = {r["page_id"]: r for r in got}
+    assert len(got) == 8 and by[1]["text"] == by[2]["text"] == by[3]["text"] == "" and by[2]["url"] is None
+    assert [r["text"] for r in got if r["page_id"] == 4] == ["a&b"] * 2 and by[None]["text"] == "x"
+    assert by[5]["text"].split() == ["word"] * 60_000 and by[5]["n_chars"] == len(by[5]["text"])
+
+
 def test_ann(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = ann.search(v)

@@ -261,3 +261,38 @@ def test_probes_go_on_until_they_hold_enough():
             assert len(set(p.tolist())) == len(p)
             assert index.homes[p].sum() > k or len(p) == n
             assert index.homes[p[:-1]].sum() <= k
+
+
+HOSTILE = ["<a ", "<a '", '<a "', "<div>", "<b><div></div>", "</span>", "<svg>", "<!-", "<!--", "<", "</p ", "<article>", "<div class=ad>", "<p><b>", "<li><i>", "x <b>", "<main><nav>", "<table><td>", 'class="', "&amp"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    def took(n):
+        page = "<article>" + piece * (n // len(piece)) + "<p>text"
+        start = time.process_time()
+        html.Page(page).main_text(WEIGHTS)
+        return time.process_time() - start
+
+    took(20_000)
+    assert took(400_000) < 20
+
+
+def test_a_block_of_links_does_not_cut_a_story():
+    story = [" ".join(f"w{k}{i}" for i in range(60)) for k in range(2)]
+    links = "<ul>" + "<li><a href=x>go</a></li>" * 30 + "</ul>"
+    page = f"<body><div>{links}</div><p>{story[0]}</p>{links}<p>{story[1]}</p><div>{links}</div>"
+    assert html.Page(page).main_text(WEIGHTS) == "\n\n".join(story)
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "w w w", "<a>", "x"]), max_size=12))
+def test_regions_are_maximal(parts):
+    page = html.Page(" ".join(parts))
+    s, found = page.scores(WEIGHTS), page.regions(WEIGHTS)
+    assert all(b <= c for (_, b), (c, _) in zip(found, found[1:]))
+    best = page.region(WEIGHTS)
+    if best[0] < best[1]:
+        sums = [sum(s[a:b]) for a, b in found]
+        assert max(sums) == pytest.approx(sum(s[best[0] : best[1]])) and min(sums) >= html.SHARE * max(sums) - 1e-9
