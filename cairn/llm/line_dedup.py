@@ -20,10 +20,13 @@ from pyspark.sql import types as T
 
 from cairn.llm.bloom import bits_for, has, seen_twice
 from cairn.llm.text import U64, column, each, octets, text_of
+from cairn.session import materialize
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 HASHES, BITS_PER_LINE, OCTETS_PER_LINE = 4, 16, 160
+#: Bytes of shared keys that one broadcast may hold; more keys meet their lines by a join, a key's lines in SALTS parts.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def long_keys(text: str, min_chars: int) -> Iterator[tuple[int, bytes]]:
@@ -66,6 +69,15 @@ def _suspects(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("_id", "_row", "_text").mapInArrow(pick, "_id long, _row long, key binary, at array<int>")
 
 
+def _meet(suspects: DataFrame, shared: DataFrame) -> DataFrame:
+    """Suspects of the shared keys, with the key's last document. A key may have a third of all lines: its lines are never brought together."""
+    octets_ = shared.agg(F.sum(F.octet_length("key").cast("long") + 32)).first()[0] or 0
+    if octets_ <= BROADCAST_BYTES:
+        return suspects.join(F.broadcast(shared), "key")
+    salted = suspects.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    return salted.join(shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "_salt"]).drop("_salt")
+
+
 def line_dedup(docs: DataFrame, carry: tuple[str, ...] = (), min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop long lines that min_docs documents or more share, but for the largest id that holds them.
 
@@ -74,15 +86,16 @@ def line_dedup(docs: DataFrame, carry: tuple[str, ...] = (), min_docs: int = MIN
     one empty line; a line's key is stripped of 0x20 and 0x09-0x0D and its A-Z
     are lowered; keys under min_chars code points always stay. Rows that repeat
     an id count as one document, and each gets the same result; a null id is the
-    smallest. An empty table gives an empty table; other columns than those
-    named, whatever they are called, are left out.
+    smallest; a null text comes back as the empty one. Texts and lines of any
+    length are read whole. An empty table gives an empty table; other columns than
+    those named, whatever they are called, are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     rows = rows.withColumn("_row", F.xxhash64("_id", "_text"))
-    suspects = _suspects(rows.select("_id", "_row", "_text"), min_chars)
+    suspects = materialize(_suspects(rows.select("_id", "_row", "_text"), min_chars), "suspects")
     # the pairs of a key and a document are distinct but for rows that repeat an id: two steps, so that no key meets all its documents
     shared = suspects.groupBy("key", "_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.max("_id").alias("last")).where(F.col("n") >= min_docs)
-    drops = suspects.join(shared.select("key", "last"), "key").where(~F.col("_id").eqNullSafe(F.col("last")))
+    drops = _meet(suspects, materialize(shared.select("key", "last"), "shared")).where(~F.col("_id").eqNullSafe(F.col("last")))
     drops = drops.groupBy("_id", "_row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_drop")).select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_drop")
     joined = rows.join(drops, (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left").drop("_id2", "_row2", "_row")
     extra = [joined.schema[f"_carry{i}"] for i in range(len(carry))]

@@ -48,7 +48,9 @@ def test_empty_tables(spark):
 LINE = "This line is well over forty characters long, and it is shared."
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_lines(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
     texts = [f"{LINE}\nown {i}" for i in range(4)] + [f"  {LINE.upper()}\t\nown\n{LINE}", None, "", "x" * 39 + "\n"]
     rows_ = docs(spark, texts)
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(rows_).collect()}
