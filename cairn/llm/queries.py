@@ -55,7 +55,9 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    lost = F.raise_error(F.concat(F.lit("a segment or the digest is wrong: page "), F.col("page_id").cast("string"))).cast("long")
+    return back.withColumn("page_id", F.when(F.col("verified"), F.col("page_id")).otherwise(lost)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

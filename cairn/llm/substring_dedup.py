@@ -11,7 +11,8 @@ WINDOW); only what is repeated at one length goes on to twice that length:
 * At the full length the surviving windows are compared by 96 bits of two hash
   lanes. Each task first settles its own repeats and sends on one sighting of
   each window, so a passage that a third of all documents hold meets itself once a
-  task, not once a document. Sightings travel packed, by hash bucket.
+  task, not once a document. Words themselves are not compared again: two
+  windows of unlike words would be taken for one if all 96 bits collided. Sightings travel packed, by hash bucket.
 
 Each level reads the texts anew; texts are moved once, to meet their verdicts.
 """
@@ -32,7 +33,7 @@ from cairn.llm.text import U64, column, each, mix, ngrams, octets, runs, text_of
 
 WINDOW = 20
 #: The shortest length looked at, if WINDOW is a power of two times it.
-START = 10
+START = 5
 HASHES, BITS_PER_PART, OCTETS_PER_PART = 3, 12, 50
 #: Words that are hashed at once: whole documents, whatever their number.
 AT_ONCE = 150_000
@@ -42,7 +43,7 @@ OCTETS_PER_WINDOW = 6
 
 
 def levels(window: int) -> list[int]:
-    """Lengths below `window`, doubling up to it: 10 for 20; 10, 20, 40 for 80."""
+    """Lengths below `window`, doubling up to it: 5 and 10 for 20; 5, 10, 20, 40 for 80."""
     out = [window]
     while out[0] % 2 == 0 and out[0] > START:
         out.insert(0, out[0] // 2)

@@ -63,7 +63,11 @@ def test_windows_survive():
         t = bloom.Twin(1 << 20, substring_dedup.HASHES)
         for d in docs:
             t.add(first([d])[0])
-        later = substring_dedup.Survivors(20, [t.twice])
+        second = substring_dedup.Survivors(20, [t.twice])
+        u = bloom.Twin(1 << 20, substring_dedup.HASHES)
+        for d in docs:
+            u.add(second([d])[0])
+        later = substring_dedup.Survivors(20, [t.twice, u.twice])
         starts = later(docs)[1]
         for k in range(3):
             assert set(range(200 * k + 50, 200 * k + 56)) <= set(starts.tolist())
@@ -71,7 +75,7 @@ def test_windows_survive():
 
 
 def test_levels():
-    assert substring_dedup.levels(20) == [10] and substring_dedup.levels(80) == [10, 20, 40] and substring_dedup.levels(7) == []
+    assert substring_dedup.levels(20) == [5, 10] and substring_dedup.levels(80) == [5, 10, 20, 40] and substring_dedup.levels(7) == []
 
 
 @pytest.fixture(scope="module")
