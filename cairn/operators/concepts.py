@@ -98,15 +98,25 @@ def candidates(alias: DataFrame, embed: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that links (a, b) join each node to."""
+    """(id, component): the smallest id that links (a, b) join each node to.
+
+    Each round hooks every component to the smallest one that a link leads to, and
+    follows the hooks to their ends by doubling, so that a component is always
+    named after a node that is in it: links are looked up by that node. A round is
+    written to shared storage; only counts come to the driver.
+    """
     label = nodes.select("id", F.col("id").alias("component"))
     while True:
         ends = links.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
         links = materialize(ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
         if links.isEmpty():
             return label
-        hook = links.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
-        hook = hook.join(hook.select(F.col("from").alias("to"), F.col("to").alias("far")), "to", "left").select("from", F.coalesce("far", "to").alias("to"))
+        hook = links.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to")).withColumn("open", F.lit(True))
+        while True:
+            on = hook.select(F.col("from").alias("to"), F.col("to").alias("far"))
+            hook = materialize(hook.join(on, "to", "left").select("from", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("open")), "hooks")
+            if hook.where("open").isEmpty():
+                break
         label = materialize(label.join(hook, F.col("component") == F.col("from"), "left").select("id", F.coalesce("to", "component").alias("component")), "classes")
 
 

@@ -330,7 +330,12 @@ def vector_topk(s, d):
     return R.top_k(_vectors(s, d).where("id % 20 = 0"), _vectors(s, d)).select("query", "rank", "id")
 
 
-@query()
+VIEWS["linked"] = "SELECT a, b FROM cosines WHERE round(c, 4) >= 0.35 UNION ALL SELECT b, a FROM cosines WHERE round(c, 4) >= 0.35"
+VIEWS["labels_met"] = "SELECT vec_id AS id, vec_id AS component FROM embeddings UNION SELECT l.b, m.component FROM labels_met m JOIN linked l ON l.a = m.id"
+NEEDS |= {"linked": ["cosines"], "labels_met": ["linked"]}
+
+
+@query(sql("SELECT id, min(component) AS component FROM labels_met GROUP BY id", "labels_met"))
 def entity_components(s, d):
     v = _vectors(s, d)
     return C.components(v.select("id"), R.similar_pairs(v, 0.35).select("a", "b"))
@@ -344,7 +349,14 @@ def clean_page(s, d):
     return W.table(s, d, "documents").select("doc_id", X.clean_page(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query()
+# paragraphs are packed one after another: a step of the recursion is a paragraph of every text
+WHITE = r"[\s\v\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+VIEWS["para"] = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, x FROM (SELECT doc_id, k, regexp_replace(regexp_replace(y, '^{WHITE}+', ''), '{WHITE}+$', '') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS y, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents) t) u WHERE x <> ''"
+VIEWS["pack"] = "SELECT doc_id, i, x AS cur, 1 AS n FROM para WHERE i = 1 UNION ALL SELECT q.doc_id, q.i, CASE WHEN length(p.cur) + length(q.x) + 1 > 600 THEN q.x ELSE concat(p.cur, chr(10), chr(10), q.x) END, p.n + CASE WHEN length(p.cur) + length(q.x) + 1 > 600 THEN 1 ELSE 0 END FROM pack p JOIN para q ON q.doc_id = p.doc_id AND q.i = p.i + 1"
+NEEDS["pack"] = ["para"]
+
+
+@query(sql("SELECT printf('%d_c_C%03d', doc_id, n) AS chunk_id, CAST(n - 1 AS INT) AS pos, arg_max(cur, i) AS text FROM pack GROUP BY doc_id, n", "pack"))
 def chunk_text(s, d):
     pages = W.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit("c").alias("chapter"), F.col("text"))
     return R.chunk_table(pages, 600, "\n").select("chunk_id", "pos", "text")
@@ -421,6 +433,9 @@ _paths("multihop_2_prereq", Q.P, Q.P)
 _paths("multihop_2_prereq_solves", Q.P, Q.SV)
 _paths("multihop_2_solves", Q.SV, Q.SV)
 _paths("multihop_3", Q.P, Q.P, Q.P)
+_paths("multihop_3_prereq_prereq_solves", Q.P, Q.P, Q.SV)
+_paths("multihop_3_prereq_solves_solves", Q.P, Q.SV, Q.SV)
+_paths("multihop_3_solves", Q.SV, Q.SV, Q.SV)
 
 
 @query()

@@ -1,5 +1,7 @@
 """The golden example and hand-made adversarial graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,20 @@ def test_concepts(spark):
     assert t["b"] == "b" and t["z"] == "a"
 
 
+def test_components_of_chains_and_tangles(spark):
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(40)] + [(60 - i, 61 - i) for i in range(15)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(160)]
+    order = list(range(400))
+    rng.shuffle(order)
+    links = [(order[a], order[b]) for a, b in links]
+    smallest = list(range(400))
+    for _ in range(400):
+        for a, b in links:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    got = C.components(spark.range(400), spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == dict(enumerate(smallest))
+
+
 def test_merge_is_transitive(spark):
     c = spark.createDataFrame([("A", "d", "c", 1, "概念", ["a"], 0), ("进程", "longer text", "c", 1, "概念", [], 1), ("proc", "x", "c", 2, "概念", ["p"], 2), ("other", "o", "c", 1, "概念", [], 3)], "name string, definition string, chapter string, difficulty int, node_role string, aliases array<string>, ord long")
     d = spark.createDataFrame([(1, "A", "进程", True, None), (2, "proc", "A", True, "bogus"), (3, "other", "A", False, None)], "p_ord int, name_a string, name_b string, merge boolean, canonical string")
