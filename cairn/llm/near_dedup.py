@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.bloom import bits_for, has, seen_twice
 from cairn.llm.text import U64, column, constants, each, mix, ngrams, occurrence_labelled, octets, text_of, word_hashes
+from cairn.operators.concepts import components
 from cairn.session import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -200,26 +201,6 @@ def _feasible(n1: str, c1: str, n2: str, c2: str):
     return F.least(F.col(c1), F.col(c2)) >= need
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(_id, class): the smallest id of each node's connected component.
-
-    Each round hooks every class to the smallest class that a link leads to and
-    then follows the hooks once; a round is written to shared storage. Only the
-    number of open links comes to the driver.
-    """
-    label = nodes.select("_id", F.col("_id").alias("class"))
-    while True:
-        ends = links.join(label.select(F.col("_id").alias("a"), F.col("class").alias("ca")), "a").join(label.select(F.col("_id").alias("b"), F.col("class").alias("cb")), "b")
-        links = materialize(ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
-        if links.isEmpty():
-            return label
-        # each class hooks to the smallest class beside it, if that is smaller
-        hook = links.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
-        far = hook.select(F.col("from").alias("to"), F.col("to").alias("far"))
-        hook = hook.join(far, "to", "left").select("from", F.coalesce("far", "to").alias("to"))
-        label = materialize(label.join(hook, F.col("class") == F.col("from"), "left").select("_id", F.coalesce("to", "class").alias("class")), "classes")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of near duplicates of every document: id_col, class_id, n_links.
 
@@ -293,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _classes(links: DataFrame) -> DataFrame:
     """(_id, class) of the documents that have a link."""
-    return components(links.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), links)
+    found = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
+    return found.select(F.col("id").alias("_id"), F.col("component").alias("class"))
 
 
 def _shared(entries: DataFrame) -> DataFrame:
