@@ -2,10 +2,10 @@
 
 The canonical form of a text is its compatibility composition (NFKC), case
 folded, with runs of white space as one blank and none at the ends. Two lanes of
-xxhash64 over it make a 128-bit digest. A text is compared byte by byte with its
-edited form and with the next text; duplicate_groups also compares the rows of
-equal digests. A fingerprint itself holds the digest alone: two unequal texts
-elsewhere in the table would share it if all 128 bits collided.
+xxhash64 over it make a 128-bit digest. Rows of equal digests are grouped and
+their canonical texts compared byte by byte; texts that differ in spite of equal
+digests get numbered ones. A text is also compared byte by byte with its edited
+form and with the next text.
 
 An exact digest says equal or not. The fingerprint also carries SKETCH smallest
 xxhash64 values of the canonical text's three-word shingles, from which the
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.text import let, text_of
+from cairn.session import materialize
 
 SKETCH, SHINGLE = 24, 3
 #: Rows of an ordered bucket that next_text aims at.
@@ -108,32 +109,43 @@ def _search(cuts: list[int], key: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, canonical text, digest and sketch of every row. A null text is empty.
-
-    Nothing is compared here: unequal canonical texts whose 128 bits collide have
-    one digest. duplicate_groups tells them apart.
-    """
+    """id, text, canonical text and digest of every row, by hash alone. A null text is empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     return rows.withColumn("_canon", canonical(F.col("_text"))).withColumn("_digest", digest(F.col("_canon")))
 
 
+def clashes(rows: DataFrame) -> DataFrame:
+    """(_digest, _canon, _number) of unequal canonical texts with equal digests, numbered in byte order from 1; rows as fingerprints() has them.
+
+    Digests are counted first, so that only texts whose digest repeats are moved.
+    A bucket is sound if its smallest and its largest text are one: partial
+    aggregation brings a group of copies, however large, to one row a task.
+    """
+    many = rows.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest")
+    again = rows.select("_digest", "_canon").join(many, "_digest", "left_semi")
+    unsound = again.groupBy("_digest").agg(F.min("_canon").alias("lo"), F.max("_canon").alias("hi")).where("lo <> hi").select("_digest")
+    texts = rows.select("_digest", "_canon").join(unsound, "_digest", "left_semi").distinct()
+    return texts.withColumn("_number", F.row_number().over(Window.partitionBy("_digest").orderBy(F.col("_canon").cast("binary"))))
+
+
+def numbered(rows: DataFrame, clash: DataFrame, digest_col: str, canon_col: str) -> DataFrame:
+    """rows with the number added to the digests of clashing texts."""
+    c = clash.select(F.col("_digest").alias("_d"), F.col("_canon").alias("_c"), F.col("_number").alias("_n"))
+    joined = rows.join(c, (F.col(digest_col) == F.col("_d")) & (F.col(canon_col) == F.col("_c")), "left")
+    return joined.withColumn(digest_col, F.when(F.col("_n").isNull(), F.col(digest_col)).otherwise(F.concat(digest_col, F.lit("-"), F.col("_n").cast("string")))).select(*rows.columns)
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, digest, the smallest id with the same canonical text, the group's rows.
 
-    Grouping is by digest; inside equal buckets the canonical bytes decide, by the
-    smallest and the largest text, which partial aggregation brings to one row a
-    task, however large a group of copies is. No registered query calls this. Null
-    and empty texts form one group; a null id is larger than any other.
+    Digests tell texts apart to the byte (clashes()). Null and empty texts form one
+    group; a null id is larger than any other. Repeated rows give equal rows, an
+    empty table an empty one.
     """
     rows = fingerprints(docs, id_col, text_col)
-    buckets = rows.groupBy("_digest").agg(F.count("*").alias("n"), F.min("_id").alias("first"), F.min("_canon").alias("lo"), F.max("_canon").alias("hi"))
-    sound = buckets.where(F.col("lo") == F.col("hi")).select("_digest", "n", "first")
-    clash = buckets.where(F.col("lo") != F.col("hi")).select("_digest")
-    plain = rows.select("_id", "_digest").join(sound, "_digest")
-    apart = rows.join(clash, "_digest", "left_semi")
-    exact = apart.groupBy("_digest", "_canon").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
-    rest = apart.join(exact, ["_digest", "_canon"]).select("_digest", "_id", "n", "first")
-    return plain.select("_digest", "_id", "n", "first").unionByName(rest).select(F.col("_id").alias(id_col), F.col("_digest").alias("digest"), F.col("first").alias("group_id"), F.col("n").alias("group_rows"))
+    rows = numbered(rows, clashes(rows), "_digest", "_canon").select("_id", "_digest")
+    groups = rows.groupBy("_digest").agg(F.count("*").alias("group_rows"), F.min("_id").alias("group_id"))
+    return rows.join(groups, "_digest").select(F.col("_id").alias(id_col), F.col("_digest").alias("digest"), "group_id", "group_rows")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,15 +154,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited form has the last floor(n/4) code points replaced by the first as
     many of the next document's. Returns id_col, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next; one row for each
-    input row, null texts as empty ones.
+    input row, null texts as empty ones. Texts of any length are read whole; an
+    empty table gives an empty one; other columns, whatever they are called, are
+    not read.
     """
+    clash = materialize(clashes(fingerprints(docs, id_col, text_col)), "clashes")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     rows = next_text(rows, "_id", "_text", "_next")
     n, q = F.char_length("_text"), F.floor(F.char_length("_text") / 4).cast("int")
     rows = rows.select("_id", "_text", "_next", n.alias("n"), F.concat(F.substring("_text", F.lit(1), n - q), F.substring("_next", F.lit(1), q)).alias("_edited"))
     rows = rows.select("_id", "n", F.sha2("_edited", 256).alias("sha"), *[canonical(F.col(c)).alias(f"c{k}") for k, c in (("0", "_text"), ("1", "_edited"), ("2", "_next"))])
     # each canonical text is looked at once for its digest and its sketch
-    rows = rows.select("_id", "n", "sha", *[digest(F.col(f"c{k}")).alias(f"d{k}") for k in "012"], *[sketch(F.col(f"c{k}")).alias(f"s{k}") for k in "012"], *[(F.col("c0") == F.col(f"c{k}")).alias(f"same{k}") for k in "12"])
+    if not clash.isEmpty():
+        for k in "012":
+            rows = numbered(rows.withColumn(f"d{k}", digest(F.col(f"c{k}"))), clash, f"d{k}", f"c{k}")
+    rows = rows.select("_id", "n", "sha", *[(F.col(f"d{k}") if f"d{k}" in rows.columns else digest(F.col(f"c{k}"))).alias(f"d{k}") for k in "012"], *[sketch(F.col(f"c{k}")).alias(f"s{k}") for k in "012"], *[(F.col("c0") == F.col(f"c{k}")).alias(f"same{k}") for k in "12"])
 
     def near(k: str) -> Column:
         # bytes decide inside an equal bucket

@@ -212,6 +212,21 @@ def test_fingerprints(spark):
     assert groups[1] == (0, 2) and groups[3] == (2, 2) and groups[5] == (4, 2) and groups[7] == (7, 1)
 
 
+def test_clashing_digests_are_told_apart(spark, monkeypatch):
+    """With a digest that knows only a text's length, equal texts alone have equal fingerprints."""
+    monkeypatch.setattr(fingerprint, "digest", lambda c: F.char_length(c).cast("string"))
+    texts = ["one", "two", "ONE", " two ", "three", "", None, "six", "one"]
+    d = docs(spark, texts).unionByName(docs(spark, texts[:2]))
+    got = fingerprint.edited_fingerprints(d).collect()
+    assert len(got) == 11
+    by = {}
+    for r in got:
+        by.setdefault(r["fingerprint"].split(":")[0], set()).add((texts[r["doc_id"]] or "").strip().lower())
+    assert all(len(x) == 1 for x in by.values()) and len(by) == 5
+    groups = {r["doc_id"]: (r["group_id"], r["group_rows"]) for r in fingerprint.duplicate_groups(d).collect()}
+    assert groups[8] == groups[2] == (0, 4) and groups[3] == (1, 3) and groups[6] == (5, 2) and groups[7] == (7, 1)
+
+
 def test_next_text_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 7)
     rng = random.Random(4)
