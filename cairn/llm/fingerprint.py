@@ -117,15 +117,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def clashes(rows: DataFrame) -> DataFrame:
     """(_digest, _canon, _number) of unequal canonical texts with equal digests, numbered in byte order from 1; rows as fingerprints() has them.
 
-    Digests are counted first, so that only texts whose digest repeats are moved.
     A bucket is sound if its smallest and its largest text are one: partial
-    aggregation brings a group of copies, however large, to one row a task.
+    aggregation brings a group of copies, however large, to one row a task. Only
+    where a bucket is unsound are its texts fetched.
     """
-    many = rows.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest")
-    again = rows.select("_digest", "_canon").join(many, "_digest", "left_semi")
-    unsound = again.groupBy("_digest").agg(F.min("_canon").alias("lo"), F.max("_canon").alias("hi")).where("lo <> hi").select("_digest")
+    buckets = rows.groupBy("_digest").agg(F.min("_canon").alias("lo"), F.max("_canon").alias("hi"))
+    unsound = materialize(buckets.where("lo <> hi").select("_digest"), "unsound")
+    if unsound.isEmpty():
+        return rows.sparkSession.createDataFrame([], "_digest string, _canon string, _number int")
     texts = rows.select("_digest", "_canon").join(unsound, "_digest", "left_semi").distinct()
-    return texts.withColumn("_number", F.row_number().over(Window.partitionBy("_digest").orderBy(F.col("_canon").cast("binary"))))
+    return materialize(texts.withColumn("_number", F.row_number().over(Window.partitionBy("_digest").orderBy(F.col("_canon").cast("binary")))), "clashes")
 
 
 def numbered(rows: DataFrame, clash: DataFrame, digest_col: str, canon_col: str) -> DataFrame:
@@ -158,7 +159,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty one; other columns, whatever they are called, are
     not read.
     """
-    clash = materialize(clashes(fingerprints(docs, id_col, text_col)), "clashes")
+    clash = clashes(fingerprints(docs, id_col, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     rows = next_text(rows, "_id", "_text", "_next")
     n, q = F.char_length("_text"), F.floor(F.char_length("_text") / 4).cast("int")
