@@ -71,9 +71,9 @@ def number_of(numeral: Column) -> Column:
 
 
 def split_exercises(text: Column) -> Column:
-    """struct(body, exercises): cut at the first line that says 习题."""
-    at = F.regexp_instr(text, F.lit(r"(?U)\n\s*习\s*题\s*\n"))
-    return F.struct(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text).alias("body"), F.when(at > 0, F.substring(text, at, F.char_length(text))).otherwise("").alias("exercises"))
+    """struct(body, exercises): cut at the first line that says 习题. Null has a null body and no exercises."""
+    body = F.get(F.split(text, r"(?U)\n\s*习\s*题\s*\n", 2), 0)
+    return F.struct(body.alias("body"), F.coalesce(F.substring(text, F.char_length(body) + 1, F.char_length(text)), F.lit("")).alias("exercises"))
 
 
 def chunk_id(stem: Column, chapter: Column, i: Column) -> Column:

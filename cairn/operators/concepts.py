@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import schema as S
+from cairn.functions import hooks
 from cairn.functions.scalar import norm_key, strip
 from cairn.session import materialize
 from cairn.sources.frames import keep_first, numbered_over_all
@@ -187,3 +189,21 @@ def review_batches(pairs: DataFrame, size: int = 15) -> DataFrame:
     """Pairs with a number from 1 (p_ord) and a batch number, alias pairs first, then by confidence."""
     order = [(F.col("source") != "alias_match").cast("int"), F.desc("confidence"), "idx_a", "idx_b"]
     return numbered_over_all(pairs, order, "p_ord").withColumn("batch", F.floor((F.col("p_ord") - 1) / size))
+
+
+def normalize(concepts: DataFrame, embed: DataFrame | None, call: Callable[[str], str], size: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(concepts, report, counts): candidate pairs, reviewed in batches, and the approved ones merged.
+
+    embed: similar pairs (idx_a, idx_b, name_a, name_b, confidence), or none for
+    pairs by alias alone. The report is a row a candidate with its decision; counts
+    is one row (input, output, candidates, alias, embedding, approved, rejected).
+    """
+    alias = alias_candidates(concepts)
+    found = materialize(review_batches(candidates(alias, alias.limit(0) if embed is None else embed), size), "candidates")
+    asked = found.select(F.col("batch"), F.col("p_ord").cast("int").alias("p_ord"), "name_a", "name_b")
+    said = materialize(hooks.review(asked, call), "decisions")
+    merged = apply_decisions(concepts, said)
+    report = found.drop("batch").withColumn("p_ord", F.col("p_ord").cast("int")).join(said.select("p_ord", F.struct("merge", "canonical", "reason").alias("decision")), "p_ord")
+    total = report.agg(F.count("*").alias("candidates"), F.count_if(F.col("source") == "alias_match").alias("alias"), F.count_if(F.col("source") != "alias_match").alias("embedding"), F.count_if("decision.merge").alias("approved"), F.count_if(~F.col("decision.merge")).alias("rejected"))
+    n = concepts.agg(F.count("*").alias("input")).crossJoin(merged.agg(F.count("*").alias("output")))
+    return merged, report, n.crossJoin(total)

@@ -130,3 +130,14 @@ def risk_histogram(report: DataFrame) -> DataFrame:
 def first_tested_pids(problems: DataFrame, tests: DataFrame, limit: int = 2) -> DataFrame:
     """The first problems, in file order, that have a TESTS edge."""
     return problems.join(tests.select(F.col("source").alias("pid")).distinct(), "pid", "left_semi").orderBy("ord", "pid").limit(limit)
+
+
+def problems_by_pid(pids: DataFrame, problems: DataFrame) -> DataFrame:
+    """Each asked pid once with its problem, the first in file order; nulls where there is none."""
+    return pids.select("pid").distinct().join(keep_first(problems, ["pid"], ["ord"]), "pid", "left")
+
+
+def tested_summary(problems: DataFrame, tested_: DataFrame) -> DataFrame:
+    """(pid, stem, tested_concepts): what each problem tests, in edge order."""
+    of = tested_.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]).alias("tested_concepts"))
+    return problems.join(of, "pid", "left").select("pid", F.coalesce("stem", F.lit("")).alias("stem"), F.coalesce("tested_concepts", F.array().cast("array<string>")).alias("tested_concepts"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import schema as S
+from cairn.functions import hooks
 from cairn.functions.scalar import strip
-from cairn.sources.frames import first_n, keep_first, numbered
+from cairn.sources.frames import first_n, keep_first, numbered, numbered_over_all
 
 BATCH, OVERLAP, MAX_OUT = 20, 5, 10
 
@@ -74,6 +76,11 @@ def chapter_batches(concepts: DataFrame, size: int = BATCH, overlap: int = OVERL
     return n.join(count, "chapter").withColumn("batch", F.explode(F.sequence(first, upto))).select("chapter", "batch", (F.col("i") - F.col("batch") * stride).cast("int").alias("pos"), "name")
 
 
+def batch_counts(batches: DataFrame) -> DataFrame:
+    """(chapter, batches, concepts) of chapter_batches()."""
+    return batches.groupBy("chapter").agg(F.count_distinct("batch").alias("batches"), F.count_distinct("name").alias("concepts"))
+
+
 def hardest_by_chapter(concepts: DataFrame, most: int = 6) -> DataFrame:
     return first_n(concepts, ["chapter"], [F.desc("difficulty"), "ord", "name"], most)
 
@@ -115,3 +122,37 @@ def known_pairs(pairs: DataFrame, names: DataFrame, most: int = 30) -> DataFrame
 def rejected_pairs(report: DataFrame, least: float = 0.85, most: int = 50) -> DataFrame:
     """Similar pairs that a reviewer kept apart: candidates for CONFUSABLE edges."""
     return report.where(F.col("decision").isNotNull() & ~F.coalesce(F.col("decision.merge"), F.lit(False)) & (F.col("confidence") >= least)).orderBy(F.desc("confidence"), "name_a", "name_b").limit(most)
+
+
+def validate_candidates(candidates: DataFrame, concepts: DataFrame, call: Callable[[str], str], size: int = 10) -> DataFrame:
+    """PREREQUISITE edges (source, target, description) that a model approves, asked for `size` pairs at a time.
+
+    candidates: (source, target, definition, ord). Definitions are cut to 50 and
+    100 characters in a prompt. The answer is {"results": [{"is_prerequisite",
+    "description"}, ...]} in the order of the pairs; a batch whose call fails or
+    whose answer does not parse approves nothing, a short one nothing beyond its end.
+    """
+    known = concepts.select(F.col("name").alias("source"), F.substring(F.coalesce("definition", F.lit("")), 1, 50).alias("of"))
+    c = numbered_over_all(candidates, ["ord", "source", "target"], "n").join(known, "source", "left")
+    c = c.withColumns({"id": F.floor((F.col("n") - 1) / size), "place": ((F.col("n") - 1) % size).cast("int")})
+    line = F.format_string("%d. A=%s（%s）→ B=%s\n   B 的定义：%s", F.col("place") + 1, "source", F.coalesce("of", F.lit("")), "target", F.substring(F.coalesce("definition", F.lit("")), 1, 100))
+    lines = c.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    prompts = lines.select("id", F.concat(F.lit('判断每一对中 A 是否为 B 的先修概念，按顺序返回 {"results": [{"is_prerequisite": true, "description": ""}]}。\n'), "lines").alias("prompt"))
+    said = hooks.complete_json(prompts, call, "results array<struct<is_prerequisite boolean, description string>>")
+    said = said.select("id", F.posexplode("parsed.results").alias("place", "r")).where("r.is_prerequisite")
+    return c.join(said, ["id", "place"]).select("source", "target", F.lit("PREREQUISITE").alias("type"), strip(F.coalesce("r.description", F.lit(""))).alias("description"))
+
+
+def confusable(report: DataFrame, concepts: DataFrame, call: Callable[[str], str], least: float = 0.85, most: int = 50) -> DataFrame:
+    """CONFUSABLE edges (source, target, type, dimensions, description) among similar pairs that were kept apart, a call a pair.
+
+    The first `most` pairs are asked, those with an end that is no concept left
+    out of them; a failed call makes no edge.
+    """
+    d = concepts.select("name", F.coalesce("definition", F.lit("")).alias("text"))
+    pairs = rejected_pairs(report, least, most).select("name_a", "name_b").distinct()
+    pairs = pairs.join(d.select(F.col("name").alias("name_a"), F.col("text").alias("text_a")), "name_a").join(d.select(F.col("name").alias("name_b"), F.col("text").alias("text_b")), "name_b")
+    prompt = F.concat(F.lit('这两个概念是否容易混淆？返回 {"confusable": true, "dimensions": "", "description": ""}。\nA='), "name_a", F.lit("："), "text_a", F.lit("\nB="), "name_b", F.lit("："), "text_b")
+    said = hooks.complete_json(pairs.select(F.struct("name_a", "name_b").alias("id"), prompt.alias("prompt")), call, "confusable boolean, dimensions string, description string")
+    ok = said.where("parsed.confusable")
+    return ok.select(F.col("id.name_a").alias("source"), F.col("id.name_b").alias("target"), F.lit("CONFUSABLE").alias("type"), F.coalesce("parsed.dimensions", F.lit("")).alias("dimensions"), F.coalesce("parsed.description", F.lit("")).alias("description"))

@@ -178,3 +178,18 @@ def missing_nodes(relations: DataFrame, concepts: DataFrame) -> DataFrame:
     r = relations.where("subject <> '' and object <> '' and subject <> object")
     ends = r.select(F.explode(F.array("subject", "object")).alias("name")).distinct()
     return ends.join(concepts.select("name"), "name", "left_anti")
+
+
+def render_edges(edges: DataFrame, shown: DataFrame, with_problems: bool) -> DataFrame:
+    """The edges that a drawing of `shown` (a column, name) has: both ends shown, an undirected edge once, TESTS only with problems."""
+    known = edges.where(F.col("type").isin(*S.EDGE_TYPES))
+    inside = induced(known if with_problems else known.where("type <> 'TESTS'"), shown.toDF("name").distinct())
+    flip = F.col("type").isin(*S.UNDIRECTED)
+    once = keep_first(inside.where(flip), [F.least("source", "target"), F.greatest("source", "target"), "type"], ["ord", "source"])
+    return inside.where(~flip).unionByName(once)
+
+
+def formula_chapters(formulas: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(name, source, number): the chapters whose title is a formula's source. formulas: (name, source); chapters: (number, title)."""
+    f = formulas.where("source <> ''")
+    return f.join(chapters.select("number", F.col("title").alias("source")), "source").select("name", "source", "number")

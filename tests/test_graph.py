@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.operators import answers as A
 from cairn.operators import concepts as C
 from cairn.operators import diagnosis as D
 from cairn.operators import edges as E
@@ -242,3 +243,84 @@ def test_streaming_activity(spark, sf, tmp_path):
     q = activity(read_events(spark, str(tmp_path), schema)).writeStream.outputMode("complete").format("memory").queryName("act").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("act").agg(F.sum("n")).first()[0] == 1000
+
+
+def _concepts(spark, *rows):
+    return spark.createDataFrame([(n, d, "c", 1, "概念", a, i) for i, (n, d, a) in enumerate(rows)], "name string, definition string, chapter string, difficulty int, node_role string, aliases array<string>, ord long")
+
+
+def test_answers(spark):
+    c = _concepts(spark, ("a", "first", ["A"]), ("b", "second", []), ("z", "far", []))
+    e = edges(spark, ("a", "b", "PREREQUISITE"))
+    asked = spark.createDataFrame([(1, "why a?"), (2, "nothing"), (3, "who?")], "query int, question string")
+    seeds = spark.createDataFrame([(1, 1, "a"), (3, 1, "no node")], "query int, rank int, name string")
+    chunks = spark.createDataFrame([("k1", "c1", "b and A"), ("k2", None, "z")], "chunk_id string, chapter string, text string")
+    got = {r["query"]: r for r in A.graph_answers(asked, seeds, c, e, J.terms(c), chunks, lambda p: p).collect()}
+    assert "why a?" in got[1]["answer"] and "- a -[PREREQUISITE]-> b：" in got[1]["answer"]
+    assert got[1]["answer"].endswith("片段 1（来源：c1；涉及概念：a、b）\nb and A")
+    assert got[2]["answer"] == A.NO_SEEDS and got[3]["answer"].endswith(A.NO_CHUNKS)
+    assert "原文片段】" not in {r["query"]: r for r in A.graph_answers(asked, seeds, c, e, J.terms(c), None, lambda p: p).collect()}[1]["answer"]
+    hits = spark.createDataFrame([(1, 1, "a", "first"), (1, 2, "b", None)], "query int, rank int, name string, definition string")
+    said = {r["query"]: r["answer"] for r in A.vector_answers(asked, hits, lambda p: p).collect()}
+    assert said[1].endswith("- 名称：a；定义：first\n- 名称：b；定义：") and set(said) == {1, 2, 3}
+
+
+def test_candidates_are_validated_in_batches(spark):
+    c = _concepts(spark, *[(f"n{i}", "d" * 200, []) for i in range(25)])
+    pairs = spark.createDataFrame([(f"n{i}", "n24", "t" * 300, i) for i in range(23)], "source string, target string, definition string, ord long")
+
+    def client(prompt):
+        import json
+        import re
+
+        assert "t" * 101 not in prompt and "d" * 51 not in prompt
+        names = re.findall(r"A=(\w+)", prompt)
+        assert len(names) <= 10
+        if "n10" in names:
+            raise ValueError("this batch is lost")
+        return "```json\n" + json.dumps({"results": [{"is_prerequisite": int(n[1:]) % 2 == 0, "description": f" {n} "} for n in names[:-1]]}) + "\n```"
+
+    from unittest import mock
+
+    with mock.patch.object(hooks, "TRIES", 1):
+        got = {(r["source"], r["description"]) for r in E.validate_candidates(pairs, c, client).collect()}
+    # the second batch fails, and the last pair of each other one has no answer
+    assert got == {(f"n{i}", f"n{i}") for i in (0, 2, 4, 6, 8, 20)}
+
+
+def test_confusable(spark):
+    c = _concepts(spark, ("a", "first", []), ("b", "second", []))
+    rows = [("a", "b", 0.9, (False,)), ("a", "gone", 0.95, (False,)), ("b", "a", 0.8, (False,)), ("b", "b", 0.99, (True,)), ("a", "a", 0.99, None)]
+    report = spark.createDataFrame(rows, "name_a string, name_b string, confidence double, decision struct<merge boolean>")
+    got = E.confusable(report, c, lambda p: '{"confusable": true, "dimensions": "x"}').collect()
+    assert [tuple(r) for r in got] == [("a", "b", "CONFUSABLE", "x", "")]
+
+
+def test_normalize(spark):
+    c = _concepts(spark, ("p", "one", ["q"]), ("Q", "longer", []), ("r", "three", []), ("s", "four", []))
+    embed = spark.createDataFrame([(0, 1, "p", "Q", 0.9), (2, 3, "r", "s", 0.85)], "idx_a long, idx_b long, name_a string, name_b string, confidence double")
+
+    def client(prompt):
+        import json
+
+        return json.dumps([{"merge": x["name_a"] == "p", "canonical": "p"} for x in json.loads(prompt)])
+
+    merged, report, counts = C.normalize(c, embed, client)
+    # "Q" is "q" in another case, which the base has already
+    assert {(r["name"], r["definition"], tuple(r["aliases"])) for r in merged.collect()} == {("p", "longer", ("q",)), ("r", "three", ()), ("s", "four", ())}
+    assert [(r["name_a"], r["source"], r["decision"]["merge"]) for r in report.orderBy("p_ord").collect()] == [("p", "alias_match", True), ("r", "embedding", False)]
+    assert counts.first().asDict() == {"input": 4, "output": 3, "candidates": 2, "alias": 1, "embedding": 1, "approved": 1, "rejected": 1}
+    same, _, none = C.normalize(c.where("name in ('r', 's')"), None, client)
+    assert same.count() == 2 and none.first()["candidates"] == 0
+
+
+def test_render_and_lookup(spark):
+    e = edges(spark, ("b", "a", "RELATED"), ("a", "b", "RELATED"), ("a", "b", "PREREQUISITE"), ("x", "a", "TESTS"), ("a", "c", "RELATED"), ("a", "b", "OTHER"))
+    shown = spark.createDataFrame([("a",), ("b",), ("x",)], "name string")
+    assert {(r["source"], r["target"], r["type"]) for r in G.render_edges(e, shown, True).collect()} == {("b", "a", "RELATED"), ("a", "b", "PREREQUISITE"), ("x", "a", "TESTS")}
+    assert G.render_edges(e, shown, False).count() == 2
+    problems = spark.createDataFrame([("1", "first", 0), ("1", "second", 1)], "pid string, stem string, ord long")
+    asked = spark.createDataFrame([("1",), ("1",), ("2",)], "pid string")
+    assert {(r["pid"], r["stem"]) for r in D.problems_by_pid(asked, problems).collect()} == {("1", "first"), ("2", None)}
+    got = spark.range(1).select(X.split_exercises(F.lit("𝒳 text\n习 题\n1. 习题")).alias("x"), X.split_exercises(F.lit(None).cast("string")).alias("n")).first()
+    assert tuple(got["x"]) == ("𝒳 text", "\n习 题\n1. 习题") and tuple(got["n"]) == (None, "")
