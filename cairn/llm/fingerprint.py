@@ -117,12 +117,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def clashes(rows: DataFrame) -> DataFrame:
     """(_digest, _canon, _number) of unequal canonical texts with equal digests, numbered in byte order from 1; rows as fingerprints() has them.
 
-    A bucket is sound if its smallest and its largest text are one: partial
-    aggregation brings a group of copies, however large, to one row a task. Only
+    A bucket is sound if the set of its texts has one: partial aggregation brings
+    a group of copies, however large, to one row a task, with one text in it. Only
     where a bucket is unsound are its texts fetched.
     """
-    buckets = rows.groupBy("_digest").agg(F.min("_canon").alias("lo"), F.max("_canon").alias("hi"))
-    unsound = materialize(buckets.where("lo <> hi").select("_digest"), "unsound")
+    buckets = rows.groupBy("_digest").agg(F.collect_set("_canon").alias("texts"))
+    unsound = materialize(buckets.where("size(texts) > 1").select("_digest"), "unsound")
     if unsound.isEmpty():
         return rows.sparkSession.createDataFrame([], "_digest string, _canon string, _number int")
     texts = rows.select("_digest", "_canon").join(unsound, "_digest", "left_semi").distinct()
