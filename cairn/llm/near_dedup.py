@@ -6,9 +6,9 @@ smallest hashes are sampled and kept in text order: two documents share a sketch
 with a likelihood that falls with their edit distance. Documents that share a
 sketch (and are of like length) are candidates.
 
-Candidates are verified by aligning the shingle sequences in a band: similarity
-is the length of the longest common subsequence over the length of the union,
-and links from SIMILARITY on.
+Candidates are verified by aligning the shingle sequences in a band: the edit
+similarity, which these sketches are sensitive to, is the length of the longest
+common subsequence over that of the longer sequence, and links from SIMILARITY on.
 
 Groups of copies can be large, so the documents of a bucket are not all paired.
 
@@ -85,7 +85,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     every pair of places that an alignment of that similarity can use.
     """
     n, m = len(a), len(b)
-    need = ceil(least * (n + m) / (1 + least) - 1e-9)  # lcs / (n + m - lcs) >= least
+    need = ceil(least * max(n, m) - 1e-9)
     if min(n, m) < need:
         return False
     order = np.argsort(b, kind="stable")
@@ -197,7 +197,7 @@ def _rare(texts: DataFrame, docs: DataFrame, shared) -> DataFrame:
 
 def _feasible(n1: str, c1: str, n2: str, c2: str):
     """Whether two documents have enough shareable shingles: what is shared is at most the fewer of them."""
-    need = (F.col(n1) + F.col(n2)) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    need = F.greatest(n1, n2) * SIMILARITY - 1e-6
     return F.least(F.col(c1), F.col(c2)) >= need
 
 

@@ -47,7 +47,21 @@ def _lcs(a, b):
 @given(st.lists(st.integers(0, 30), unique=True, min_size=1, max_size=25), st.lists(st.integers(0, 30), unique=True, min_size=1, max_size=25))
 def test_alignment_is_lcs(a, b):
     n = _lcs(a, b)
-    want = n / (len(a) + len(b) - n) >= 0.8
+    want = n / max(len(a), len(b)) >= 0.8
+    assert near_dedup.aligned(np.array(a, np.uint64), np.array(b, np.uint64)) == want
+
+
+@settings(deadline=None)
+@given(st.integers(1, 40), st.lists(st.tuples(st.integers(0, 39), st.sampled_from(["change", "drop", "move"])), max_size=10))
+def test_alignment_of_edits(n, edits):
+    """Around the threshold: a sequence against itself with a few places changed, dropped or moved to the end."""
+    a, b = list(range(n)), list(range(n))
+    for i, (at, what) in enumerate(edits):
+        if at < len(b):
+            x = b.pop(at)
+            if what != "drop":
+                b.insert(*((at, 100 + i) if what == "change" else (len(b), x)))
+    want = bool(b) and _lcs(a, b) / max(len(a), len(b)) >= 0.8
     assert near_dedup.aligned(np.array(a, np.uint64), np.array(b, np.uint64)) == want
 
 
