@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 
 from cairn.llm.bloom import bits_for, has, seen_twice
 from cairn.llm.text import U64, column, each, mix, ngrams, octets, runs, text_of, word_hashes_wide
+from cairn.session import materialize
+from cairn.sources.frames import numbered_over_all
 
 WINDOW = 20
 #: The shortest length looked at, if WINDOW is a power of two times it.
@@ -158,19 +160,39 @@ def _settle(h1, h2, doc, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, ~first & ((doc[order] != doc[lead]) | (at[order] != at[lead]))
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text and _doc, one number for each document, in the order of documents.
+
+    That is the id as long as no id has two unlike texts. Where one has, ids say
+    neither which row a window lies in nor which of two rows is earlier: distinct
+    pairs of id and text are then numbered over the whole table, by id and by the
+    text's digest, and rows take the number of their pair.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    h = F.xxhash64("_text")
+    if rows.groupBy("_id").agg((F.min(h) != F.max(h)).alias("unlike")).where("unlike").isEmpty():
+        return rows.withColumn("_doc", F.coalesce("_id", F.lit(-(2**63))))
+    rows = rows.withColumn("_sha", F.sha2("_text", 256))
+    pairs = numbered_over_all(rows.select("_id", "_sha").distinct(), [F.col("_id").asc_nulls_first(), "_sha"], "_doc").select(F.col("_id").alias("_id2"), F.col("_sha").alias("_sha2"), "_doc")
+    met = rows.join(pairs, (F.col("_sha") == F.col("_sha2")) & F.col("_id").eqNullSafe(F.col("_id2")))
+    return materialize(met.select("_id", "_text", "_doc"), "documents")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word covered by a window of words that starts earlier too.
 
     Earlier: in a document with a smaller id, or before it in the same document.
     Windows are judged on the input. Returns id_col, n_words, n_removed, text (the
     words that stay, joined by one blank), one row for each input row. A null text
-    has no words; texts shorter than a window keep all. A null id is the smallest;
-    rows that repeat an id count as one document and get the same result, if
-    their texts are equal. An empty table gives an empty one.
+    has no words; texts shorter than a window keep all, and texts of any length are
+    read whole. A null id is the smallest. Rows that repeat an id and its text are
+    one document and get the same result; rows that repeat an id with unlike texts
+    are documents of their own, in the order of their texts' SHA-256. An empty
+    table gives an empty one. Other columns than those named are left out, so that
+    their names cannot clash.
     """
     spark = docs.sparkSession
-    null_id = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("_id"), text_of(text_col).alias("_text"))
+    rows = _documents(docs, id_col, text_col)
     filters = spark.sparkContext.broadcast(_filters(rows.select("_text"), window))
     total = octets(rows, "_text")
     buckets = max(8, total // OCTETS_PER_WINDOW // BUCKET)
@@ -191,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         with np.errstate(over="ignore"):
             survive, held, n = Survivors(window, filters.value), [], 0
             for batch in batches:
-                for ids, docs in together(zip(column(batch, "_id"), each(batch, "_text"), strict=True), window):
+                for ids, docs in together(zip(column(batch, "_doc"), each(batch, "_text"), strict=True), window):
                     _, starts, first, a, b = survive(docs)
                     if len(starts):
                         doc = np.searchsorted(first, starts, side="right") - 1
@@ -228,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             out += verdicts(doc[order[earlier]], at[order[earlier]])
         return pd.DataFrame(out, columns=["region", "blob"])
 
-    found = rows.mapInArrow(sight, "bucket long, region long, blob binary").groupBy("bucket").applyInPandas(judge, "region long, blob binary")
+    found = rows.select("_doc", "_text").mapInArrow(sight, "bucket long, region long, blob binary").groupBy("bucket").applyInPandas(judge, "region long, blob binary")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a document: the starts of its repeated windows. A region's blobs are all in one task."""
@@ -240,10 +262,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             first, past = runs(doc)
             for i in range(0, len(first), 2000):
                 lo, hi = first[i : i + 2000], past[i : i + 2000]
-                yield pa.record_batch([pa.array(doc[lo], pa.int64()), pa.array([at[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())], ["_doc", "_starts"])
+                yield pa.record_batch([pa.array(doc[lo], pa.int64()), pa.array([at[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())], ["_doc2", "_starts"])
 
-    starts = found.repartition("region").mapInArrow(unpack, "_doc long, _starts binary")
-    joined = rows.join(starts, F.col("_id") == F.col("_doc"), "left").select("_id", "_text", "_starts")
+    starts = found.repartition("region").mapInArrow(unpack, "_doc2 long, _starts binary")
+    joined = rows.join(starts, F.col("_doc") == F.col("_doc2"), "left").select("_id", "_text", "_starts")
     schema = T.StructType().add("_id", "long").add("n_words", "long").add("n_removed", "long").add("_kept", "string")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,4 +288,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield pa.record_batch([b.column("_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
     out = joined.mapInArrow(keep, schema)
-    return out.select(F.nullif(F.col("_id"), F.lit(null_id)).alias(id_col), "n_words", "n_removed", F.col("_kept").alias(text_col))
+    return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", F.col("_kept").alias(text_col))
