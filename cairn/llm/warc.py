@@ -31,11 +31,16 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Revisits that one broadcast may hold (about 32 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Parts of a payload's pages where there are more repeated payloads than that.
+SALTS = 64
+#: Records of one archive at most: a gzip stream is read by one task.
+FILE_RECORDS = 20_000
 RESULT = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, verified boolean"
 
 
-def record_id(page_id: int, part: int = 1) -> bytes:
-    return f"<urn:cairn:page:{page_id}:{part}>".encode()
+def record_id(page_id: int, digest: str, part: int = 1) -> bytes:
+    """Pages may repeat an id with unlike payloads, so the payload's digest is part of the name."""
+    return f"<urn:cairn:page:{page_id}:{digest}:{part}>".encode()
 
 
 def b32sha1(payload: bytes) -> str:
@@ -71,22 +76,23 @@ def _head(kind: bytes, rid: bytes, length: int, fields: list[tuple[bytes, bytes]
 
 def records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page, each without its closing pair of line ends."""
-    digest = b"sha1:" + b32sha1(payload).encode()
+    name = b32sha1(payload)
+    digest = b"sha1:" + name.encode()
     target = [(b"WARC-Target-URI", " ".join(url.split()).encode())] if url else []
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        more = [(b"WARC-Refers-To", record_id(refers_to)), (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-        yield _head(b"revisit", record_id(page_id), len(block), [*target, (b"WARC-Payload-Digest", digest), *more]) + block
+        more = [(b"WARC-Refers-To", record_id(refers_to, name)), (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        yield _head(b"revisit", record_id(page_id, name), len(block), [*target, (b"WARC-Payload-Digest", digest), *more]) + block
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     for n, part in enumerate(parts, 1):
-        fields = [(b"WARC-Payload-Digest", digest)] if n == 1 else [(b"WARC-Segment-Origin-ID", record_id(page_id))]
+        fields = [(b"WARC-Payload-Digest", digest)] if n == 1 else [(b"WARC-Segment-Origin-ID", record_id(page_id, name))]
         if len(parts) > 1:
             fields.append((b"WARC-Segment-Number", b"%d" % n))
             if n == len(parts):
                 fields.append((b"WARC-Segment-Total-Length", b"%d" % len(block)))
-        yield _head(b"response" if n == 1 else b"continuation", record_id(page_id, n), len(part), [*target, *fields]) + part
+        yield _head(b"response" if n == 1 else b"continuation", record_id(page_id, name, n), len(part), [*target, *fields]) + part
 
 
 def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
@@ -95,12 +101,18 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -
     Of records with equal payloads of `least` bytes or more, the one with the
     largest page_id is the response and the others revisit it; smaller payloads
     are all responses. Rows that repeat a page_id with the same payload are
-    written once each, the same way.
+    written once each, the same way; with unlike payloads they are unlike records,
+    since a record is named after its page and its payload's digest.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("d"), F.length(html).alias("n")).where(F.col("n") >= least)
     newest = light.groupBy("d", "n").agg(F.max("page_id").alias("to"), F.count("*").alias("k")).where("k > 1").select("d", "n", "to")
-    revisits = light.join(newest, ["d", "n"]).where(F.col("page_id") != F.col("to")).select(F.col("page_id").alias("_from"), F.col("to").alias("_to"), F.col("d").alias("_d")).distinct()
+    if newest.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = light.join(F.broadcast(newest), ["d", "n"])
+    else:  # a third of all pages may have one payload
+        salted = light.withColumn("s", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        met = salted.join(newest.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["d", "n", "s"])
+    revisits = met.where(F.col("page_id") != F.col("to")).select(F.col("page_id").alias("_from"), F.col("to").alias("_to"), F.col("d").alias("_d")).distinct()
     # page ids are few where payloads seldom repeat: then the pages need not be moved to meet them
     revisits = F.broadcast(revisits) if revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else revisits
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("_sha", F.sha1("html"))
@@ -115,7 +127,7 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
     made = rows.select("page_id", "url", "html", "_to").mapInArrow(go, "value binary")
-    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse(piece: bytes) -> tuple[dict[bytes, bytes], bytes, int] | None:
@@ -260,6 +272,9 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, url,
     verified. A null html has an empty payload; rows without a page_id, which no
     record identifier can name, are left out; an empty table gives an empty one.
+    Rows that repeat a page_id come back once each. Payloads of any length are
+    written whole. Other columns than page_id, url and html are left out, so that
+    their names cannot clash.
     """
     path = new_path(pages.sparkSession, "warc")
     write(pages, path, least)
