@@ -1,14 +1,11 @@
 """Language and embedding models as injected clients, called in tasks.
 
-A client is any picklable callable. Partitions give the parallelism; results stay
-with their rows, and a failed call is a value (its error), not a failed job.
+A client is any picklable callable; calls.py says how it is called.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,39 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRIES = 3
+from cairn.functions import calls
+from cairn.session import materialize
 
-
-def retried(call: Callable[[str], str], prompt: str, tries: int = TRIES, wait: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
-    """(value, error) after up to `tries` calls, waiting 1, 2, 4 … seconds between them."""
-    for i in range(tries):
-        try:
-            return call(prompt), None
-        except Exception as e:  # noqa: BLE001  a client may raise anything
-            error = f"{type(e).__name__}: {e}"
-            if i + 1 < tries:
-                wait(2.0**i)
-    return None, error
-
-
-def complete(prompts: DataFrame, call: Callable[[str], str], tries: int = TRIES, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """prompts: (id, prompt). Returns (id, value, error)."""
-    kind = prompts.schema["id"].dataType.simpleString()
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [retried(call, p, tries, wait) if p is not None else (None, "no prompt") for p in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([v for v, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], ["id", "value", "error"])
-
-    return prompts.select("id", "prompt").mapInArrow(go, f"id {kind}, value string, error string")
-
-
-def complete_json(prompts: DataFrame, call: Callable[[str], str], schema: str, **kw) -> DataFrame:
-    """As complete(), with the value parsed by a schema: plain JSON or a fenced block."""
-    from cairn.functions.scalar import fenced_json
-
-    out = complete(prompts, call, **kw)
-    return out.withColumn("parsed", F.from_json(F.to_json(fenced_json(F.col("value"))), schema))
+def complete_json(prompts: DataFrame, call: calls.Client, schema: str, **how) -> DataFrame:
+    """As calls.complete(), with the value parsed by a schema."""
+    return calls.parsed(calls.complete(prompts, call, **how), schema)
 
 
 def hashed_embedding(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -80,24 +50,17 @@ def embed(texts: DataFrame, model: Callable[[list[str]], np.ndarray], batch: int
     return texts.select("id", "text").mapInArrow(go, f"id {kind}, vec array<float>")
 
 
-def review(batches: DataFrame, call: Callable[[str], str]) -> DataFrame:
+def review(batches: DataFrame, call: calls.Client | calls.Asker) -> DataFrame:
     """Reviewer's decisions on candidate pairs, a call a batch; an answer of another length is no merge for all of them.
 
     batches: (batch, p_ord, name_a, name_b). Returns (p_ord, name_a, name_b, merge, canonical, reason).
     """
-
-    def ask(pdf):
-        pdf = pdf.sort_values("p_ord")
-        value, _ = retried(call, json.dumps(pdf[["name_a", "name_b"]].to_dict("records"), ensure_ascii=False), wait=lambda s: None)
-        try:
-            said = json.loads(value)
-            said = said if isinstance(said, list) and len(said) == len(pdf) else [{}] * len(pdf)
-        except (TypeError, ValueError):
-            said = [{}] * len(pdf)
-        out = pdf[["p_ord", "name_a", "name_b"]].copy()
-        for c, d in (("merge", False), ("canonical", None), ("reason", None)):
-            out[c] = [(x.get(c, d) if isinstance(x, dict) else d) for x in said]
-        out["merge"] = out["merge"].fillna(False).astype(bool)
-        return out
-
-    return batches.groupBy("batch").applyInPandas(ask, "p_ord int, name_a string, name_b string, merge boolean, canonical string, reason string")
+    pair = F.struct("p_ord", "name_a", "name_b")
+    asked = materialize(batches.groupBy("batch").agg(F.array_sort(F.collect_list(pair)).alias("pairs")), "batches")
+    prompt = F.to_json(F.transform("pairs", lambda p: F.struct(p["name_a"].alias("name_a"), p["name_b"].alias("name_b"))))
+    said = calls.asking(call)(asked.select(F.col("batch").alias("id"), prompt.alias("prompt")))
+    verdicts = F.from_json("value", "array<struct<merge boolean, canonical string, reason string>>")
+    rows = asked.join(said.select(F.col("id").alias("batch"), verdicts.alias("verdicts")), "batch", "left")
+    whole = F.when(F.size("verdicts") == F.size("pairs"), F.col("verdicts"))
+    each = rows.select("pairs", whole.alias("verdicts")).select(F.posexplode("pairs").alias("at", "p"), "verdicts").withColumn("v", F.get("verdicts", F.col("at")))
+    return each.select("p.*", F.coalesce("v.merge", F.lit(False)).alias("merge"), "v.canonical", "v.reason")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions import hooks
+from cairn.functions import calls
 from cairn.operators import graph as G
 from cairn.operators import retrieval as R
 
@@ -50,7 +48,7 @@ def tooltips(concepts: DataFrame, degrees: DataFrame, muted: str) -> DataFrame:
 
 
 def graph_answers(
-    questions: DataFrame, seeds: DataFrame, concepts: DataFrame, edges: DataFrame, terms: DataFrame, chunks: DataFrame | None, call: Callable[[str], str], hops: int = 2, max_chunks: int = 4, max_chars: int = 600
+    questions: DataFrame, seeds: DataFrame, concepts: DataFrame, edges: DataFrame, terms: DataFrame, chunks: DataFrame | None, call: calls.Client | calls.Asker, hops: int = 2, max_chunks: int = 4, max_chars: int = 600
 ) -> DataFrame:
     """(query, answer, error): each question answered from the neighbourhood of its seed concepts.
 
@@ -61,26 +59,26 @@ def graph_answers(
     named = seeds.where("name is not null and name <> ''")
     start = named.select(F.col("query").alias("root"), F.col("name").alias("node"))
     nodes, links = G.subgraph(start, concepts, edges, None, hops)
-    ask = questions.join(named.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("names")), "query", "left")
-    ask = ask.join(R.graph_context(nodes, links).withColumnRenamed("root", "query"), "query", "left")
+    rows = questions.join(named.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("names")), "query", "left")
+    rows = rows.join(R.graph_context(nodes, links).withColumnRenamed("root", "query"), "query", "left")
     parts = [F.lit(f"{GRAPH_TASK}\n\n【用户问题】\n"), F.col("question"), F.lit("\n\n【种子概念】\n"), F.col("names"), F.lit("\n\n【图谱上下文】\n"), F.coalesce("context", F.lit(""))]
     if chunks is not None:
         # all concepts of the neighbourhood are looked up, the seeds where it has none
         reached = nodes.select(F.col("root").alias("query"), F.col("name").alias("canonical"))
         only = named.join(reached.select("query").distinct(), "query", "left_anti").select("query", F.col("name").alias("canonical"))
         hits = R.chunks_by_concepts(reached.unionByName(only), chunks, terms, max_chunks, max_chars).join(chunks.select("chunk_id", "chapter"), "chunk_id")
-        ask = ask.join(chunk_context(hits).withColumnRenamed("context", "found"), "query", "left")
+        rows = rows.join(chunk_context(hits).withColumnRenamed("context", "found"), "query", "left")
         parts += [F.lit("\n\n【原文片段】\n"), F.coalesce("found", F.lit(NO_CHUNKS))]
-    return _answered(ask.withColumn("prompt", F.when(F.col("names").isNotNull(), F.concat(*parts))), call, NO_SEEDS)
+    return _answered(rows.withColumn("prompt", F.when(F.col("names").isNotNull(), F.concat(*parts))), call, NO_SEEDS)
 
 
-def vector_answers(questions: DataFrame, hits: DataFrame, call: Callable[[str], str]) -> DataFrame:
+def vector_answers(questions: DataFrame, hits: DataFrame, call: calls.Client | calls.Asker) -> DataFrame:
     """(query, answer, error): each question answered from the definitions of its hits (query, rank, name, definition) alone."""
-    ask = questions.join(R.vector_context(hits), "query", "left")
-    return _answered(ask.withColumn("prompt", F.concat(F.lit(f"{VECTOR_TASK}\n\n【用户问题】\n"), "question", F.lit("\n\n【概念定义】\n"), F.coalesce("context", F.lit("")))), call, None)
+    rows = questions.join(R.vector_context(hits), "query", "left")
+    return _answered(rows.withColumn("prompt", F.concat(F.lit(f"{VECTOR_TASK}\n\n【用户问题】\n"), "question", F.lit("\n\n【概念定义】\n"), F.coalesce("context", F.lit("")))), call, None)
 
 
-def _answered(ask: DataFrame, call: Callable[[str], str], without: str | None) -> DataFrame:
-    said = hooks.complete(ask.where("prompt is not null").select(F.col("query").alias("id"), "prompt"), call)
-    silent = ask.where("prompt is null").select("query", F.lit(without).alias("answer"), F.lit(None).cast("string").alias("error"))
+def _answered(rows: DataFrame, call: calls.Client | calls.Asker, without: str | None) -> DataFrame:
+    said = calls.asking(call)(rows.where("prompt is not null").select(F.col("query").alias("id"), "prompt"))
+    silent = rows.where("prompt is null").select("query", F.lit(without).alias("answer"), F.lit(None).cast("string").alias("error"))
     return said.select(F.col("id").alias("query"), F.col("value").alias("answer"), "error").unionByName(silent)

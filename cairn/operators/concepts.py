@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import schema as S
-from cairn.functions import hooks
+from cairn.functions import calls, hooks
 from cairn.functions.scalar import norm_key, strip
 from cairn.session import materialize
 from cairn.sources.frames import keep_first, numbered_over_all
@@ -191,7 +190,7 @@ def review_batches(pairs: DataFrame, size: int = 15) -> DataFrame:
     return numbered_over_all(pairs, order, "p_ord").withColumn("batch", F.floor((F.col("p_ord") - 1) / size))
 
 
-def normalize(concepts: DataFrame, embed: DataFrame | None, call: Callable[[str], str], size: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+def normalize(concepts: DataFrame, embed: DataFrame | None, call: calls.Client | calls.Asker, size: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(concepts, report, counts): candidate pairs, reviewed in batches, and the approved ones merged.
 
     embed: similar pairs (idx_a, idx_b, name_a, name_b, confidence), or none for

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import schema as S
-from cairn.functions import hooks
+from cairn.functions import calls
 from cairn.functions.scalar import strip
 from cairn.sources.frames import first_n, keep_first, numbered, numbered_over_all
 
@@ -26,7 +25,7 @@ def validate(raw: DataFrame, terms: DataFrame, concepts: DataFrame, pids: DataFr
     """
     cols = set(raw.columns)
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in cols else F.lit("")
-    e = raw.select(strip(F.col("source")).alias("source"), strip(F.col("target")).alias("target"), strip(F.col("type")).alias("type"), F.coalesce(F.nullif(text("description"), F.lit("")), text("reason")).alias("description"), F.nullif(text("dimensions"), F.lit("")).alias("dimensions"), "ord")
+    e = raw.select(strip(F.col("source")).alias("source"), strip(F.col("target")).alias("target"), strip(F.col("type")).alias("type"), F.coalesce(F.nullif(text("description"), F.lit("")), text("reason")).alias("description"), F.nullif(text("dimensions"), F.lit("")).alias("dimensions"), strip(text("chapter")).alias("chapter"), "ord")
     e = e.where((F.col("source") != "") & (F.col("target") != "") & F.col("type").isin(*S.EDGE_TYPES))
     t = terms.select("term", "canonical")
     e = e.join(t.select(F.col("term").alias("source"), F.col("canonical").alias("cs")), "source", "left").join(t.select(F.col("term").alias("target"), F.col("canonical").alias("ct")), "target", "left")
@@ -42,7 +41,7 @@ def validate(raw: DataFrame, terms: DataFrame, concepts: DataFrame, pids: DataFr
     others = e.where("type <> 'TESTS'").join(known.select(F.col("name").alias("from"), "node_role"), "from")
     others = others.where((F.col("type") != "SOLVES") | F.coalesce("node_role", F.lit(S.DEFAULT_ROLE)).isin(*S.SOLVES_ROLES))
     out = others.unionByName(tests).where(F.col("from") != F.col("to"))
-    return out.select(F.col("from").alias("source"), F.col("to").alias("target"), "type", "description", F.when(F.col("type") == "CONFUSABLE", F.col("dimensions")).alias("dimensions"), F.when(F.col("type") == "PREREQUISITE", F.lit(False)).alias("reviewed"), "ord")
+    return out.select(F.col("from").alias("source"), F.col("to").alias("target"), "type", "description", F.when(F.col("type") == "CONFUSABLE", F.col("dimensions")).alias("dimensions"), F.when(F.col("type") == "PREREQUISITE", F.lit(False)).alias("reviewed"), "chapter", "ord")
 
 
 def dedupe(edges: DataFrame) -> DataFrame:
@@ -124,7 +123,7 @@ def rejected_pairs(report: DataFrame, least: float = 0.85, most: int = 50) -> Da
     return report.where(F.col("decision").isNotNull() & ~F.coalesce(F.col("decision.merge"), F.lit(False)) & (F.col("confidence") >= least)).orderBy(F.desc("confidence"), "name_a", "name_b").limit(most)
 
 
-def validate_candidates(candidates: DataFrame, concepts: DataFrame, call: Callable[[str], str], size: int = 10) -> DataFrame:
+def validate_candidates(candidates: DataFrame, concepts: DataFrame, call: calls.Client | calls.Asker, size: int = 10) -> DataFrame:
     """PREREQUISITE edges (source, target, description) that a model approves, asked for `size` pairs at a time.
 
     candidates: (source, target, definition, ord). Definitions are cut to 50 and
@@ -138,12 +137,12 @@ def validate_candidates(candidates: DataFrame, concepts: DataFrame, call: Callab
     line = F.format_string("%d. A=%s（%s）→ B=%s\n   B 的定义：%s", F.col("place") + 1, "source", F.coalesce("of", F.lit("")), "target", F.substring(F.coalesce("definition", F.lit("")), 1, 100))
     lines = c.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
     prompts = lines.select("id", F.concat(F.lit('判断每一对中 A 是否为 B 的先修概念，按顺序返回 {"results": [{"is_prerequisite": true, "description": ""}]}。\n'), "lines").alias("prompt"))
-    said = hooks.complete_json(prompts, call, "results array<struct<is_prerequisite boolean, description string>>")
+    said = calls.parsed(calls.asking(call)(prompts), "results array<struct<is_prerequisite boolean, description string>>")
     said = said.select("id", F.posexplode("parsed.results").alias("place", "r")).where("r.is_prerequisite")
     return c.join(said, ["id", "place"]).select("source", "target", F.lit("PREREQUISITE").alias("type"), strip(F.coalesce("r.description", F.lit(""))).alias("description"))
 
 
-def confusable(report: DataFrame, concepts: DataFrame, call: Callable[[str], str], least: float = 0.85, most: int = 50) -> DataFrame:
+def confusable(report: DataFrame, concepts: DataFrame, call: calls.Client | calls.Asker, least: float = 0.85, most: int = 50) -> DataFrame:
     """CONFUSABLE edges (source, target, type, dimensions, description) among similar pairs that were kept apart, a call a pair.
 
     The first `most` pairs are asked, those with an end that is no concept left
@@ -153,6 +152,6 @@ def confusable(report: DataFrame, concepts: DataFrame, call: Callable[[str], str
     pairs = rejected_pairs(report, least, most).select("name_a", "name_b").distinct()
     pairs = pairs.join(d.select(F.col("name").alias("name_a"), F.col("text").alias("text_a")), "name_a").join(d.select(F.col("name").alias("name_b"), F.col("text").alias("text_b")), "name_b")
     prompt = F.concat(F.lit('这两个概念是否容易混淆？返回 {"confusable": true, "dimensions": "", "description": ""}。\nA='), "name_a", F.lit("："), "text_a", F.lit("\nB="), "name_b", F.lit("："), "text_b")
-    said = hooks.complete_json(pairs.select(F.struct("name_a", "name_b").alias("id"), prompt.alias("prompt")), call, "confusable boolean, dimensions string, description string")
+    said = calls.parsed(calls.asking(call)(pairs.select(F.struct("name_a", "name_b").alias("id"), prompt.alias("prompt"))), "confusable boolean, dimensions string, description string")
     ok = said.where("parsed.confusable")
     return ok.select(F.col("id.name_a").alias("source"), F.col("id.name_b").alias("target"), F.lit("CONFUSABLE").alias("type"), F.coalesce("parsed.dimensions", F.lit("")).alias("dimensions"), F.coalesce("parsed.description", F.lit("")).alias("description"))

@@ -117,7 +117,7 @@ def chapters(pages: DataFrame, skip: int = 9) -> DataFrame:
     head = F.filter(F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x: X.chapter_heading(X.strip(x))), lambda h: h.isNotNull())
     p = p.withColumn("h", F.when(F.col("page") > skip, F.get(head, 0)))
     first = p.where("h is not null").groupBy("source", F.col("h.number").alias("number")).agg(F.min("page").alias("page"), F.min_by("h.title", "page").alias("title"))
-    started = p.join(first.withColumnRenamed("page", "at"), (p["source"] == first["source"]) & (p["page"] == F.col("at")), "left").select(p["source"], p["page"], p["text"], "number", "title")
+    started = p.join(first, ["source", "page"], "left").select("source", "page", "text", "number", "title")
     # a source's pages: one document, the unit that is read in order anyway
     w = Window.partitionBy("source").orderBy("page")
     filled = started.withColumn("c", F.last(F.when(F.col("number").isNotNull(), F.struct("number", "title")), ignorenulls=True).over(w)).where("c is not null")

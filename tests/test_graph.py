@@ -13,7 +13,7 @@ from cairn.operators import graph as G
 from cairn.operators import planning as P
 from cairn.operators import questions as Q
 from cairn.operators import retrieval as R
-from cairn.functions import hooks
+from cairn.functions import calls, hooks
 from cairn.functions import scalar as X
 from cairn.sources import json_files as J
 
@@ -207,14 +207,14 @@ def test_questions(spark):
 
 
 def test_hooks(spark):
-    calls = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "id int, prompt string")
+    prompts = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "id int, prompt string")
 
     def client(p):
         if p == "bad":
             raise ValueError("no")
         return '```json\n{"x": 3}\n```'
 
-    got = {r["id"]: r for r in hooks.complete_json(calls, client, "x int", wait=lambda s: None).collect()}
+    got = {r["id"]: r for r in hooks.complete_json(prompts, client, "x int", pause=lambda k: 0.0).collect()}
     assert got[1]["parsed"]["x"] == 3 and got[2]["error"] == "ValueError: no" and got[3]["value"] is None
     vecs = hooks.embed(spark.createDataFrame([(1, "abc"), (2, "abc")], "id int, text string"), hooks.hashed_embedding(8)).collect()
     assert vecs[0]["vec"] == vecs[1]["vec"]
@@ -280,10 +280,7 @@ def test_candidates_are_validated_in_batches(spark):
             raise ValueError("this batch is lost")
         return "```json\n" + json.dumps({"results": [{"is_prerequisite": int(n[1:]) % 2 == 0, "description": f" {n} "} for n in names[:-1]]}) + "\n```"
 
-    from unittest import mock
-
-    with mock.patch.object(hooks, "TRIES", 1):
-        got = {(r["source"], r["description"]) for r in E.validate_candidates(pairs, c, client).collect()}
+    got = {(r["source"], r["description"]) for r in E.validate_candidates(pairs, c, calls.Asker(client, tries=1)).collect()}
     # the second batch fails, and the last pair of each other one has no answer
     assert got == {(f"n{i}", f"n{i}") for i in (0, 2, 4, 6, 8, 20)}
 
