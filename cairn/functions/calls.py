@@ -109,7 +109,7 @@ def complete(prompts: DataFrame, call: Client, in_flight: int = IN_FLIGHT, tries
 
 def read_log(spark, path: str) -> DataFrame:
     """(key, value, error): one row a prompt that was asked, an answer before an error."""
-    from cairn.sources.json_files import exists
+    from cairn.sources.files import exists
 
     schema = "key string, value string, error string"
     raw = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -1,8 +1,4 @@
-"""JSON arrays in and out. `ord` is an element's place in its file: the order that keep-first refers to.
-
-A JSON array is one value and is read by one task; large tables are kept as
-Parquet with an `ord` column, and every operator takes either.
-"""
+"""The tables that JSON files hold. `ord` is an element's place in its file: the order that keep-first refers to."""
 
 from __future__ import annotations
 
@@ -12,35 +8,9 @@ from pyspark.sql import types as T
 
 from cairn import schema as S
 from cairn.functions.scalar import strip
+from cairn.sources.files import exists, first_existing
 from cairn.sources.frames import keep_first
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def first_existing(spark: SparkSession, *paths: str) -> str:
-    """The first path that exists; raises if none does."""
-    for p in paths:
-        if exists(spark, p):
-            return p
-    raise FileNotFoundError(", ".join(paths))
-
-
-def read_array(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False) -> DataFrame:
-    """The objects of a JSON array with their `ord`. With missing_ok a missing or broken file is empty."""
-    if missing_ok and not exists(spark, path):
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("ord", T.LongType())]))
-    text = spark.read.text(path, wholetext=True)
-    mode = {"mode": "PERMISSIVE" if missing_ok else "FAILFAST"}
-    rows = text.select(F.posexplode(F.from_json("value", T.ArrayType(schema), mode)).alias("ord", "r"))
-    return rows.select("r.*", F.col("ord").cast("long").alias("ord"))
-
-
-def write_array(df: DataFrame, path: str) -> None:
-    """JSON lines in `ord` order where there is one; one object a line, text as it is."""
-    (df.orderBy("ord").drop("ord") if "ord" in df.columns else df).write.mode("overwrite").json(path)
+from cairn.sources.json_array import read_array, write_array  # noqa: F401
 
 
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
