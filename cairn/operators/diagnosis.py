@@ -30,6 +30,11 @@ def tested(tests: DataFrame, concepts: DataFrame, raw_tests: DataFrame | None =
     return got.unionByName(real(raw_tests).join(got.select("pid").distinct(), "pid", "left_anti"))
 
 
+def closure_of(concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+    """(root, node, depth) of all concepts: what the functions here work out where no index (reach.py) is given."""
+    return ancestors(concepts.select(F.col("name").alias("root")), prereq, max_hops)
+
+
 def wrong_depths(attempts: DataFrame, tested_: DataFrame, closure: DataFrame) -> DataFrame:
     """(learner, pid, target, t_ord, name, depth), a row for each wrong problem, tested concept and prerequisite."""
     wrong = attempts.where("wrong").select("learner", "pid").distinct()
@@ -37,9 +42,9 @@ def wrong_depths(attempts: DataFrame, tested_: DataFrame, closure: DataFrame) ->
     return hit.join(closure.select(F.col("root").alias("target"), F.col("node").alias("name"), "depth"), "target")
 
 
-def trace(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+def trace(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS, closure: DataFrame | None = None) -> DataFrame:
     """Candidate root causes of each wrong problem of each learner, with a reason."""
-    closure = ancestors(concepts.select(F.col("name").alias("root")), prereq, max_hops)
+    closure = closure_of(concepts, prereq, max_hops) if closure is None else closure
     rows = wrong_depths(attempts, tested_, closure).join(concepts.select("name", "node_role", "difficulty", "chapter", "definition"), "name")
     reason = X.trace_reason(F.col("name"), F.col("depth"), F.col("pid"), F.col("target"))
     return rows.select("learner", "name", "depth", "node_role", "difficulty", "chapter", "definition", F.col("pid").alias("evidence_pid"), F.col("target").alias("evidence_target_concept"), "t_ord", reason.alias("reason"))
@@ -89,9 +94,9 @@ def sort_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy("learner", "depth", "difficulty", "chapter", "name")
 
 
-def mastery(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+def mastery(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS, closure: DataFrame | None = None) -> DataFrame:
     """(learner, name, weakness, mastery, risk) of every concept that a learner's answers touch."""
-    closure = ancestors(concepts.select(F.col("name").alias("root")), prereq, max_hops)
+    closure = closure_of(concepts, prereq, max_hops) if closure is None else closure
     # weights add up over a target's closure: count depths per tested concept first, then multiply out
     wrong = attempts.where("wrong").select("learner", "pid").distinct().join(tested_.select("pid", "target"), "pid").groupBy("learner", "target").agg(F.count("*").alias("k"))
     weight = closure.select(F.col("root").alias("target"), F.col("node").alias("name"), X.weight_tenths(F.col("depth")).alias("t"))
@@ -104,13 +109,13 @@ def mastery(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq
     return scored.withColumn("risk", X.risk(F.col("mastery")))
 
 
-def mastery_report(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+def mastery_report(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS, closure: DataFrame | None = None) -> DataFrame:
     """mastery() with evidence lists and reasons."""
-    traces = trace(attempts, tested_, concepts, prereq, max_hops)
+    traces = trace(attempts, tested_, concepts, prereq, max_hops, closure)
     why = traces.groupBy("learner", "name").agg(F.array_sort(F.collect_set(F.nullif(F.col("evidence_pid"), F.lit("")))).alias("evidence_pids"), F.array_sort(F.collect_set("evidence_target_concept")).alias("evidence_target_concepts"))
     right = attempts.where("correct").select("learner", "pid").distinct().join(tested_.select("pid", F.col("target").alias("name")), "pid").groupBy("learner", "name").agg(F.array_sort(F.collect_set("pid")).alias("correct_evidence_pids"))
     none = F.array().cast("array<string>")
-    out = mastery(attempts, tested_, concepts, prereq, max_hops).join(why, ["learner", "name"], "left").join(right, ["learner", "name"], "left")
+    out = mastery(attempts, tested_, concepts, prereq, max_hops, closure).join(why, ["learner", "name"], "left").join(right, ["learner", "name"], "left")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("evidence_pids", "evidence_target_concepts", "correct_evidence_pids")})
     return out.withColumn("reason", X.mastery_reason(F.col("name"), F.col("evidence_pids"), F.col("evidence_target_concepts"), F.col("weakness"), F.col("risk"), F.col("correct_evidence_pids")))
 

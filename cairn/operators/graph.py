@@ -60,13 +60,14 @@ def ancestors(roots: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS) -
 
 
 def _spread(seeds: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
-    level = seeds.distinct()
-    found = level.withColumn("depth", F.lit(0))
+    """One chain of joins: what was reached stays, what the last level reached takes a step, and the least depth is kept."""
+    found = seeds.distinct().withColumn("depth", F.lit(0))
     for d in range(1, hops + 1):
-        # distinct a level: the number of walks grows much faster than the number of nodes reached
-        level = level.join(steps, level["node"] == steps["source"]).select("root", F.col("target").alias("node")).distinct()
-        found = found.unionByName(level.withColumn("depth", F.lit(d)))
-    return found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        went = found.join(steps, (found["node"] == steps["source"]) & (found["depth"] == d - 1), "left")
+        both = F.array(F.struct("node", "depth"), F.struct(F.col("target").alias("node"), F.lit(d).alias("depth")))
+        # a groupBy a level: the number of walks grows much faster than the number of nodes reached
+        found = went.select("root", F.explode(both).alias("x")).where("x.node IS NOT NULL").groupBy("root", F.col("x.node").alias("node")).agg(F.min("x.depth").alias("depth"))
+    return found
 
 
 def subgraph(seeds: DataFrame, concepts: DataFrame, edges: DataFrame, types: list[str] | None = None, hops: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -97,15 +98,137 @@ def prereq_subgraph(roots: DataFrame, concepts: DataFrame, prereq: DataFrame, ma
     return nodes, inside.select("root", "source", "target")
 
 
-def cycle_residue(prereq: DataFrame) -> DataFrame:
-    """The nodes that remain when nodes without incoming edges are taken away until none is left: on or behind a cycle."""
-    left = materialize(prereq.select("source", "target").distinct(), "cycle")
+def cycle_residue(prereq: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """(name): the nodes that remain when nodes without incoming edges are taken away until none is left: on or behind a cycle.
+
+    A node with one predecessor goes or stays with it. So each round first passes
+    such nodes on to the first node up their line that has none or several, by
+    pointer doubling, and then takes away what has none: chains and trees of any
+    depth take a logarithmic number of rounds, other graphs one for each layer in
+    which lines meet. `rounds` is filled with the edges of each round.
+    """
+    edges = materialize(prereq.select("source", "target").distinct(), "cycle")
+    nodes = materialize(endpoints(edges).select(F.col("id").alias("name"), F.col("id").alias("stands")), "stands")
+    while True:
+        into = edges.groupBy(F.col("target").alias("v")).agg(F.count("*").alias("n"), F.min("source").alias("up"))
+        single = into.where("n = 1 AND v <> up").select("v", "up")
+        top = _tops(single, rounds)
+        # a node whose line leads round in a ring stands for itself, and the ring stays
+        stood = nodes.join(top.select(F.col("v").alias("stands"), F.col("up").alias("_top")), "stands", "left")
+        nodes = materialize(stood.select("name", F.coalesce("_top", "stands").alias("stands")), "stands")
+        a, b = (top.select(F.col("v").alias(x), F.col("up").alias(f"_{x}")) for x in ("source", "target"))
+        moved = edges.join(a, "source", "left").join(b, "target", "left").select(F.coalesce("_source", "source").alias("source"), F.coalesce("_target", "target").alias("target"), F.col("_target").isNotNull().alias("inner"))
+        # the one edge that led into a passed-on node is gone with it; one that leads back to its own line is a loop that stays
+        moved = materialize(moved.where("NOT inner").select("source", "target").distinct(), "cycle")
+        heads = moved.select(F.col("target").alias("source")).distinct()
+        rest = materialize(moved.join(heads, "source", "left_semi"), "cycle")
+        left = rest.count()
+        if rounds is not None:
+            rounds.append(left)
+        if left == moved.count() and top.isEmpty():
+            alive = endpoints(rest).select(F.col("id").alias("stands"))
+            return nodes.join(alive, "stands", "left_semi").select("name")
+        if not left:
+            return nodes.select("name").limit(0)
+        edges = rest
+
+
+def _tops(single: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """(v, up): for nodes with one way up (v, up), the node at which their ways end. Nodes whose way leads round in a ring are left out."""
+    hop = materialize(single.withColumn("open", F.lit(True)), "hops")
+    n = hop.count()
+    for _ in range(n.bit_length() + 1):  # one more, in which the longest way is seen to have ended
+        on = hop.select(F.col("v").alias("up"), F.col("up").alias("far"))
+        hop = materialize(hop.join(on, "up", "left").select("v", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("open")), "hops")
+        if rounds is not None:
+            rounds.append(n)
+        if hop.where("open").isEmpty():
+            break
+    return hop.where("NOT open").select("v", "up")
+
+
+def find_cycle(prereq: DataFrame) -> DataFrame:
+    """(pos, source, target): the edges of one cycle in the order of its way, or no row where there is none.
+
+    Of the residue each node takes its least predecessor in it: following these
+    leads into a ring from everywhere. After as many steps as there are nodes, by
+    doubling, only nodes of rings are met; the ring with the least node is given,
+    from that node on.
+    """
+    edges = prereq.select("source", "target").distinct()
+    residue = materialize(cycle_residue(prereq), "residue")
+    inside = induced(edges, residue)
+    back = materialize(inside.groupBy(F.col("target").alias("v")).agg(F.min("source").alias("up")), "back")
+    n = back.count()
+    if not n:
+        return prereq.sparkSession.createDataFrame([], f"pos long, source {prereq.schema['source'].dataType.simpleString()}, target {prereq.schema['source'].dataType.simpleString()}")
+    jump = back
+    for _ in range(n.bit_length()):
+        on = jump.select(F.col("v").alias("up"), F.col("up").alias("far"))
+        jump = materialize(jump.join(on, "up").select("v", F.col("far").alias("up")), "jump")
+    ring = materialize(back.join(jump.select(F.col("up").alias("v")).distinct(), "v", "left_semi"), "ring")
+    # the least node of each ring, and how far up the way it is met
+    low = ring.select("v", "up", F.least("v", "up").alias("low"))
+    for _ in range(n.bit_length()):
+        on = low.select(F.col("v").alias("up"), F.col("up").alias("far"), F.col("low").alias("more"))
+        low = materialize(low.join(on, "up").select("v", F.col("far").alias("up"), F.least("low", "more").alias("low")), "low")
+    start = low.agg(F.min("low")).first()[0]
+    mine = low.where(F.col("low") == F.lit(start)).select("v")
+    hop = ring.join(mine, "v", "left_semi").select("v", "up", F.lit(1).cast("long").alias("k"))
+    # the start is nobody's further way: distances end there
+    hop = materialize(hop.select("v", "up", F.when(F.col("v") == F.lit(start), 0).otherwise(F.col("k")).cast("long").alias("k")), "rank")
+    total = hop.count()
+    for _ in range(total.bit_length()):
+        on = hop.where(F.col("v") != F.lit(start)).select(F.col("v").alias("up"), F.col("up").alias("far"), F.col("k").alias("more"))
+        step = hop.where(F.col("v") != F.lit(start)).join(on, "up", "left")
+        hop = materialize(step.select("v", F.coalesce("far", "up").alias("up"), (F.col("k") + F.coalesce("more", F.lit(0))).alias("k")).unionByName(hop.where(F.col("v") == F.lit(start)).select("v", "up", "k")), "rank")
+    # k is the way from the start down to v, so v is the k-th node after it; its edge comes from the one before
+    return ring.join(hop.select("v", "k"), "v").select(F.pmod(F.col("k") - 1, F.lit(total)).cast("long").alias("pos"), F.col("up").alias("source"), F.col("v").alias("target"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(name, component): the least node of each node's strongly connected component.
+
+    Nodes that nothing leads to, or that lead nowhere, are components by
+    themselves and are trimmed, chains of them as in cycle_residue(). Among the rest
+    every node takes the colour of the least node that reaches it; the nodes of a
+    colour that reach its node in turn are a component, and the others go on.
+    """
+    links = materialize(edges.select("source", "target").where("source <> target").distinct(), "links")
+    every = endpoints(edges).select(F.col("id").alias("name"))
+    found = None
+    while True:
+        # between cycles: behind one, and before one
+        behind = cycle_residue(links)
+        links = materialize(induced(links, behind), "links")
+        turned = links.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        links = materialize(induced(links, cycle_residue(turned)), "links")
+        if links.isEmpty():
+            break
+        colour = _least_reaching(links, endpoints(links).select(F.col("id").alias("v"), F.col("id").alias("c")))
+        ends = links.join(colour.select(F.col("v").alias("source"), F.col("c").alias("cs")), "source").join(colour.select(F.col("v").alias("target"), F.col("c").alias("ct")), "target")
+        same = materialize(ends.where("cs = ct").select(F.col("target").alias("source"), F.col("source").alias("target"), "cs"), "same")
+        mark = colour.select("v", F.when(F.col("v") == F.col("c"), F.col("c")).alias("c"))
+        back = _least_reaching(same.select("source", "target"), mark).where("c IS NOT NULL").select(F.col("v").alias("name"), F.col("c").alias("component"))
+        back = materialize(back, "component")
+        found = back if found is None else found.unionByName(back)
+        links = materialize(links.join(back.select(F.col("name").alias("source")), "source", "left_anti").join(back.select(F.col("name").alias("target")), "target", "left_anti"), "links")
+    if found is None:
+        return every.select("name", F.col("name").alias("component"))
+    return every.join(found, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
+
+
+def _least_reaching(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(v, c): the least c that reaches v along links, from start (v, c); null where none does. Ways get twice as long each round."""
+    now = materialize(start, "colour")
+    # pointers to the least known origin are followed as well as edges, so that long ways are not walked step by step
     while True:
-        heads = left.select(F.col("target").alias("source")).distinct()
-        rest = materialize(left.join(heads, "source", "left_semi"), "cycle")
-        if rest.count() == left.count():
-            return rest.select(F.explode(F.array("source", "target")).alias("name")).distinct()
-        left = rest
+        near = links.join(now.select(F.col("v").alias("source"), "c"), "source").select(F.col("target").alias("v"), "c")
+        far = now.where("c IS NOT NULL").select("v", F.col("c").alias("_c")).join(now.select(F.col("v").alias("_c"), "c"), "_c").select("v", "c")
+        next_ = materialize(now.unionByName(near).unionByName(far).groupBy("v").agg(F.min("c").alias("c")), "colour")
+        if next_.join(now.select("v", F.col("c").alias("_old")), "v").where("NOT (c <=> _old)").isEmpty():
+            return next_
+        now = next_
 
 
 def has_no_cycles(prereq: DataFrame) -> bool:

@@ -15,6 +15,7 @@ from cairn.operators import retrieval as R
 from cairn.plans import queries as base
 from cairn.plans.queries import NEEDS, ORACLE_SQL, VIEWS, WHITE, query, sql
 from cairn.sources import json_files as J
+from cairn.sources import loaded as L
 from cairn.sources import views as W
 
 # graph -------------------------------------------------------------------
@@ -131,7 +132,7 @@ def trace_concepts(s, d):
 
 @query(sql(f"SELECT learner, pid, target, name, {REASON.format(p='pid', t='target', n='name')} AS reason FROM wrongs", "wrongs"))
 def trace_reasons(s, d):
-    t = D.trace(W.attempts(s, d), base._tested(s, d), W.concept(s, d), W.prereq(s, d))
+    t = D.trace(W.attempts(s, d), base._tested(s, d), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d))
     return t.select("learner", F.col("evidence_pid").alias("pid"), F.col("evidence_target_concept").alias("target"), "name", "reason")
 
 
@@ -142,7 +143,7 @@ NEEDS |= {"ranked": ["wrongs"], "firsts": ["ranked"]}
 
 @query(sql("SELECT r.learner, r.name, string_agg(concat(pid, '/', target, '/', CAST(depth AS VARCHAR)), ',' ORDER BY i) AS evidences, concat('该概念被 ', CAST(count(*) AS VARCHAR), ' 条错题证据命中，关联考查概念包括「', any_value(f.targets), '」，建议优先排查。') AS reason FROM ranked r JOIN firsts f ON f.learner = r.learner AND f.name = r.name GROUP BY r.learner, r.name", "ranked", "firsts"))
 def trace_evidences(s, d):
-    a = D.aggregate(D.trace(W.attempts(s, d), base._tested(s, d), W.concept(s, d), W.prereq(s, d)))
+    a = D.aggregate(D.trace(W.attempts(s, d), base._tested(s, d), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d)))
     each = F.transform("evidences", lambda e: F.concat_ws("/", e["pid"], e["target_concept"], e["depth"].cast("string")))
     return a.select("learner", "name", F.array_join(each, ",").alias("evidences"), "reason")
 
@@ -154,7 +155,7 @@ NEEDS |= {"why": ["wrongs"], "against": ["attempts", "tests"]}
 
 @query(sql("SELECT m.learner, m.name, concat(CASE WHEN w.pids IS NULL THEN concat('概念「', m.name, '」暂无错题命中') ELSE concat('概念「', m.name, '」由错题 ', w.pids, ' 命中，关联考查概念包括「', w.targets, '」') END, '，weakness=', CAST(weakness AS VARCHAR), '，风险等级为 ', risk, CASE WHEN g.pids IS NULL THEN '' ELSE concat('；但正确题 ', g.pids, ' 提供了反证，因此已适当下调薄弱分') END, '。') AS reason FROM risked m JOIN concept c ON c.name = m.name LEFT JOIN why w ON w.learner = m.learner AND w.name = m.name LEFT JOIN against g ON g.learner = m.learner AND g.name = m.name", "risked", "why", "against"))
 def mastery_reasons(s, d):
-    return D.mastery_report(W.attempts(s, d), base._tested(s, d), W.concept(s, d), W.prereq(s, d)).select("learner", "name", "reason")
+    return D.mastery_report(W.attempts(s, d), base._tested(s, d), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d)).select("learner", "name", "reason")
 
 
 @query(sql("SELECT pid, stem, ord FROM problems WHERE pid IN (SELECT source FROM tests) ORDER BY ord LIMIT 2", "problems", "tests"))

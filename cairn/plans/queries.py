@@ -16,7 +16,9 @@ from cairn.operators import graph as G
 from cairn.operators import planning as P
 from cairn.operators import questions as Q
 from cairn.operators import retrieval as R
+from cairn.session import materialize
 from cairn.sources import json_files as J
+from cairn.sources import loaded as L
 from cairn.sources import views as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,16 +206,21 @@ def practice_topk(s, d):
 
 @query(sql("SELECT learner, name, depth, pid AS evidence_pid, target AS evidence_target_concept FROM wrongs", "wrongs"))
 def trace_candidates(s, d):
-    return D.trace(W.attempts(s, d), _tested(s, d), W.concept(s, d), W.prereq(s, d)).select("learner", "name", "depth", "evidence_pid", "evidence_target_concept")
+    return D.trace(W.attempts(s, d), _tested(s, d), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d)).select("learner", "name", "depth", "evidence_pid", "evidence_target_concept")
 
 
 @query(sql("SELECT learner, name, count(*) AS hit_count, min(depth) AS depth, arg_min(pid, (pid, depth, t_ord, target)) AS evidence_pid FROM wrongs GROUP BY learner, name", "wrongs"))
 def trace_aggregate(s, d):
-    return D.aggregate(D.trace(W.attempts(s, d), _tested(s, d), W.concept(s, d), W.prereq(s, d))).select("learner", "name", "hit_count", "depth", "evidence_pid")
+    return D.aggregate(D.trace(W.attempts(s, d), _tested(s, d), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d))).select("learner", "name", "hit_count", "depth", "evidence_pid")
 
 
 def _mastery(s, d):
-    return D.mastery(W.attempts(s, d), _tested(s, d), W.concept(s, d), W.prereq(s, d))
+    return D.mastery(W.attempts(s, d), _tested(s, d), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d))
+
+
+def _report(s, d):
+    """mastery for plans, which read it more than once"""
+    return materialize(_mastery(s, d), "mastery")
 
 
 @query(sql("SELECT learner, m.name, weakness, mastery FROM mastered m JOIN concept c ON c.name = m.name", "mastered"))
@@ -236,18 +243,19 @@ PLAN = "SELECT DISTINCT w.learner, a.node, a.depth FROM weak w JOIN anc a ON a.r
 
 @query(sql(f"SELECT learner, node AS name, min(depth) AS depth, max(depth) AS max_depth FROM ({PLAN}) t GROUP BY learner, node", "weak"))
 def plan_nodes(s, d):
-    return P.plan_nodes(P.weak_for_plan(_mastery(s, d)), W.concept(s, d), W.prereq(s, d))
+    return P.plan_nodes(P.weak_for_plan(_report(s, d)), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d))
 
 
 @query(sql("SELECT DISTINCT w.learner, p.source, p.target FROM weak w JOIN anc a ON a.root = w.name JOIN prereq p ON p.source = a.node JOIN anc b ON b.root = w.name AND b.node = p.target JOIN concept ca ON ca.name = p.source JOIN concept cb ON cb.name = p.target", "weak"))
 def plan_edges(s, d):
-    return P.plan_edges(P.weak_for_plan(_mastery(s, d)), W.concept(s, d), W.prereq(s, d))
+    return P.plan_edges(P.weak_for_plan(_report(s, d)), W.concept(s, d), W.prereq(s, d), closure=L.closure(s, d))
 
 
 @query()
 def learning_path(s, d):
-    m = _mastery(s, d)
-    return P.learning_path(P.weak_for_plan(m), m, W.concept(s, d), W.prereq(s, d), W.tests(s, d))
+    m = _report(s, d)
+    weak = materialize(P.weak_for_plan(m).select("learner", "name"), "weak")
+    return P.learning_path(weak, m, W.concept(s, d), W.prereq(s, d), W.tests(s, d), closure=L.closure(s, d))
 
 
 # edges and concepts ------------------------------------------------------
