@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn import schema as S
@@ -34,7 +34,7 @@ def dedupe(concepts: DataFrame) -> DataFrame:
     Aliases of a merged concept are sorted; those of an unmerged one keep their order.
     """
     first = keep_first(concepts.where("name <> ''"), ["name"], ["ord"])
-    union = concepts.groupBy("name").agg(F.count("*").alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("_all"))
+    union = concepts.groupBy("name").agg(F.count("*").alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(_names("aliases"))))).alias("_all"))
     merged = first.join(union, "name").withColumn("aliases", F.when(F.col("_n") > 1, F.array_remove("_all", F.col("name"))).otherwise(F.col("aliases"))).drop("_n", "_all")
     alias = merged.select("name", F.posexplode("aliases").alias("at", "alias"))
     free = alias.join(merged.select(F.col("name").alias("alias")), "alias", "left_anti")
@@ -57,6 +57,18 @@ def resolve(names: DataFrame, terms: DataFrame) -> DataFrame:
     return n.join(t, n["_k"] == t["term"], "left").select("name", F.coalesce("canonical", "_k").alias("canonical"))
 
 
+def resolve_exact(names: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(name, canonical): neither trimmed nor folded; the first concept whose name or alias is the name, else null."""
+    keys = concepts.select(F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k"), F.col("name").alias("canonical"), "ord")
+    first = keys.groupBy("k").agg(F.min_by("canonical", F.struct("ord", "canonical")).alias("canonical"))
+    return names.select("name").join(first, F.col("name") == F.col("k"), "left").select("name", "canonical")
+
+
+def in_chapters(concepts: DataFrame, chapters: list[str]) -> DataFrame:
+    """The concepts of some chapters; no list keeps all."""
+    return concepts.where(F.col("chapter").isin(*chapters)) if chapters else concepts
+
+
 def resolve_folded(names: DataFrame, concepts: DataFrame) -> DataFrame:
     """(name, canonical): trimmed and lower-cased; the first concept whose name or alias matches, else null."""
     keys = concepts.select(F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k"), "name", "ord")
@@ -142,6 +154,11 @@ def _heads(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(group), "head": [g[0] for g in group.values()]})
 
 
+def _names(column: str) -> Column:
+    """A list of names without nulls; a missing list has none."""
+    return F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda a: a.isNotNull())
+
+
 def _fold(members: DataFrame) -> DataFrame:
     """One concept for each head of (head, concept's columns).
 
@@ -155,12 +172,12 @@ def _fold(members: DataFrame) -> DataFrame:
     )
     known = members.join(base, "head").withColumn("own", F.col("name") == F.col("b.name"))
     longest = known.groupBy("head").agg(F.max_by("definition", F.struct(F.char_length(F.coalesce("definition", F.lit(""))), "own", -F.col("ord"))).alias("definition"))
-    names = known.select("head", "own", "ord", F.posexplode(F.concat(F.array("name"), "aliases")).alias("pos", "alias"))
+    names = known.select("head", "own", "ord", F.posexplode(F.concat(F.array("name"), _names("aliases"))).alias("pos", "alias"))
     # a name that the base has in any case is not added; of the others' spellings the first is
     once = names.groupBy("head", F.lower(strip(F.col("alias"))).alias("folded")).agg(F.max("own").alias("own"), F.min(F.struct("ord", "pos", "alias")).alias("first")).where("NOT own")
     more = once.groupBy("head").agg(F.transform(F.array_sort(F.collect_list("first")), lambda x: x["alias"]).alias("more"))
     out = base.join(longest, "head").join(more, "head", "left")
-    return out.select("b.name", "definition", "b.chapter", "b.difficulty", "b.node_role", F.concat("b.aliases", F.coalesce("more", F.array().cast("array<string>"))).alias("aliases"), "b.ord", "merged")
+    return out.select("b.name", "definition", "b.chapter", "b.difficulty", "b.node_role", F.concat(_names("b.aliases"), _names("more")).alias("aliases"), "b.ord", "merged")
 
 
 def apply_decisions(concepts: DataFrame, decided: DataFrame) -> DataFrame:

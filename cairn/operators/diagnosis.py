@@ -90,6 +90,12 @@ def aggregate(traces: DataFrame, pid_order: DataFrame | None = None) -> DataFram
     )
 
 
+def trace_problems(pids: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS, closure: DataFrame | None = None) -> DataFrame:
+    """Weak candidates of problems (a column, pid), each taken by itself as one wrong answer: aggregate() with pid for learner."""
+    alone = pids.select(F.col("pid").alias("learner"), "pid", F.lit(True).alias("wrong"), F.lit(False).alias("correct")).distinct()
+    return aggregate(trace(alone, tested_, concepts, prereq, max_hops, closure)).withColumnRenamed("learner", "pid")
+
+
 def sort_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy("learner", "depth", "difficulty", "chapter", "name")
 

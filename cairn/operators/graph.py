@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn import schema as S
 from cairn.session import materialize
-from cairn.sources.frames import keep_first
+from cairn.sources.frames import keep_first, numbered_over_all
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -296,6 +296,22 @@ def neighbour_groups(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).distinct().groupBy("name", "type", "direction").agg(F.array_sort(F.collect_list("other")).alias("neighbours"), F.count("*").alias("n"))
 
 
+def neighbour_pages(edges: DataFrame, size: int = 100) -> DataFrame:
+    """(name, type, direction, page, neighbours): neighbour_groups() with the neighbours, in pages of `size` by name.
+
+    A hub's neighbours are numbered by ranges over all, so that no task and no
+    array holds more than a range or a page of them.
+    """
+    undirected = F.col("type").isin(*S.UNDIRECTED)
+    out = edges.select(F.col("source").alias("name"), "type", F.when(undirected, "both").otherwise("out").alias("direction"), F.col("target").alias("other"))
+    into = edges.select(F.col("target").alias("name"), "type", F.when(undirected, "both").otherwise("in").alias("direction"), F.col("source").alias("other"))
+    group = ["name", "type", "direction"]
+    placed = materialize(numbered_over_all(out.unionByName(into).distinct(), [*group, "other"], "n"), "neighbours")
+    first = placed.groupBy(*group).agg(F.min("n").alias("first"))
+    paged = placed.join(first, group).withColumn("page", F.floor((F.col("n") - F.col("first")) / size).cast("int"))
+    return paged.groupBy(*group, "page").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
+
+
 def missing_nodes(relations: DataFrame, concepts: DataFrame) -> DataFrame:
     """Ends of relations (subject, object) that are no concept yet; empty and self relations make none."""
     r = relations.where("subject <> '' and object <> '' and subject <> object")

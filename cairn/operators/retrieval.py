@@ -11,30 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar as X
+from cairn.operators import similar
+from cairn.operators.containment import contained
+from cairn.session import materialize
 from cairn.sources.frames import first_n, numbered
 
-#: Terms that one broadcast may hold. Beyond it, texts are cut into blocks and terms into parts that meet by a join.
-MAX_TERMS = 200_000
-PART_TERMS = 50_000
+#: Bytes of terms that one broadcast may hold; more terms meet the texts by their anchors (containment.py).
+TERM_BYTES = 16 << 20
 BLOCK = 512
 
 
-def mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def mentions(texts: DataFrame, terms: DataFrame, term_bytes: int | None = None) -> DataFrame:
     """(id, term, canonical, n): how often each term occurs in each text, non-overlapping. Exact containment.
 
-    texts: (id, text). terms: (term, canonical). Terms are searched for by
-    an automaton over all of them that each task builds once from a broadcast of
-    checked size; more terms than MAX_TERMS go in parts, a pass over the texts each.
+    texts: (id, text). terms: (term, canonical). Terms of up to term_bytes are
+    searched for by an automaton that each task builds once from a broadcast; beyond
+    that no terms come to the driver: texts and terms meet by a join.
     """
-    spark = texts.sparkSession
-    t = terms.select("term", "canonical").where("term <> ''").distinct()
-    parts = max(1, -(-t.count() // PART_TERMS)) if t.count() > MAX_TERMS else 1
-    out = None
-    for i in range(parts):
-        mine = [tuple(r) for r in t.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).toLocalIterator()]
-        one = _search(texts, spark.sparkContext.broadcast(mine))
-        out = one if out is None else out.unionByName(one)
-    return out
+    t = materialize(terms.select("term", "canonical").where("term <> ''").distinct(), "terms")
+    octets = t.agg(F.sum(F.octet_length("term").cast("long") + F.coalesce(F.octet_length("canonical"), F.lit(0)) + 64)).first()[0] or 0
+    if octets <= (TERM_BYTES if term_bytes is None else term_bytes):
+        return _search(texts, texts.sparkSession.sparkContext.broadcast([tuple(r) for r in t.toLocalIterator()]))
+    return contained(texts, t).join(t, "term").select("id", "term", "canonical", "n")
 
 
 def _search(texts: DataFrame, shared) -> DataFrame:
@@ -129,19 +127,26 @@ def page_range(pages: DataFrame, first: int, last: int) -> DataFrame:
     return pages.where(F.col("page").between(first, last))
 
 
+def usable(vectors: DataFrame) -> DataFrame:
+    """(id, vec, dims): vectors with components, none of them null or no number. Vectors of unlike length have no likeness."""
+    v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dims"))
+    return v.where(F.col("vec").isNotNull() & (F.col("dims") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query, rank, id, score): exact nearest by cosine distance d, score 1 / (1 + d).
 
     queries: (id, vec), vectors: (id, vec). A stated set of queries goes against
     all vectors in blocks: each block of queries meets each block of vectors in one
     multiplication, and only a query's best k of a block leave the task. Neither
-    side passes through the driver.
+    side passes through the driver. A query meets the vectors of its own length;
+    what is not usable() takes no part.
     """
-    asked, held = (x.select("id", "vec").where(F.size("vec") > 0) for x in (queries, vectors))
+    asked, held = usable(queries), usable(vectors)
     parts = [max(1, -(-x.count() // rows)) for x, rows in ((asked, BLOCK), (held, 16 * BLOCK))]
 
     def deal(x: DataFrame, own: str, other: str, n: int, others: int) -> DataFrame:
-        return x.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+        return x.select("id", "vec", "dims", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
 
     left, right = deal(asked, "i", "j", *parts), deal(held, "j", "i", *parts[::-1])
     kinds = [x.schema["id"].dataType.simpleString() for x in (queries, vectors)]
@@ -156,7 +161,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
         at = np.argsort(-s, axis=1, kind="stable")[:, :n]
         return pd.DataFrame({"query": np.repeat(qs["id"].to_numpy(), n), "id": vs["id"].to_numpy()[at.ravel()], "cos": np.take_along_axis(s, at, 1).ravel()})
 
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, f"query {kinds[0]}, id {kinds[1]}, cos double")
+    keys = ["dims", "i", "j"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query {kinds[0]}, id {kinds[1]}, cos double")
     top = numbered(near, ["query"], [F.desc("cos"), "id"], "rank").where(F.col("rank") <= k)
     return top.select("query", "rank", "id", F.round(X.distance_score(1 - F.col("cos")), 6).alias("score"))
 
@@ -167,18 +173,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.82, block: int = 1024) -> DataFrame:
-    """(a, b, confidence), a < b: all pairs of vectors whose cosine reaches `least`. Exact, in blocks.
+    """(a, b, confidence), a < b: all pairs of vectors whose cosine reaches `least`. Exact.
 
-    Vectors are dealt into blocks; each pair of blocks meets once and is
-    multiplied in one step, and only pairs over the threshold leave the task.
-    vectors: (id, vec).
+    vectors: (id, vec); what is not usable() takes no part, and vectors of unlike
+    length make no pair. Where pivots part the vectors well enough (similar.py),
+    only cells that can hold a pair meet; else all blocks of vectors do.
     """
-    n = max(1, -(-vectors.count() // block))
-    kind = vectors.schema["id"].dataType.simpleString()
+    v = materialize(usable(vectors), "vectors")
+    n = v.count()
+    cells = similar.Cells.of(v, n, least) if least > 0 and n > 2 * block else None
+    if cells is not None and 2 * cells.products() < n * n // 2:
+        out = cells.pairs(block)
+    else:
+        out = _all_blocks(v, max(1, -(-n // block)), least)
+    return out.withColumn("confidence", F.round("confidence", 4)).where(F.col("confidence") >= least)
+
+
+def _all_blocks(v: DataFrame, n: int, least: float) -> DataFrame:
+    """Each pair of n blocks meets once and is multiplied in one step; only pairs over the threshold leave the task."""
+    kind = v.schema["id"].dataType.simpleString()
     # the shape of a triangle of block pairs: each row goes to the pairs its block is in
-    v = vectors.where("vec is not null").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("b"), o).alias("i"), F.greatest(F.col("b"), o).alias("j")))
-    dealt = v.withColumn("c", F.explode(to)).select("c.i", "c.j", "b", "id", "vec")
+    dealt = v.withColumn("c", F.explode(to)).select("c.i", "c.j", "dims", "b", "id", "vec")
 
     def meet(pdf):
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -191,8 +208,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.82, block: int = 1024) ->
         keep = (a < b) if i == j else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "confidence": c[keep]})
 
-    out = dealt.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, confidence double")
-    return out.withColumn("confidence", F.round("confidence", 4)).where(F.col("confidence") >= least)
+    return dealt.groupBy("dims", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}, confidence double")
 
 
 # Fixed texts: labels of the documents and contexts.
