@@ -403,7 +403,8 @@ def _sequence(kinds: tuple[str, ...], place: int, limit: int) -> str:
     return f"(SELECT * FROM ({rows}) r QUALIFY row_number() OVER (PARTITION BY path ORDER BY o0, o1, o2) = 1 ORDER BY o0, o1, o2 LIMIT {limit})"
 
 
-def _questions() -> str:
+def questions_sql(over: str = "{}") -> str:
+    """SQL over the question set (path, hops, type, grp)."""
     groups = [[(Q.P,), (Q.SV,)], [(Q.P, Q.P)], [(Q.P, Q.SV)], [(Q.SV, Q.SV)], list(Q.SEQUENCES)]
     limit, by, out = Q.PER_TYPE * Q.MULTIPLIER, "seq, o0, o1, o2", []
     for g, seqs in enumerate(groups):
@@ -413,10 +414,10 @@ def _questions() -> str:
         VIEWS[f"chosen{g}"] = f"SELECT *, {g} AS grp FROM (SELECT * FROM ({top}) t QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY {by}) = 1) u WHERE {taken} ORDER BY {by} LIMIT {Q.PER_TYPE}"
         NEEDS[f"chosen{g}"] = ["pe", "se", *[f"chosen{i}" for i in range(g)]]
         out.append(f"SELECT path, hops, type, grp FROM chosen{g}")
-    return sql(" UNION ALL ".join(out), *[f"chosen{g}" for g in range(len(groups))])
+    return sql(over.format(" UNION ALL ".join(out)), *[f"chosen{g}" for g in range(len(groups))])
 
 
-@query(_questions())
+@query(questions_sql())
 def multihop_set_paths(s, d):
     q = Q.question_set(W.edges(s, d, "PREREQUISITE", "SOLVES"), W.concept(s, d))
     return q.select(F.array_join("path", ">").alias("path"), "hops", "type", "grp")

@@ -4,7 +4,7 @@ from tests.compare import by_sql, rows
 
 
 def names():
-    from cairn.plans import details  # noqa: F401
+    from cairn.plans import details, features  # noqa: F401
     from cairn.plans.queries import QUERIES
 
     return sorted(QUERIES)
