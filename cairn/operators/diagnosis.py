@@ -22,7 +22,7 @@ def tested(tests: DataFrame, concepts: DataFrame, raw_tests: DataFrame | None =
     """
 
     def real(t: DataFrame) -> DataFrame:
-        return keep_first(t.join(concepts.select(F.col("name").alias("target")), "target", "left_semi"), ["source", "target"], ["ord"]).select(F.col("source").alias("pid"), "target", "ord")
+        return t.join(concepts.select(F.col("name").alias("target")), "target", "left_semi").groupBy(F.col("source").alias("pid"), "target").agg(F.min("ord").alias("ord"))
 
     got = real(tests)
     if raw_tests is None:
@@ -103,12 +103,14 @@ def sort_candidates(candidates: DataFrame) -> DataFrame:
 def mastery(attempts: DataFrame, tested_: DataFrame, concepts: DataFrame, prereq: DataFrame, max_hops: int = S.MAX_HOPS, closure: DataFrame | None = None) -> DataFrame:
     """(learner, name, weakness, mastery, risk) of every concept that a learner's answers touch."""
     closure = closure_of(concepts, prereq, max_hops) if closure is None else closure
-    # weights add up over a target's closure: count depths per tested concept first, then multiply out
-    wrong = attempts.where("wrong").select("learner", "pid").distinct().join(tested_.select("pid", "target"), "pid").groupBy("learner", "target").agg(F.count("*").alias("k"))
-    weight = closure.select(F.col("root").alias("target"), F.col("node").alias("name"), X.weight_tenths(F.col("depth")).alias("t"))
-    w = wrong.join(weight, "target").groupBy("learner", "name").agg(F.sum(F.col("t") * F.col("k")).alias("w"))
-    right = attempts.where("correct").select("learner", "pid").distinct().join(tested_.select("pid", "target"), "pid").groupBy("learner", F.col("target").alias("name")).agg(F.count("*").alias("n"))
-    s = w.join(right, ["learner", "name"], "full_outer").select("learner", "name", F.greatest(F.lit(0), F.coalesce("w", F.lit(0)) - S.CORRECT_TENTHS * F.coalesce("n", F.lit(0))).alias("w"))
+    # a problem counts once as wrong and once as right; both are counted per tested concept before they meet its closure
+    said = attempts.groupBy("learner", "pid").agg(F.max(F.coalesce("wrong", F.lit(False))).alias("wrong"), F.max(F.coalesce("correct", F.lit(False))).alias("correct")).where("wrong OR correct")
+    per = said.join(tested_.select("pid", "target"), "pid").groupBy("learner", "target").agg(F.count_if("wrong").alias("k"), F.count_if("correct").alias("n"))
+    weight = closure.select(F.col("root").alias("target"), F.col("node").alias("name"), "depth", X.weight_tenths(F.col("depth")).alias("t"))
+    # right answers speak for the concept itself, wrong ones against all that it builds on
+    met = per.join(weight, "target").where("depth = 0 OR k > 0")
+    points = F.col("t") * F.col("k") - F.when(F.col("depth") == 0, S.CORRECT_TENTHS * F.col("n")).otherwise(0)
+    s = met.groupBy("learner", "name").agg(F.greatest(F.lit(0).cast("long"), F.sum(points)).alias("w"))
     s = s.join(concepts.select("name"), "name", "left_semi")
     top = F.max("w").over(Window.partitionBy("learner"))
     scored = s.select("learner", "name", F.round(F.col("w") / F.lit(10.0), 4).alias("weakness"), F.round(1 - F.col("w").cast("double") / F.when(top <= 0, 10).otherwise(top), 4).alias("mastery"))
