@@ -312,7 +312,7 @@ class Page:
                 kind, text = self.tokens[i]
                 if kind == "w":
                     if not self.skip[i]:
-                        cur.append(text)
+                        cur.append(entities.unescape(text))  # run by run: no reference goes on behind a tag
                 elif text in BLOCK:
                     blocks.append(cur)
                     cur = []
@@ -320,7 +320,7 @@ class Page:
                     cur.append(" ")
             blocks.append(cur)
             cur = []
-        done = (" ".join(entities.unescape("".join(x)).split()) for x in blocks)
+        done = (" ".join("".join(x).split()) for x in blocks)
         return "\n\n".join(x for x in done if x)
 
 

@@ -300,3 +300,8 @@ def test_regions_are_maximal(parts):
     if best[0] < best[1]:
         sums = [sum(s[a:b]) for a, b in found]
         assert max(sums) == pytest.approx(sum(s[best[0] : best[1]])) and min(sums) >= html.SHARE * max(sums) - 1e-9
+
+
+def test_references_end_with_their_run():
+    page = html.Page("<article><p>&<b>lt;</b> x &lt;b&gt; &am<i>p;</i> a&nbsp;b &#x41;&amp;lt;</p></article>")
+    assert page.main_text({}) == "&lt; x <b> &am" + "p; a b A&lt;"
