@@ -272,3 +272,40 @@ def graph_summary(s, d):
     # 25 chapters
     chapters = chapters.select(F.row_number().over(Window.orderBy("chapter")).alias("number"), F.col("chapter").alias("title"), "topics")
     return V.summary(concepts, W.edges(s, d).select(F.col("type").alias("relation")), chapters)
+
+
+# texts of questions and answers -------------------------------------------
+
+#: Fixed texts by type of path: question, how the answer begins, what it says of the path. A digit is the node at that place.
+TEXTS = {
+    "PREREQUISITE_DIRECT": ("为什么学习0有助于理解1？", "图谱直接依据是：", "这表示0是理解1的前置知识。"),
+    "SOLVES_DIRECT": ("为什么说0有助于应对1？", "图谱直接依据是：", "这表示0用于解决或应对1。"),
+    "PREREQUISITE_PREREQUISITE": ("为什么理解2之前需要先学习0？", "因为图谱中存在二跳先修链：", "这表示0是1的先修，而1又是2的先修，所以0是理解2的间接前置知识。"),
+    "PREREQUISITE_SOLVES": ("为什么学习0有助于理解2的解决思路？", "图谱路径是：", "这表示0是理解1的前置知识，而1用于解决或应对2。"),
+    "SOLVES_SOLVES": ("为什么说0可能间接帮助应对2？", "图谱路径是：", "因此0通过1间接关联到2这个被解决或应对的对象。"),
+    "PREREQUISITE_PREREQUISITE_PREREQUISITE": ("为什么说0是理解3时可以提前掌握的基础？", "完整图谱路径是：", "这表示0支撑1，1支撑2，而2又支撑3，所以0是理解3的更早期基础。"),
+    **dict.fromkeys(("PREREQUISITE_PREREQUISITE_SOLVES", "PREREQUISITE_SOLVES_SOLVES", "SOLVES_SOLVES_SOLVES"), ("为什么学习0有助于分析3的解决思路？", "完整图谱路径是：", "这表示0先帮助理解后续概念，最终关联到用于解决或应对3的知识。")),
+}
+
+
+def _sql_text(text: str) -> str:
+    """A text as SQL over path, its digits replaced by nodes."""
+    parts = re.split(r"(\d)", text)
+    return "concat(" + ", ".join(f"'「', string_split(path, '>')[{int(x) + 1}], '」'" if x.isdigit() else f"'{x}'" for x in parts if x) + ")"
+
+
+def _texts_sql() -> str:
+    ask, say = [], []
+    for kind, (question, begins, why) in TEXTS.items():
+        steps = [kind.split("_")[0]] if kind.endswith("_DIRECT") else kind.split("_")
+        arrows = "0" + "".join(f"-[{s}]->{i}" for i, s in enumerate(steps, 1))
+        ask.append(f"WHEN '{kind}' THEN {_sql_text(question)}")
+        say.append(f"WHEN '{kind}' THEN {_sql_text(begins + arrows + '。' + why + '图谱依据：' + '；' * (len(steps) - 1))}")
+    return details.questions_sql(f"SELECT path, CASE type {' '.join(ask)} END AS question, CASE type {' '.join(say)} END AS answer FROM ({{}}) q")
+
+
+@query(_texts_sql())
+def multihop_texts(s, d):
+    """The texts of the question set; edges here have no descriptions."""
+    q = Q.question_set(W.edges(s, d, "PREREQUISITE", "SOLVES"), W.concept(s, d))
+    return q.select(F.array_join("path", ">").alias("path"), "question", "answer")

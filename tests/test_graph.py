@@ -321,3 +321,24 @@ def test_render_and_lookup(spark):
     assert {(r["pid"], r["stem"]) for r in D.problems_by_pid(asked, problems).collect()} == {("1", "first"), ("2", None)}
     got = spark.range(1).select(X.split_exercises(F.lit("𝒳 text\n习 题\n1. 习题")).alias("x"), X.split_exercises(F.lit(None).cast("string")).alias("n")).first()
     assert tuple(got["x"]) == ("𝒳 text", "\n习 题\n1. 习题") and tuple(got["n"]) == (None, "")
+
+
+def test_orders_and_flat_reports(spark):
+    from pyspark.sql import types as T
+
+    from cairn.operators import evaluation as V
+    from cairn.session import materialize, release
+
+    c = spark.createDataFrame([("l", "b", 1, 1, "c"), ("l", "a", 1, 1, "c"), ("l", "z", 0, 3, "c"), ("k", "y", 2, 1, "c")], "learner string, name string, depth int, difficulty int, chapter string")
+    assert [r["name"] for r in D.sort_candidates(c).collect()] == ["y", "z", "a", "b"]
+    m = spark.createDataFrame([("l", "a", "low", 0.1, 0.9), ("l", "b", "high", 1.0, 0.1), ("l", "c", "high", 1.5, 0.2), ("l", "d", "medium", 0.5, 0.5)], "learner string, name string, risk string, weakness double, mastery double")
+    assert [r["name"] for r in D.sort_mastery(m).collect()] == ["c", "b", "d", "a"]
+    one = T.StructType([T.StructField("details", T.ArrayType(T.StructType([T.StructField("question", T.StringType()), T.StructField("correct", T.BooleanType())])))])
+    report = spark.createDataFrame([(([("q1", True), ("q2", False)],), ([("q1", False)],))], T.StructType([T.StructField("a", one), T.StructField("b", one)]))
+    assert sorted(tuple(r) for r in V.flatten_details(report, ["a", "b"]).collect()) == [("a", "q1", True), ("a", "q2", False), ("b", "q1", False)]
+    written = materialize(m)
+    files = written.inputFiles()
+    release(written)
+    from pathlib import Path
+
+    assert files and not any(Path(f.removeprefix("file://")).exists() for f in files)

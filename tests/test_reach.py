@@ -119,3 +119,15 @@ def test_strong_components(spark):
             ahead[a] |= ahead[b]
     want = {x: min(y for y in ahead if y in ahead[x] and x in ahead[y]) for x in ahead}
     assert {r["name"]: r["component"] for r in G.strong_components(spark.createDataFrame(edges, PAIRS)).collect()} == want
+
+
+def test_names_to_study_in_order(spark):
+    from cairn.operators import planning as P
+
+    c = spark.createDataFrame([(n, "d", "c", d, "概念", [], i) for i, (n, d) in enumerate([("a", 1), ("b", 2), ("c", 1), ("z", 1)])], "name string, definition string, chapter string, difficulty int, node_role string, aliases array<string>, ord long")
+    pre = spark.createDataFrame([("b", "c"), ("a", "b")], PAIRS)
+    tests = spark.createDataFrame([("p1", "a", 0)], "source string, target string, ord int")
+    targets = spark.createDataFrame([("l", "c"), ("m", "z"), ("m", "a")], "learner string, name string")
+    scores = spark.createDataFrame([("l", "c", 0.2), ("m", "z", 0.1), ("m", "a", 0.9)], "learner string, name string, mastery double")
+    got = P.plan_path(targets, scores, c, pre, tests).orderBy("learner", "step").collect()
+    assert [(r["learner"], r["concept"]) for r in got] == [("l", "a"), ("l", "b"), ("l", "c"), ("m", "z"), ("m", "a")]
