@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import schema as S
@@ -133,6 +135,82 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         label = materialize(label.join(hook, F.col("component") == F.col("from"), "left").select("id", F.coalesce("to", "component").alias("component")), "classes")
 
 
+#: Pairs that one component may settle in one task; more are first contracted over all tasks.
+COMPONENT_PAIRS = 100_000
+#: Rounds of contraction after which what is left is settled by components, however much it is.
+CONTRACTIONS = 20
+
+
+def _better(name: str, difficulty: int | None) -> tuple:
+    """What makes a name stand for another: Chinese, length, difficulty."""
+    return bool(HAN.search(name)), len(name), 1 if pd.isna(difficulty) else difficulty
+
+
+def _contract(names: DataFrame, pairs: DataFrame, few: int, rounds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, head) of all names after all pairs but at most `few` are merged in order, and those that are left, between heads.
+
+    names: (id, difficulty), pairs: (p_ord, name_a, name_b, canonical) with unlike
+    numbers. A pair may be merged as soon as no earlier one is open at either end.
+    So in each round a group takes its pairs in order as long as each is the other
+    group's first, and none of the groups that it took has an earlier one open: a
+    name that a million others are merged into takes them all in one round, as a
+    stream of sorted rows. Of two groups that are each other's first, the one with
+    more pairs takes. Where the pairs of a group and of those that it takes alternate,
+    each change takes a round; after CONTRACTIONS rounds the rest is left as it is.
+    """
+    rounds = [] if rounds is None else rounds
+    group = names.select("id", F.col("id").alias("head"))
+    worth = names.select(F.col("id").alias("name"), "difficulty")
+    open_ = pairs.select("p_ord", F.col("name_a").alias("a"), F.col("name_b").alias("b"), "canonical")
+    while True:
+        # of several pairs between two groups only the first does anything
+        open_ = materialize(keep_first(open_.where("a <> b"), [F.least("a", "b"), F.greatest("a", "b")], ["p_ord"]), "pairs")
+        left = open_.count()
+        rounds.append(left)
+        if left <= few or len(rounds) > CONTRACTIONS:
+            return group, open_
+        both = F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("o"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("g"), F.col("a").alias("o"), F.lit(False).alias("is_a")))
+        w = Window.partitionBy("g").orderBy("p_ord")
+        ends = open_.select("p_ord", "canonical", F.explode(both).alias("e")).select("p_ord", "canonical", "e.*")
+        ends = materialize(ends.select("*", F.row_number().over(w).alias("place"), F.lead("p_ord").over(w).alias("next"), F.count("*").over(Window.partitionBy("g")).alias("size")), "ends")
+        there = ends.select("p_ord", F.col("g").alias("o"), F.col("place").alias("o_place"), F.col("next").alias("o_next"), F.col("size").alias("o_size"))
+        met = ends.join(there, ["p_ord", "o"])
+        takes = met.where((F.col("place") == 1) & (F.col("o_place") == 1) & (F.struct("size", "g") > F.struct("o_size", "o"))).select("g")
+        met = met.join(takes, "g", "left_semi").join(worth.select(F.col("name").alias("g"), F.col("difficulty").alias("gd")), "g").join(worth.select(F.col("name").alias("o"), F.col("difficulty").alias("od")), "o")
+        rows = met.select("g", "p_ord", "o", "is_a", "canonical", "o_place", "o_next", "gd", "od").repartition("g").sortWithinPartitions("g", "p_ord")
+        took = materialize(rows.mapInArrow(_take, "name string, by string, head string"), "took")
+        moved = took.select("name", "by").join(took.where("head IS NOT NULL").select("by", "head"), "by").select("name", F.col("head").alias("new"))
+        for c in ("a", "b"):
+            open_ = open_.join(moved.select(F.col("name").alias(c), F.col("new").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        group = materialize(group.join(moved.select(F.col("name").alias("head"), "new"), "head", "left").select("id", F.coalesce("new", "head").alias("head")), "groups")
+
+
+def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of groups' pairs in order: the groups that each takes (name, by), and the head that stands for all in the end (on the taker's own row)."""
+    by = head = worth = limit = None
+    going = True
+    out: list[tuple[str, str, str | None]] = []
+    for b in batches:
+        for g, p, o, is_a, said, place, later, gd, od in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+            if g != by:
+                if by is not None:
+                    out.append((by, by, head))
+                by, head, worth, limit, going = g, g, _better(g, gd), None, True
+            going = going and place == 1 and (limit is None or p < limit)
+            if not going:
+                continue
+            out.append((o, g, None))
+            limit = later if limit is None else limit if later is None else min(limit, later)
+            said, other = (said or "").strip(), _better(o, od)
+            # the proposed name if it heads either group, else the better head, the first of the pair among equals
+            if said != head and (said == o or other > worth or (other == worth and not is_a)):
+                head, worth = o, other
+        yield pa.record_batch([pa.array(x, pa.string()) for x in (zip(*out, strict=True) if out else [[]] * 3)], ["name", "by", "head"])
+        out = []
+    if by is not None:
+        yield pa.record_batch([pa.array([x], pa.string()) for x in (by, by, head)], ["name", "by", "head"])
+
+
 def _heads(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """(id, head) of the names of one component: the name that stands for each once all its pairs are merged.
 
@@ -140,7 +218,7 @@ def _heads(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     either group's head, else the better of the two by (Chinese, length,
     difficulty), the first of the pair among equals.
     """
-    worth = {n: (bool(HAN.search(n)), len(n), 1 if pd.isna(d) else d) for n, d in zip(names["id"], names["difficulty"], strict=True)}
+    worth = {n: _better(n, d) for n, d in zip(names["id"], names["difficulty"], strict=True)}
     group = {n: [n] for n in worth}  # each name's group: its head first
     for a, b, said in pairs.sort_values("p_ord")[["name_a", "name_b", "canonical"]].itertuples(index=False):
         left, right = group[a], group[b]
@@ -180,25 +258,30 @@ def _fold(members: DataFrame) -> DataFrame:
     return out.select("b.name", "definition", "b.chapter", "b.difficulty", "b.node_role", F.concat(_names("b.aliases"), _names("more")).alias("aliases"), "b.ord", "merged")
 
 
-def apply_decisions(concepts: DataFrame, decided: DataFrame) -> DataFrame:
+def apply_decisions(concepts: DataFrame, decided: DataFrame, component_pairs: int = COMPONENT_PAIRS, rounds: list[int] | None = None) -> DataFrame:
     """Concepts with approved pairs merged, transitively.
 
-    decided: (p_ord, name_a, name_b, merge, canonical). Pairs of different
-    components cannot touch each other, so each component's names are settled in
-    the order of its decisions by themselves; the concepts are then folded by
-    aggregation. Concepts in no pair pass by untouched. `merged` counts what went
-    into each.
+    decided: (p_ord, name_a, name_b, merge, canonical), no two with one p_ord.
+    Pairs are merged over all tasks until at most component_pairs are left (see
+    _contract()); pairs of different components cannot touch each other, so the
+    names of each are then settled in the order of its decisions by themselves, and
+    the concepts are folded by aggregation. Concepts in no pair pass by untouched.
+    `merged` counts what went into each.
     """
     ok = decided.where("merge").select("p_ord", "name_a", "name_b", "canonical")
     ends = ok.select(F.explode(F.array("name_a", "name_b")).alias("id")).distinct()
-    comp = components(ends, ok.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).where("a <> b"))
     fields = ["name", "definition", "chapter", "difficulty", "node_role", "aliases", "ord"]
     c = concepts.select(*fields)
-    names = comp.join(c.select(F.col("name").alias("id"), "difficulty"), "id", "left")
-    pairs = ok.join(comp.select(F.col("id").alias("name_a"), F.col("component").alias("of")), "name_a")
-    heads = names.groupBy("component").cogroup(pairs.groupBy("of")).applyInPandas(lambda a, b: _heads(a, b), "id string, head string")
+    names = materialize(ends.join(c.groupBy(F.col("name").alias("id")).agg(F.max("difficulty").alias("difficulty")), "id", "left"), "names")
+    group, pairs = _contract(names, ok, component_pairs, rounds)
+    tops = group.select(F.col("head").alias("id")).distinct()
+    comp = components(tops, pairs.select("a", "b"))
+    left = comp.join(names, "id")
+    of = pairs.select("p_ord", F.col("a").alias("name_a"), F.col("b").alias("name_b"), "canonical").join(comp.select(F.col("id").alias("name_a"), F.col("component").alias("of")), "name_a")
+    settled = left.groupBy("component").cogroup(of.groupBy("of")).applyInPandas(lambda a, b: _heads(a, b), "id string, head string")
+    heads = group.withColumnRenamed("head", "top").join(settled.select(F.col("id").alias("top"), "head"), "top").select("id", "head")
     members = materialize(c.join(heads, c["name"] == heads["id"]).drop("id"), "members")
-    return c.join(comp, c["name"] == comp["id"], "left_anti").withColumn("merged", F.lit(1)).unionByName(_fold(members))
+    return c.join(ends, c["name"] == ends["id"], "left_anti").withColumn("merged", F.lit(1)).unionByName(_fold(members))
 
 
 def review_batches(pairs: DataFrame, size: int = 15) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import calls, hooks
@@ -38,13 +39,14 @@ def in_order(rows, decided):
     return out
 
 
-def test_decisions_as_pair_by_pair(spark):
-    rng = random.Random(4)
+@pytest.mark.parametrize(("seed", "few"), [(4, 1000), (4, 0), (8, 3)])
+def test_decisions_as_pair_by_pair(spark, seed, few):
+    rng = random.Random(seed)
     names = [f"{'进' * (i % 4 == 0)}n{'x' * (i % 3)}{i}" for i in range(60)]
     rows = [(n, "d", "c", rng.choice([1, 2, 3]), "概念", rng.choice([None, [], [f"A{i % 7}"], [f"a{i % 7}", f"b{i}"]]), i) for i, n in enumerate(names)]
     decided = [(k, *rng.sample(names[:50], 2), rng.random() < 0.6, rng.choice([None, "", *names[:50]])) for k in range(45)]
     decided = [(k, a, b, m, rng.choice([a, b, s])) for k, a, b, m, s in decided]
-    got = C.apply_decisions(spark.createDataFrame(rows, CONCEPT), spark.createDataFrame(decided, DECIDED)).collect()
+    got = C.apply_decisions(spark.createDataFrame(rows, CONCEPT), spark.createDataFrame(decided, DECIDED), few).collect()
     found = set()
     for r in got:
         own = [x.lower() for x in dict((n, a or []) for n, *_, a, _ in rows)[r["name"]]]
@@ -54,6 +56,27 @@ def test_decisions_as_pair_by_pair(spark):
     assert found == in_order(rows, decided)
 
 
+def test_a_name_that_takes_thousands(spark):
+    # every second name is first merged with one of its own, then all with one hub
+    rows = [(f"n{i:05}", "d", "c", 1, "概念", None, i) for i in range(3000)]
+    decided = [(i, f"n{i:05}", f"n{i + 1000:05}", True, f"n{i + 1000:05}") for i in range(1000, 2000)]
+    decided += [(10_000 + i, "n00000", f"n{i:05}", True, None) for i in range(1, 2000)]
+    rounds = []
+    got = C.apply_decisions(spark.createDataFrame(rows, CONCEPT), spark.createDataFrame(decided, DECIDED), 10, rounds).collect()
+    assert {(r["name"], r["merged"]) for r in got} == {(x[0], x[1]) for x in in_order(rows, decided)}
+    assert rounds == [2999, 1000, 0] and max(r["merged"] for r in got) == 3000
+
+
+def test_alternating_pairs_end(spark, monkeypatch):
+    monkeypatch.setattr(C, "CONTRACTIONS", 2)
+    rows = [(f"n{i}", "d", "c", 1 + i % 3, "概念", None, i) for i in range(40)]
+    decided = [(2 * i, "n0", f"n{i}", True, f"n{i}") for i in range(1, 20)] + [(2 * i + 1, f"n{i}", f"n{i + 20}", True, None) for i in range(1, 20)]
+    rounds = []
+    got = C.apply_decisions(spark.createDataFrame(rows, CONCEPT), spark.createDataFrame(decided, DECIDED), 0, rounds).collect()
+    assert {(r["name"], r["merged"]) for r in got} == {(x[0], x[1]) for x in in_order(rows, decided)}
+    assert len(rounds) == 3 and rounds[-1] > 0
+
+
 def test_null_aliases_keep_merged_names(spark):
     c = spark.createDataFrame([("进程", "d", "c", 1, "概念", None, 0), ("proc", "longer", "c", 1, "概念", ["p", None], 1), ("other", "d", "c", 1, "概念", None, 2)], CONCEPT)
     got = {r["name"]: r for r in C.apply_decisions(c, spark.createDataFrame([(1, "进程", "proc", True, None)], DECIDED)).collect()}
