@@ -17,7 +17,8 @@ Groups of copies can be large, so the documents of a bucket are not all paired.
   the similarity are no candidates: this drops copies that were edited too much,
   and long documents that only share a passage, without comparing them.
 * One document of each bucket, the pivot, with the fewest shingles of its own, is
-  aligned with each other one. This joins the bulk of a group in linear work.
+  aligned with each other one. This joins the bulk of a group in linear work. Rows
+  of a large bucket, and the pairs of its pivot, meet it in several tasks.
 * Only documents that are then in another class than their bucket's pivot are
   paired with documents of other classes. A similar pair whose common shingles
   include one that COMMON documents or fewer hold meets on such a shingle: on one
@@ -50,6 +51,8 @@ SKETCHES, KEPT = 16, 3
 HASHES, BITS_PER_SHINGLE = 3, 8
 #: Documents that hold a shingle, up to which they are paired by it.
 COMMON = 64
+#: A key that holds more than one in HOT of a table's rows is dealt over several parts.
+HOT = 1024
 WORD = re.compile(r"\w+")
 
 
@@ -140,9 +143,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
 
+def _cut(many: DataFrame, key: str) -> DataFrame:
+    """(key, cuts): into how many parts keys with over a HOT-th of the rows go; fewer than HOT rows, 2 * HOT parts in all."""
+    most = max(1, many.count() // HOT)
+    return F.broadcast(many.groupBy(key).agg(F.count("*").alias("k")).where(F.col("k") > most).select(key, F.ceil(F.col("k") / most).alias("cuts")))
+
+
+def _meet(many: DataFrame, one: DataFrame, key: str, by: str, cuts: DataFrame) -> DataFrame:
+    """many joined with the row of its key; a hot key's rows are dealt by the column by, and its one row goes to each part."""
+    parts = F.coalesce("cuts", F.lit(1))
+    dealt = many.join(cuts, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("cuts")
+    copied = one.join(cuts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("cuts")
+    return dealt.join(copied, [key, "part"]).drop("part")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that link. A pivot's many pairs meet its text in several tasks."""
+    cuts = _cut(pairs, "a")
     with_b = pairs.join(texts.select(F.col("_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    both = _meet(with_b, texts.select(F.col("_id").alias("a"), F.col("text").alias("ta")), "a", "b", cuts).select("a", "b", "ta", "tb")
     return materialize(both.mapInArrow(_verify, "a long, b long"), "links")
 
 
@@ -223,7 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = once.join(reps.select("digest", "rep"), "digest").select("_id", "rep")
 
     # one row a bucket and document; buckets of one are dropped before anything else is done
-    entries = materialize(_shared(reps.select(F.explode("keys").alias("key"), F.col("rep").alias("x"))), "buckets")
+    entries = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("x"))
+    many = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    entries = materialize(_meet(entries, many, "key", "x", _cut(entries, "key")), "buckets")
     # the texts of candidates are fetched once
     wanted = reps.join(entries.select(F.col("x").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("_id"), "_h")
     source = rows.join(wanted, ["_id", "_h"], "left_semi")
@@ -231,19 +252,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the shortest partner has SIMILARITY times the shingles, so as many must be shareable
     shared = _shared_filter(texts)
     sizes = materialize(_shareable(texts, shared).where(F.col("c") >= F.col("n") * SIMILARITY - 1e-6), "sizes")
-    entries = materialize(_shared(entries.join(sizes, "x")), "buckets")
+    entries = materialize(entries.join(sizes, "x"), "buckets")
+    cuts = _cut(entries, "key")
 
-    pivot = entries.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("own"), F.col("x").alias("id"), "n", "c")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca"))
-    star = entries.join(pivot, "key").where((F.col("x") != F.col("a")) & _feasible("n", "c", "na", "ca")).select("a", F.col("x").alias("b")).distinct()
+    # one row a bucket of two documents or more
+    pivot = entries.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct((F.col("n") - F.col("c")).alias("own"), F.col("x").alias("id"), "n", "c")).alias("p")).where("k > 1")
+    pivot = materialize(pivot.select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca")), "pivots")
+    star = _meet(entries, pivot, "key", "x", cuts).where((F.col("x") != F.col("a")) & _feasible("n", "c", "na", "ca")).select("a", F.col("x").alias("b")).distinct()
     star = materialize(star, "pairs")
     links = _links(star, texts)
     label = _classes(links)
 
     # documents in another class than their bucket's pivot, and the others of such buckets
-    known = entries.join(label.withColumnRenamed("_id", "x"), "x", "left").withColumn("class", F.coalesce("class", "x"))
-    known = known.join(pivot.select("key", "a"), "key").join(label.select(F.col("_id").alias("a"), F.col("class").alias("main")), "a", "left").withColumn("odd", F.col("class") != F.coalesce("main", "a"))
-    known = materialize(known.select("key", "x", "n", "class", "odd"), "known")
-    split = known.join(known.where("odd").select("key").distinct(), "key", "left_semi")
+    main = pivot.join(label.select(F.col("_id").alias("a"), F.col("class").alias("main")), "a", "left").select("key", F.coalesce("main", "a").alias("main"))
+    known = _meet(entries, main, "key", "x", cuts).join(label.withColumnRenamed("_id", "x"), "x", "left").withColumn("class", F.coalesce("class", "x"))
+    known = materialize(known.select("key", "x", "n", "class", (F.col("class") != F.col("main")).alias("odd")), "known")
+    split = _meet(known, known.where("odd").select("key").distinct(), "key", "x", cuts)
     apart = _rare(texts, split.groupBy("x").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.max("odd").alias("odd")), shared)
     apart = materialize(apart, "apart")
 
@@ -278,12 +302,6 @@ def _classes(links: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("_id"), F.col("component").alias("class"))
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of the buckets that hold two documents or more."""
-    many = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return entries.join(many, "key", "left_semi")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each class, with all its columns.
 
