@@ -223,7 +223,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     Returns id_col, n_tokens, ids_sha256, decoded_sha256, and with with_ids also
     ids and decoded; one row for each input row. A null or empty text has no
     token and decodes to the empty string. Special tokens' own strings in a text
-    become their ids, as the tokenizers library has it.
+    become their ids, as the tokenizers library has it. Repeated rows and null ids
+    give a row each; other columns, whatever they are called, are not read.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"))
     schema = rows.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")

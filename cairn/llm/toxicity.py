@@ -245,7 +245,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null or empty text has no window and gets the score of a text in which no
     dictionary saves anything. Each input row gives one row, so repeated rows
-    give equal rows; an empty table gives an empty one.
+    give equal rows; an empty table gives an empty one. Columns that are not carried,
+    whatever they are called, are not read. Ids may be of any type here; fit needs
+    whole numbers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
