@@ -14,14 +14,14 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject, with their texts unchanged; a null text stays null."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = toxicity.score(docs, model, carry=tuple(c for c in docs.columns if c != "doc_id"))
     return out.where("predicted = 0").select(*docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many share; n_chars is counted anew."""
+    """All documents, without the lines that many share; n_chars is counted anew. A null text comes out as ""."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = line_dedup.line_dedup(docs, carry=rest)
     out = out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
@@ -29,12 +29,12 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates; documents without words are copies of each other, and rows without an id stay."""
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; one without words is taken never."""
     return mixing.mixed_documents(docs)
 
 
