@@ -3,9 +3,19 @@
 from pyspark.sql import functions as F
 
 from cairn.operators import concepts as C
+from cairn.operators import retrieval as R
 
 
 def test_links_of_a_name_are_a_row_a_concept(spark):
     c = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("name"), F.array(F.lit("Same")).alias("aliases"), F.col("id").alias("ord"))
     got = C.alias_links(c)
     assert [tuple(r) for r in got.groupBy("matched_key", "first", "links").count().collect()] == [("same", "c0", 1999, 2000)]
+
+
+def test_a_definition_of_many_is_searched_once(spark, monkeypatch):
+    c = spark.range(500).select(F.concat(F.lit("c"), "id", F.lit(".")).alias("name"), F.lit("about c7. only").alias("definition"), F.col("id").alias("ord"))
+    seen, search = [], R.mentions
+    monkeypatch.setattr(R, "mentions", lambda texts, terms: seen.append(texts.count()) or search(texts, terms))
+    got = R.definition_candidates(c, c.select(F.col("name").alias("term"), F.col("name").alias("canonical")), spark.createDataFrame([("c7.", "c0.")], "source string, target string"), 1000)
+    assert seen == [1]
+    assert {(r["source"], r["target"]) for r in got.collect()} == {("c7.", f"c{i}.") for i in range(500) if i not in (0, 7)}
