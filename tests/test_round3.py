@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.operators import concepts as C
+from cairn.operators import diagnosis as D
 from cairn.operators import retrieval as R
 
 
@@ -19,3 +20,19 @@ def test_a_definition_of_many_is_searched_once(spark, monkeypatch):
     got = R.definition_candidates(c, c.select(F.col("name").alias("term"), F.col("name").alias("canonical")), spark.createDataFrame([("c7.", "c0.")], "source string, target string"), 1000)
     assert seen == [1]
     assert {(r["source"], r["target"]) for r in got.collect()} == {("c7.", f"c{i}.") for i in range(500) if i not in (0, 7)}
+
+
+def _graph(spark):
+    # a chain of 200 with a second way past every third
+    ways = [(f"n{i}", f"n{i + 1}") for i in range(199)] + [(f"n{i}", f"n{i + 2}") for i in range(0, 198, 3)] + [("n5", "n5")]
+    names = spark.range(200).select(F.concat(F.lit("n"), "id").alias("name"), F.lit(1).alias("difficulty"), F.lit("k").alias("chapter"), F.lit("r").alias("node_role"), F.lit("d").alias("definition"))
+    return names, spark.createDataFrame(ways, "source string, target string")
+
+
+def test_plans_do_not_shuffle_what_learners_concepts_come_to(spark):
+    names, prereq = _graph(spark)
+    attempts = spark.range(50).select(F.col("id").alias("learner"), F.concat(F.lit("p"), F.col("id")).alias("pid"), F.lit(True).alias("wrong"), F.lit(False).alias("correct"))
+    tested = spark.range(50).select(F.concat(F.lit("p"), "id").alias("pid"), F.concat(F.lit("n"), F.col("id") * 3).alias("target"), F.lit(1).alias("ord"))
+    plan = D.mastery(attempts, tested, names, prereq)._jdf.queryExecution().optimizedPlan().toString()
+    # one exchange by learner is asked for, below the explode: rows are taken apart where they stay
+    assert plan.index("Generate explode(bases") < plan.index("RepartitionByExpression [learner")
