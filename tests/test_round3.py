@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import concepts as C
 from cairn.operators import diagnosis as D
+from cairn.operators import planning as P
 from cairn.operators import retrieval as R
 
 
@@ -36,3 +37,16 @@ def test_plans_do_not_shuffle_what_learners_concepts_come_to(spark):
     plan = D.mastery(attempts, tested, names, prereq)._jdf.queryExecution().optimizedPlan().toString()
     # one exchange by learner is asked for, below the explode: rows are taken apart where they stay
     assert plan.index("Generate explode(bases") < plan.index("RepartitionByExpression [learner")
+
+
+def test_edges_at_the_end_of_a_subgraph(spark):
+    names, prereq = _graph(spark)
+    weak = spark.range(20, 200, 7).select((F.col("id") % 3).alias("learner"), F.concat(F.lit("n"), "id").alias("name"))
+    closure = [tuple(r) for r in D.closure_of(names, prereq).select("root", "node").collect()]
+    reach, want = {}, set()
+    for r, n in closure:
+        reach.setdefault(r, set()).add(n)
+    for w in weak.collect():
+        want |= {(w["learner"], s, t) for s, t in map(tuple, prereq.collect()) if {s, t} <= reach[w["name"]]}
+    got = [tuple(r) for r in P.plan_edges(weak, names, prereq).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
