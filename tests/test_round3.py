@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import concepts as C
 from cairn.operators import diagnosis as D
+from cairn.operators import graph as G
 from cairn.operators import planning as P
 from cairn.operators import retrieval as R
 
@@ -50,3 +51,24 @@ def test_edges_at_the_end_of_a_subgraph(spark):
         want |= {(w["learner"], s, t) for s, t in map(tuple, prereq.collect()) if {s, t} <= reach[w["name"]]}
     got = [tuple(r) for r in P.plan_edges(weak, names, prereq).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_pairs_in_large_blocks_of_tiles(spark):
+    v = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("vec"))
+    every = [tuple(r) for r in R.similar_pairs(v, 0.9).select("a", "b").collect()]
+    few = [tuple(r) for r in R._all_blocks(R.usable(v), 2, 0.9, 40).where("round(confidence, 4) >= 0.9").select("a", "b").collect()]
+    assert len(few) == len(set(few)) and set(few) == set(every) and len(every) > 300
+
+
+def test_wide_tables_are_spread(spark):
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = spark.range(100).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"), F.lit("RELATED").alias("type"), F.col("id").alias("ord"))
+    assert G.neighbour_groups(edges).rdd.getNumPartitions() == n
+
+
+def test_rounds_of_a_cycle_search_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name="table": plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "e")], "source string, target string")
+    assert {r[0] for r in G.cycle_residue(edges).collect()} == {"a", "b", "c"}
+    assert plans and not any("BroadcastExchange" in p for p in plans)
