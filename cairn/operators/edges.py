@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn import schema as S
 from cairn.functions import calls
 from cairn.functions.scalar import strip
+from cairn.session import spread
 from cairn.sources.frames import first_n, keep_first, numbered, numbered_over_all
 
 BATCH, OVERLAP, MAX_OUT = 20, 5, 10
@@ -28,7 +29,8 @@ def validate(raw: DataFrame, terms: DataFrame, concepts: DataFrame, pids: DataFr
     e = raw.select(strip(F.col("source")).alias("source"), strip(F.col("target")).alias("target"), strip(F.col("type")).alias("type"), F.coalesce(F.nullif(text("description"), F.lit("")), text("reason")).alias("description"), F.nullif(text("dimensions"), F.lit("")).alias("dimensions"), strip(text("chapter")).alias("chapter"), "ord")
     e = e.where((F.col("source") != "") & (F.col("target") != "") & F.col("type").isin(*S.EDGE_TYPES))
     t = terms.select("term", "canonical")
-    e = e.join(t.select(F.col("term").alias("source"), F.col("canonical").alias("cs")), "source", "left").join(t.select(F.col("term").alias("target"), F.col("canonical").alias("ct")), "target", "left")
+    e = spread(e, "source").join(t.select(F.col("term").alias("source"), F.col("canonical").alias("cs")), "source", "left")
+    e = spread(e, "target").join(t.select(F.col("term").alias("target"), F.col("canonical").alias("ct")), "target", "left")
     e = e.withColumn("from", F.when(F.col("type") == "TESTS", F.col("source")).otherwise(F.coalesce("cs", "source"))).withColumn("to", F.coalesce("ct", "target"))
     known = concepts.select("name", "node_role")
     e = e.join(known.select(F.col("name").alias("to")), "to", "left_semi")
