@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -77,6 +78,22 @@ def test_alternating_pairs_end(spark, monkeypatch):
     assert len(rounds) == 3 and rounds[-1] > 0
 
 
+def test_many_small_components_and_a_large_one_settle_in_a_pass(spark):
+    # a call a component, and a list rebuilt a pair, took minutes
+    n = 20_000
+    one, two = F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), "id")
+    pairs = spark.range(n).select(F.col("id").cast("int").alias("p_ord"), one.alias("name_a"), two.alias("name_b"), F.lit(True).alias("merge"), two.alias("canonical"))
+    hub = spark.range(2 * n).select((n + F.col("id")).cast("int").alias("p_ord"), F.lit("hub").alias("name_a"), F.concat(F.lit("h"), "id").alias("name_b"), F.lit(True).alias("merge"), F.lit(None).cast("string").alias("canonical"))
+    decided = pairs.unionByName(hub)
+    names = decided.select(F.explode(F.array("name_a", "name_b")).alias("name")).distinct().unionByName(spark.createDataFrame([("alone",)], "name string"))
+    c = names.selectExpr("name", "'d' AS definition", "'c' AS chapter", "1 AS difficulty", "'概念' AS node_role", "cast(null AS array<string>) AS aliases", "xxhash64(name) AS ord")
+    begun = time.monotonic()
+    got = {(r["kind"], r["merged"], r["n"]) for r in C.apply_decisions(c, decided).groupBy(F.substring("name", 1, 1).alias("kind"), "merged").agg(F.count("*").alias("n")).collect()}
+    # the longest name stands for the hub's group
+    assert got == {("b", 2, n), ("h", 2 * n + 1, 1), ("a", 1, 1)}
+    assert time.monotonic() - begun < 120
+
+
 def test_null_aliases_keep_merged_names(spark):
     c = spark.createDataFrame([("进程", "d", "c", 1, "概念", None, 0), ("proc", "longer", "c", 1, "概念", ["p", None], 1), ("other", "d", "c", 1, "概念", None, 2)], CONCEPT)
     got = {r["name"]: r for r in C.apply_decisions(c, spark.createDataFrame([(1, "进程", "proc", True, None)], DECIDED)).collect()}
