@@ -9,7 +9,9 @@ from the end gives the exact ids.
 
 A text is cut where the tokenizer's own pattern must cut it (before a single
 blank that a non-blank follows), and pieces are remembered per worker, so that
-frequent words are encoded once.
+frequent words are encoded once. The new words of some documents are encoded
+together, a length of prefix at a time: words that begin alike share their
+prefixes, and each of these is settled once.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import json
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,6 +39,10 @@ BLANK_RUN = regex.compile(r" [\p{White_Space}--\ ]", regex.V1)
 REMEMBERED, REMEMBERED_WORDS, ENTRY = 48 << 20, 16 << 20, 200
 #: Pairs of tokens whose compatibility is remembered.
 PAIRS = 200_000
+#: Characters of the texts whose new words are encoded together, pieces of one go, and characters of the longest of them; longer ones go one by one.
+TOGETHER, WORDS, LONGEST = 2_000_000, 1 << 15, 32
+#: More than any merge's rank.
+NEVER = 1 << 62
 
 
 def byte_letters() -> dict[int, str]:
@@ -67,6 +74,129 @@ class Memory:
                 self.old, self.young, self.size = self.young, {}, 0
         return found
 
+    def fill(self, values: dict) -> None:
+        self.young.update(values)
+        self.size += ENTRY * len(values) + 2 * sum(map(len, values)) + sum(map(len, values.values()))
+        if self.size >= self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
+def prefixes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted, unlike, non-empty words: their bytes and lengths, and which rows have a prefix of each length first, and its number."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.array(words, f"S{size.max()}").view(np.uint8).reshape(len(words), -1)
+    col = np.arange(letters.shape[1])
+    new = np.ones(letters.shape, bool)
+    new[1:] = np.logical_or.accumulate(letters[1:] != letters[:-1], axis=1) | (size[:-1, None] <= col)
+    new &= size[:, None] > col
+    # numbered from 1, the shorter ones first; 0 is the empty prefix
+    node = new.T.ravel().cumsum(dtype=np.int32).reshape(new.T.shape).T
+    return letters, size, new, node
+
+
+def _found(keys: np.ndarray, values: np.ndarray, key: np.ndarray, other: int) -> np.ndarray:
+    """The value of each key by its place in the sorted keys, or another."""
+    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[i] == key, values[i], other)
+
+
+class Together:
+    """The automaton and the merges as arrays, for many words at a time."""
+
+    def __init__(self, tokens: dict[int, bytes], rank: dict[tuple[int, int], int], parts: dict[int, tuple[int, int, int]]):
+        of = sorted(tokens, key=tokens.__getitem__)
+        letters, size, new, node = prefixes([tokens[i] for i in of])
+        n = int(node.max()) + 1
+        self.token, self.depth = np.full(n, -1), np.zeros(n, np.int64)
+        self.token[node[np.arange(len(of)), size - 1]] = of
+        edges, ends, levels = [], [], []
+        for j in range(letters.shape[1]):
+            rows = np.flatnonzero(new[:, j])
+            up, here, by = (node[rows, j - 1] if j else np.zeros(len(rows), np.int64)), node[rows, j], letters[rows, j].astype(np.int64)
+            self.depth[here] = j + 1
+            levels.append((up, here, by))
+            edges.append(up.astype(np.int64) << 8 | by)
+            ends.append(here)
+        edges, ends = np.concatenate(edges), np.concatenate(ends)
+        order = np.argsort(edges)
+        self.edges, self.ends = edges[order], ends[order]
+        # where a state goes on from, and the next shorter token that ends there (-1: none)
+        self.fail, self.link = np.zeros(n, np.int64), np.full(n, -1)
+        for up, here, by in levels[1:]:
+            self.fail[here] = f = self.step(self.fail[up], by)
+            self.link[here] = np.where(self.token[f] >= 0, f, self.link[f])
+        pairs = np.array([(a << 16 | b, r) for (a, b), r in rank.items()] or [(-1, NEVER)])
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pairs, self.ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
+        every = range(max(tokens) + 1)
+        self.bytes, self.written = pa.array([tokens.get(i, b"") for i in every], pa.binary()), pa.array([f"{i}," for i in every], pa.string())
+        self.made = np.full((3, 1 << 16), -1)  # a token's merge: rank, left, right
+        for t, made in parts.items():
+            self.made[:, t] = made
+
+    def step(self, state: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """The state after one more byte."""
+        out, at = np.zeros(len(state), np.int64), np.arange(len(state))
+        while at.size:
+            to = _found(self.edges, self.ends, state << 8 | by, 0)
+            out[at] = to
+            on = (to == 0) & (state > 0)
+            at, state, by = at[on], self.fail[state[on]], by[on]
+        return out
+
+    def neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """As Encoder.neighbours(), of many pairs."""
+        ok, at, before = np.ones(len(left), bool), np.arange(len(left)), np.full(len(left), NEVER)
+        while at.size:
+            joined = _found(self.pairs, self.ranks, left << 16 | right, NEVER)
+            ok[at[joined < before]] = False
+            a, b = self.made[0, left], self.made[0, right]
+            on = (joined >= before) & ((a >= 0) | (b >= 0))
+            at, left, right, a, b = at[on], left[on], right[on], a[on], b[on]
+            undo_left = (b < 0) | (a > b)
+            before = np.where(undo_left, a, b + 1)
+            left, right = np.where(undo_left, self.made[2, left], left), np.where(undo_left, right, self.made[1, right])
+        return ok
+
+    def ids(self, words: list[bytes]) -> list[str]:
+        """The ids, joined by commas, of each of sorted, unlike, non-empty words; decoded, they must give the words again."""
+        letters, size, new, node = prefixes(words)
+        n = int(node.max()) + 1
+        state, last, start = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+        for j in range(letters.shape[1]):
+            rows = np.flatnonzero(new[:, j])
+            here = node[rows, j]
+            cur = self.step(state[node[rows, j - 1]] if j else np.zeros(len(rows), np.int64), letters[rows, j].astype(np.int64))
+            state[here] = cur
+            cur = np.where(self.token[cur] >= 0, cur, self.link[cur])
+            while rows.size:
+                if (cur < 0).any():
+                    raise ValueError("no token ends here: the vocabulary lacks a byte")
+                token, at = self.token[cur], j + 1 - self.depth[cur]
+                ok = at == 0
+                part = np.flatnonzero(~ok)
+                ok[part] = self.neighbours(last[node[rows[part], at[part] - 1]], token[part])
+                last[here[ok]], start[here[ok]] = token[ok], at[ok]
+                rows, here, cur = rows[~ok], here[~ok], self.link[cur[~ok]]
+        # back from the ends, a token of each word at a time
+        backs, rows, end = [], np.arange(len(words)), size
+        while rows.size:
+            on = node[rows, end - 1]
+            backs.append((rows, last[on]))
+            end = start[on]
+            rows, end = rows[end > 0], end[end > 0]
+        count = np.bincount(np.concatenate([r for r, _ in backs]), minlength=len(words))
+        stop = count.cumsum()
+        flat = np.zeros(int(stop[-1]), np.int64)
+        for k, (r, t) in enumerate(backs):
+            flat[stop[r] - 1 - k] = t
+        # a word's tokens are as long as it is, by how they were followed back
+        if self.bytes.take(pa.array(flat)).buffers()[2].to_pybytes() != b"".join(words):
+            raise ValueError("words do not come back from their ids")
+        said = self.written.take(pa.array(flat))
+        text, at = said.buffers()[2].to_pybytes().decode(), np.frombuffer(said.buffers()[1], np.int32)[stop].tolist()
+        return [text[i : j - 1] for i, j in zip([0, *at], at)]
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -79,7 +209,7 @@ class Encoder:
         self.token = {i: b"".join(back[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: s.encode() for s, i in self.special.items()}
-        self.written = {str(i): s for i, s in self.token.items()}  # bytes by the id as it is written
+        self.bytes = pa.array([self.token.get(i, b"") for i in range(max(self.token) + 1)], pa.binary())
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in reversed(list(enumerate(merges)))}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: its merge's rank, left, right
@@ -87,6 +217,7 @@ class Encoder:
             self.parts[vocab[a + b]] = (r, vocab[a], vocab[b])
         self.automaton = ahocorasick.Automaton()
         reach = set(self.parts) | {vocab[c] for c in byte_letters().values() if c in vocab}
+        self.together = Together({i: self.token[i] for i in reach}, self.rank, self.parts)
         for i in reach:
             s = self.token[i].decode("latin-1")
             self.automaton.add_word(s, (i, len(s)))
@@ -161,6 +292,35 @@ class Encoder:
             raise ValueError(f"{piece!r} does not come back from its ids")
         return ",".join(map(str, ids))
 
+    def learn(self, texts: list[str]) -> None:
+        """Encode what comes after single blanks in these texts and is not remembered, many words together."""
+        new: set[str] = set()
+        for t in texts:
+            new.update(t.split(" "))
+        new = new.difference(self.after_blank.young).difference(self.after_blank.old)
+        some = [p for p in new if p and p[0] not in BLANKS and len(p) <= LONGEST]
+        for i in range(0, len(some), WORDS):
+            pieces = some[i : i + WORDS]
+            plain = [p for p in pieces if p.isalpha()]
+            mixed = {p: PATTERN.findall(" " + p) for p in pieces if not p.isalpha()}
+            # code points are in the order of their bytes
+            words = sorted({" " + p for p in plain}.union(*mixed.values()))
+            known = dict(zip(words, self.together.ids([w.encode() for w in words]), strict=True))
+            self.after_blank.fill({p: known[" " + p] for p in plain} | {p: ",".join(map(known.__getitem__, ws)) for p, ws in mixed.items()})
+
+    def learned(self, texts: Iterator[str]) -> Iterator[str]:
+        """The texts as they are, some at a time, once their new words are encoded."""
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size >= TOGETHER:
+                self.learn(some)
+                yield from some
+                some, size = [], 0
+        self.learn(some)
+        yield from some
+
     def pieces(self, text: str) -> Iterator[str]:
         """Cut before each single blank that a non-blank follows: the pattern always cuts there."""
         held = None
@@ -196,8 +356,8 @@ class Encoder:
             ids = self._part(text)
         else:
             ids = ",".join([str(self.special[p]) if p in self.special else self._part(p) for p in self.splitter.split(text) if p])
-        every = ids.split(",")
-        return ids, len(every), b"".join(map(self.written.__getitem__, every))
+        every = np.fromstring(ids, np.int32, sep=",")
+        return ids, len(every), self.bytes.take(pa.array(every)).buffers()[2].to_pybytes()
 
     def encode(self, text: str) -> list[int]:
         ids = self.run(text)[0]
@@ -236,8 +396,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         try:
             for b in batches:
                 n, ids, dec, lists, texts = [], [], [], [], []
-                for t in each(b, "_text"):
-                    i, k, raw = enc.run(t or "")
+                for i, k, raw in map(enc.run, enc.learned(t or "" for t in each(b, "_text"))):
                     out = raw.decode("utf-8", errors="replace")
                     n.append(k)
                     ids.append(hashlib.sha256(i.encode()).hexdigest())

@@ -113,6 +113,31 @@ def test_bpe_decodes_the_ids_of_the_document(tokenizers, monkeypatch):
     assert raw == b"".join(mine.token[int(i)] for i in ids.split(",")) != b"one  two "
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text("ab  \n\t'sdre.!1 éü中\r😀\x00\x1c\x85the<|endoftext|>", max_size=80), st.text("aehinorst ", max_size=80)), max_size=12))
+def test_bpe_of_words_together_is_exact(tokenizers, texts):
+    library, mine = tokenizers
+    mine.forget()
+    for t, (ids, n, raw) in zip(texts, map(mine.run, mine.learned(iter(texts))), strict=True):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids == ",".join(map(str, want)) and n == len(want) and raw == t.encode()
+
+
+def test_bpe_encodes_new_words_together(tokenizers, monkeypatch):
+    _, mine = tokenizers
+    mine.forget()
+    rng = random.Random(5)
+    text = "x " + " ".join("".join(rng.choices("aeinorstlé", k=rng.randint(1, 30))) + rng.choice(["", ".", "!!", ",\nB"]) for _ in range(3000))
+    want = mine.run(text)
+    mine.forget()
+    one_by_one = []
+    monkeypatch.setattr(mine.words, "make", lambda w: one_by_one.append(w) or mine._ids(w))
+    assert [mine.run(t) for t in mine.learned(iter([text]))] == [want]
+    assert len(one_by_one) <= 20  # the text's first word, and pieces of more than LONGEST characters
+    pairs = np.array([(rng.choice(list(mine.parts)), rng.choice(list(mine.parts))) for _ in range(3000)] + list(mine.rank)[:1000])
+    assert mine.together.neighbours(pairs[:, 0], pairs[:, 1]).tolist() == [mine.neighbours(a, b) for a, b in pairs.tolist()]
+
+
 def test_targets():
     sizes, weights = {"a": 10, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}
     got = mixing.targets(sizes, weights)
