@@ -16,7 +16,8 @@ import heapq
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from queue import Empty, SimpleQueue
+from threading import Thread
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,12 +40,27 @@ def backoff(failures: int) -> float:
 def pooled(prompts: Iterator[str | None], call: Client, in_flight: int = IN_FLIGHT, tries: int = TRIES, waiting: int = WAITING, pause: Callable[[int], float] = backoff) -> Iterator[tuple[str | None, str | None]]:
     """(value, error) of each prompt, in order. At most `waiting` prompts are read beyond the last result that left."""
     done: dict[int, tuple[str | None, str | None]] = {}
-    ready: deque[tuple[int, str, int]] = deque()
     later: list[tuple[float, int, str, int]] = []
-    flying: dict[Future, tuple[int, str, int]] = {}
-    read = left = 0
+    asked: SimpleQueue = SimpleQueue()
+    answered: SimpleQueue = SimpleQueue()
+    callers: list[Thread] = []
+    read = left = flying = 0
     more = True
-    with ThreadPoolExecutor(in_flight) as pool:
+
+    def calling() -> None:
+        while (one := asked.get()) is not None:
+            try:
+                answered.put((*one, call(one[1]), None))
+            except BaseException as e:
+                answered.put((*one, None, e))
+
+    def ask(*one) -> None:
+        asked.put(one)
+        if len(callers) < in_flight:
+            callers.append(Thread(target=calling, daemon=True))
+            callers[-1].start()
+
+    try:
         while more or left < read:
             while more and read - left < waiting:
                 try:
@@ -55,26 +71,30 @@ def pooled(prompts: Iterator[str | None], call: Client, in_flight: int = IN_FLIG
                 if prompt is None:
                     done[read] = (None, "no prompt")
                 else:
-                    ready.append((read, prompt, 0))
+                    ask(read, prompt, 0)
+                    flying += 1
                 read += 1
             while later and later[0][0] <= time.monotonic():
-                ready.append(heapq.heappop(later)[1:])
-            while ready and len(flying) < in_flight:
-                one = ready.popleft()
-                flying[pool.submit(call, one[1])] = one
+                ask(*heapq.heappop(later)[1:])
+                flying += 1
             rest = max(0.0, later[0][0] - time.monotonic()) if later else None
-            if flying:
-                finished, _ = wait(flying, timeout=rest, return_when=FIRST_COMPLETED)
-            else:
-                finished = ()
+            got = []
+            if flying and left not in done:
+                try:
+                    got.append(answered.get(timeout=rest))
+                except Empty:
+                    continue
+            elif left not in done:
                 time.sleep(rest or 0.0)
-            for f in finished:
-                n, prompt, failed = flying.pop(f)
-                error = f.exception()
-                if error is None and not isinstance(f.result(), str):
-                    error = TypeError(f"the client gave {type(f.result()).__name__}, not text")
+            # all that has been answered meanwhile, in one go: short calls need no wait each
+            while not answered.empty():
+                got.append(answered.get())
+            flying -= len(got)
+            for n, prompt, failed, value, error in got:
+                if error is None and not isinstance(value, str):
+                    error = TypeError(f"the client gave {type(value).__name__}, not text")
                 if error is None:
-                    done[n] = (f.result(), None)
+                    done[n] = (value, None)
                 elif failed + 1 < tries:
                     heapq.heappush(later, (time.monotonic() + pause(failed + 1), n, prompt, failed + 1))
                 else:
@@ -82,6 +102,17 @@ def pooled(prompts: Iterator[str | None], call: Client, in_flight: int = IN_FLIG
             while left in done:
                 yield done.pop(left)
                 left += 1
+    finally:
+        # prompts that nobody waits for any more are not asked
+        while not asked.empty():
+            try:
+                asked.get_nowait()
+            except Empty:
+                break
+        for _ in callers:
+            asked.put(None)
+        for c in callers:
+            c.join()
 
 
 def complete(prompts: DataFrame, call: Client, in_flight: int = IN_FLIGHT, tries: int = TRIES, waiting: int = WAITING, pause: Callable[[int], float] = backoff) -> DataFrame:

@@ -60,6 +60,21 @@ def test_waiting_prompts_are_bounded():
     assert list(calls.pooled(iter(["x"]), lambda p: 3, tries=1))[0][1].startswith("TypeError")
 
 
+def test_short_calls_need_no_wait_each():
+    n, begun = 50_000, time.monotonic()
+    assert sum(v == "a" for v, _ in calls.pooled(iter(["a"] * n), lambda p: p)) == n
+    assert time.monotonic() - begun < 1.5
+
+
+def test_prompts_of_a_stream_that_is_left_are_not_asked():
+    asked = []
+    stream = calls.pooled(iter(map(str, range(200))), lambda p: (asked.append(p), time.sleep(0.01), p)[-1], in_flight=2)
+    assert next(stream) == ("0", None)
+    stream.close()
+    time.sleep(0.1)
+    assert len(asked) < 20
+
+
 def test_a_log_is_paid_for_once(spark, tmp_path):
     log, seen = str(tmp_path / "log"), str(tmp_path / "seen")
 
