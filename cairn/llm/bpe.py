@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.text import each
+from cairn.session import bound_batches
 
 #: Fixed values of the file format: the pattern that parts text, and the white space it knows.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -386,6 +387,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     become their ids, as the tokenizers library has it. Repeated rows and null ids
     give a row each; other columns, whatever they are called, are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"))
     schema = rows.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cairn.llm.bloom import bits_for, has, seen_twice
 from cairn.llm.text import U64, column, each, octets, text_of
-from cairn.session import materialize
+from cairn.session import bound_batches, materialize
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -90,6 +90,7 @@ def line_dedup(docs: DataFrame, carry: tuple[str, ...] = (), min_docs: int = MIN
     length are read whole. An empty table gives an empty table; other columns than
     those named, whatever they are called, are left out.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     rows = rows.withColumn("_row", F.xxhash64("_id", "_text"))
     suspects = materialize(_suspects(rows.select("_id", "_row", "_text"), min_chars), "suspects")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from cairn.llm.bloom import bits_for, has, seen_twice
 from cairn.llm.text import U64, column, constants, each, mix, ngrams, occurrence_labelled, octets, text_of, word_hashes
 from cairn.operators.concepts import components
-from cairn.session import materialize
+from cairn.session import bound_batches, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 16, 3
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out. An empty table gives an empty one; other columns, whatever they are
     called, are not read. Whole texts are compared, however long.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     light = materialize(_sketched(rows), "sketches")
     once = light.groupBy("_id").agg(F.min(F.struct("_h", "digest")).alias("m")).select("_id", "m._h", "m.digest")
@@ -270,6 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = _meet(known, known.where("odd").select("key").distinct(), "key", "x", cuts)
     apart = _rare(texts, split.groupBy("x").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.max("odd").alias("odd")), shared)
     apart = materialize(apart, "apart")
+    shared.unpersist()  # no later step reads it: executors need not keep it
 
     def side(df: DataFrame, tag: str, *more: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}{tag}") for c in ("x", "n", "class", "odd", "c", "h", *more)])

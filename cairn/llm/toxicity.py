@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.text import column, constants, each, mix, ngrams, word_hashes
-from cairn.session import materialize
+from cairn.session import bound_batches, materialize
 
 #: Toxic rows that are learned from at most, and windows of a row that train the ordinary dictionary.
 SAMPLE, SAMPLE_WINDOWS = 3000, 20
@@ -191,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     same, and their texts are learned from whole. Labels that are null, or whose
     document is missing, teach nothing; of rows that repeat an id, the smallest text.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(2 * sample))
@@ -249,6 +250,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     whatever they are called, are not read. Ids may be of any type here; fit needs
     whole numbers.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     names = [f for f in rows.columns if f != "_text"]
